@@ -8,8 +8,8 @@ hold a non-ASCII character; the others reach the UDF as nulls.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -115,13 +115,25 @@ def remove_stop_words(token_array: Column | str, stop_words=tuple(STOP_WORDS)) -
     return F.filter(_text(token_array), lambda token: ~token.isin(*stop_words))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` refers to it.
+
+    A lambda variable stands for the value, because the optimizer would otherwise repeat the
+    expression at each reference inside the array functions.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def word_ngrams(token_array: Column | str) -> Column:
     """Unigrams, then bigrams joined by a space."""
-    words = _text(token_array)
-    following = F.slice(words, F.lit(2), F.size(words))
-    # The last word meets a null and gives a null bigram, which array_compact drops.
-    bigrams = F.zip_with(words, following, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.array_compact(F.concat(words, bigrams))
+
+    def with_pairs(words):
+        following = F.slice(words, F.lit(2), F.size(words))
+        # The last word meets a null and gives a null bigram, which array_compact drops.
+        pairs = F.zip_with(words, following, lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.array_compact(F.concat(words, pairs))
+
+    return _let(_text(token_array), with_pairs)
 
 
 def char_ngrams(folded: Column | str, low: int = 3, high: int = 5) -> Column:
@@ -131,11 +143,18 @@ def char_ngrams(folded: Column | str, low: int = 3, high: int = 5) -> Column:
     character appended, so the work is linear in the text and no lambda looks back at it.
     """
     chars = F.split(F.regexp_replace(_text(folded), SPACE_RUN, " "), "")
-    grams, lengths = chars, []
-    for n in range(1, high + 1):
-        if n > 1:
-            shifted = F.slice(chars, F.lit(n), F.size(chars))
-            grams = F.zip_with(grams, shifted, lambda a, b: F.concat(a, b))
-        if n >= low:
-            lengths.append(grams)
-    return F.filter(F.concat(*lengths), lambda gram: gram.isNotNull() & (gram != ""))
+
+    def lengthen(chars, grams, n):
+        """N-grams of length ``n`` (given as ``grams``) up to ``high``."""
+        if n == high:
+            return grams
+        following = F.slice(chars, F.lit(n + 1), F.size(chars))
+        longer = _let(
+            F.zip_with(grams, following, lambda a, b: F.concat(a, b)),
+            lambda more: lengthen(chars, more, n + 1),
+        )
+        return F.concat(grams, longer) if n >= low else longer
+
+    # Past the end of the text the next character is null, and so is the n-gram.
+    grams = _let(chars, lambda c: lengthen(c, c, 1))
+    return F.filter(grams, lambda gram: gram.isNotNull() & (gram != ""))

@@ -17,7 +17,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from labelloom.functions.text import char_ngrams, fold_accents, tokens, word_ngrams
-from labelloom.operators.profile import most_frequent
+from labelloom.operators.profile import exploded, most_frequent
 
 
 @dataclass(frozen=True)
@@ -61,11 +61,10 @@ def term_counts(
     recognised by its neighbour in the sorted array.
     """
     fold = [F.col(fold_col).alias("fold")] if fold_col else []
+    each = exploded(df.select(*fold, "terms"), "terms", "term")
     if binary:
-        each = df.select(*fold, F.explode("terms").alias("term"))
         fresh = F.lit(1)
     else:
-        each = df.select(*fold, "terms", F.posexplode("terms").alias("pos", "term"))
         fresh = ((F.col("pos") == 0) | (F.col("term") != F.get("terms", F.col("pos") - 1))).cast("int")
     each = each.select("term", fresh.alias("fresh"), *[F.col("fold") for _ in fold])
     measures = [F.count(F.lit(1)).alias("tf"), F.sum("fresh").alias("df")]
@@ -133,9 +132,7 @@ def tfidf(df: DataFrame, vocab_idf: DataFrame, id_col: str) -> DataFrame:
     length need no shuffle of the much larger exploded rows; the vocabulary is broadcast.
     """
     counts = (
-        df.select(id_col, "terms")
-        .repartition(id_col)
-        .select(id_col, F.explode("terms").alias("term"))
+        exploded(df.select(id_col, "terms").repartition(id_col), "terms", "term")
         .groupBy(id_col, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -147,12 +144,8 @@ def tfidf(df: DataFrame, vocab_idf: DataFrame, id_col: str) -> DataFrame:
 
 def binary_ngrams(df: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
     """Long ``(id, term_idx, term, value)``: every present term alike, each document of unit length."""
-    present = (
-        df.select(id_col, F.array_distinct("terms").alias("terms"))
-        .repartition(id_col)
-        .select(id_col, F.explode("terms").alias("term"))
-        .join(F.broadcast(vocab.select("term", "term_idx")), "term")
-    )
+    terms = df.select(id_col, F.array_distinct("terms").alias("terms")).repartition(id_col)
+    present = exploded(terms, "terms", "term").join(F.broadcast(vocab.select("term", "term_idx")), "term")
     return _unit_length(present.select(id_col, "term_idx", "term", F.lit(1.0).alias("value")), id_col)
 
 
@@ -223,7 +216,9 @@ def encode_rows(
     return ends, index, values / lengths[row]
 
 
-def encode(df: DataFrame, encoder: Encoder, keep: Sequence[str]) -> DataFrame:
+def encode(
+    df: DataFrame, encoder: Encoder, keep: Sequence[str], value_type: T.DataType = T.FloatType()
+) -> DataFrame:
     """Rows with ``indices`` and ``values`` of their features, and the ``keep`` columns.
 
     Runs where the rows are: the only thing sent is the bounded vocabulary.
@@ -233,9 +228,10 @@ def encode(df: DataFrame, encoder: Encoder, keep: Sequence[str]) -> DataFrame:
         [df.schema[c] for c in keep]
         + [
             T.StructField("indices", T.ArrayType(T.IntegerType(), False), False),
-            T.StructField("values", T.ArrayType(T.FloatType(), False), False),
+            T.StructField("values", T.ArrayType(value_type, False), False),
         ]
     )
+    dtype = np.float32 if value_type == T.FloatType() else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, idf = shared.value
@@ -248,7 +244,7 @@ def encode(df: DataFrame, encoder: Encoder, keep: Sequence[str]) -> DataFrame:
                 [
                     *[batch.column(c) for c in keep],
                     pa.ListArray.from_arrays(ends, pa.array(index.astype(np.int32))),
-                    pa.ListArray.from_arrays(ends, pa.array(values.astype(np.float32))),
+                    pa.ListArray.from_arrays(ends, pa.array(values.astype(dtype))),
                 ],
                 [*keep, "indices", "values"],
             )

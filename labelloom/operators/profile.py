@@ -85,7 +85,7 @@ def top_words_by_class(
         F.sort_array(remove_stop_words(word_tokens_min2(fold_accents(text_col)))).alias("words"),
         positive_classes(label_cols).alias("classes"),
     ).select("words", *[m.alias(f"in_{c}") for m, c in zip(member, classes)])
-    each = words.select("*", F.posexplode("words").alias("pos", "word"))
+    each = exploded(words, "words", "word")
     fresh = (F.col("pos") == 0) | (F.col("word") != F.get("words", F.col("pos") - 1))
     per_word = each.select("word", fresh.cast("int").alias("fresh"), *[f"in_{c}" for c in classes]).groupBy("word").agg(
         F.sum("fresh").alias("df"),
@@ -107,6 +107,16 @@ def top_words_by_class(
     )
 
 
+def exploded(df: DataFrame, array_col: str, out: str) -> DataFrame:
+    """Add ``pos`` and one row per array element.
+
+    An inner explode makes the optimizer filter on the array's size where the table is read, which
+    computes the array a second time; an outer one followed by a filter on its output does not.
+    """
+    rows = df.select("*", F.posexplode_outer(array_col).alias("pos", out))
+    return rows.where(F.col(out).isNotNull())
+
+
 def most_frequent(terms: DataFrame, count: str, tie: str, limit: int) -> DataFrame:
     """The ``limit`` terms with the highest count, ties broken by the term.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelloom.operators.groups import group_table, with_group_key
 from labelloom.operators.splits import assign_rows, stratified_group_folds
+from labelloom.sources.spread import spread
 
 LABELS = ("toxic", "low_quality")
 SEED = 42
@@ -16,14 +17,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "n_chars"), "doc_id")
+
+
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """The labelled documents: ``doc_id, text, n_chars, toxic, low_quality``."""
     labels = table(spark, sf, "labels").select("doc_id", "toxic", (1 - F.col("quality")).alias("low_quality"))
-    return table(spark, sf, "documents").select("doc_id", "text", "n_chars").join(labels, "doc_id")
+    return documents(spark, sf).join(labels, "doc_id")
 
 
 def unlabelled(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_anti")
+    return documents(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left_anti")
 
 
 def keyed_corpus(spark: SparkSession, sf: str) -> DataFrame:

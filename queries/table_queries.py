@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelloom.operators import checks, groups as gr, profile, splits
-from labelloom.operators.ranking import seeded_hash
 from queries.common import (
     CORPUS_SQL,
     FOLDED_CORPUS_SQL,
@@ -19,13 +18,13 @@ from queries.common import (
     TOKEN_SQL,
     bigints,
     corpus,
+    documents,
     folded_corpus,
     groups,
     keyed_corpus,
     ranked_sql,
     rounded,
     table,
-    unlabelled,
 )
 from queries.text_queries import STOP_LIST
 
@@ -72,7 +71,7 @@ def duplicate_groups(spark, sf):
 
 
 def duplicate_groups_documents(spark, sf):
-    keyed = gr.with_group_key(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    keyed = gr.with_group_key(documents(spark, sf).select("doc_id", "text"), "text")
     rows = gr.duplicate_groups(keyed, gr.group_table(keyed.withColumn("none", F.lit(0)), "doc_id", ["none"]), "doc_id")
     return rows.select("doc_id", "group_id", "group_size")
 
@@ -161,7 +160,7 @@ def top_words_small_vocabulary(spark, sf):
 
 
 def corpus_totals(spark, sf):
-    return profile.corpus_totals(table(spark, sf, "documents"), "text")
+    return profile.corpus_totals(documents(spark, sf), "text")
 
 
 QUERIES = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelloom.functions import text as tx
-from queries.common import FOLDED_SQL, SENTENCES_SQL, TOKEN_SQL, bigints, table
+from queries.common import FOLDED_SQL, SENTENCES_SQL, TOKEN_SQL, bigints, documents
 
 FOLDED = FOLDED_SQL.format(text="text")
 TOKENS = f"regexp_extract_all(text, '{TOKEN_SQL}')"
@@ -13,7 +13,7 @@ FOLDED_TOKENS = f"regexp_extract_all({FOLDED}, '{TOKEN_SQL}')"
 
 
 def _documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return documents(spark, sf).select("doc_id", "text")
 
 
 def _digest(column):
