@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from labelloom.operators.metrics import roc_auc
 from labelloom.operators.ranking import average_ranks
 from labelloom.operators.scoring import clip_scores
+from labelloom.staging import stage
 
 GRID = 2048
 
@@ -72,7 +73,8 @@ def search_weights(
         raise ValueError(f"Unknown mode: {mode}")
     n = len(candidates)
     goal = ["label"] if mode == "per-label" else []
-    wide = wide_ranks(ranks, id_col, candidates, keep=["truth"])
+    # Both passes read the ranks, so they are written once.
+    wide = stage(wide_ranks(ranks, id_col, candidates, keep=["truth"]), "wide_ranks")
     weights = [f"w{i}" for i in range(n)]
     rows = F.array(*[F.struct("pool_id", *weights)])
     in_one = pool.agg(F.sort_array(F.collect_list(rows[0])).alias("pool")).scalar()

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from labelloom.functions.text import char_ngrams, fold_accents, tokens, word_ngrams
 from labelloom.operators.profile import exploded, most_frequent
+from labelloom.staging import stage
 
 
 @dataclass(frozen=True)
@@ -98,11 +99,22 @@ def training_counts(counts: DataFrame, fold: int) -> DataFrame:
     ).where("df > 0")
 
 
+def fold_term_counts(
+    df: DataFrame, representation: Representation, fold_col: str, folds: Sequence[int]
+) -> DataFrame:
+    """Term counts with every fold's share, written once for the vocabularies of all folds.
+
+    A term too rare in the whole table is too rare in any part of it and is left out.
+    """
+    counts = term_counts(df, representation.binary, fold_col, folds)
+    return stage(counts.where(F.col("df") >= representation.min_df), "fold_term_counts")
+
+
 def fold_vocabularies(
     df: DataFrame, representation: Representation, fold_col: str, folds: Sequence[int]
 ) -> DataFrame:
     """One vocabulary per fold, fitted on the rows of the other folds, from one pass over the terms."""
-    counts = term_counts(df, representation.binary, fold_col, folds)
+    counts = fold_term_counts(df, representation, fold_col, folds)
     fitted = None
     for f in folds:
         rows = df.where(F.col(fold_col) != f).agg(F.count(F.lit(1))).scalar()
@@ -125,14 +137,25 @@ def _unit_length(weighted: DataFrame, id_col: str) -> DataFrame:
     return weighted.withColumn("value", F.col("value") / length)
 
 
-def tfidf(df: DataFrame, vocab_idf: DataFrame, id_col: str) -> DataFrame:
+def _terms_by_id(df: DataFrame, id_col: str, text_col: str, representation: Representation) -> DataFrame:
+    """One row per document and term occurrence, all of a document in one partition.
+
+    The texts are shuffled by id before their terms are made, so that neither the term count nor
+    the length needs a shuffle of the many times larger terms.
+    """
+    placed = df.select(id_col, text_col).repartition(id_col)
+    return exploded(with_terms(placed, text_col, representation), "terms", "term").select(id_col, "term")
+
+
+def tfidf(
+    df: DataFrame, vocab_idf: DataFrame, id_col: str, text_col: str, representation: Representation
+) -> DataFrame:
     """Long ``(id, term_idx, term, value)``: ``(1+ln tf)*idf``, each document of unit length.
 
-    Documents are shuffled by id before their terms are exploded, so the term count and the
-    length need no shuffle of the much larger exploded rows; the vocabulary is broadcast.
+    The vocabulary holds at most ``max_features`` rows and is broadcast.
     """
     counts = (
-        exploded(df.select(id_col, "terms").repartition(id_col), "terms", "term")
+        _terms_by_id(df, id_col, text_col, representation)
         .groupBy(id_col, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -142,21 +165,26 @@ def tfidf(df: DataFrame, vocab_idf: DataFrame, id_col: str) -> DataFrame:
     return _unit_length(weighted, id_col)
 
 
-def binary_ngrams(df: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
+def binary_ngrams(
+    df: DataFrame, vocab: DataFrame, id_col: str, text_col: str, representation: Representation
+) -> DataFrame:
     """Long ``(id, term_idx, term, value)``: every present term alike, each document of unit length."""
-    terms = df.select(id_col, F.array_distinct("terms").alias("terms")).repartition(id_col)
-    present = exploded(terms, "terms", "term").join(F.broadcast(vocab.select("term", "term_idx")), "term")
+    present = _terms_by_id(df, id_col, text_col, representation).join(
+        F.broadcast(vocab.select("term", "term_idx")), "term"
+    )
     return _unit_length(present.select(id_col, "term_idx", "term", F.lit(1.0).alias("value")), id_col)
 
 
-def transform_with(df: DataFrame, vocab: DataFrame, id_col: str, binary: bool) -> DataFrame:
+def transform_with(
+    df: DataFrame, vocab: DataFrame, id_col: str, text_col: str, representation: Representation
+) -> DataFrame:
     """Features of unseen rows on a fitted vocabulary, all rows kept.
 
     Terms outside the vocabulary are dropped; a row without a known term keeps one line whose
     term and value are null: the zero vector.
     """
-    known = binary_ngrams(df, vocab, id_col) if binary else tfidf(df, vocab, id_col)
-    return df.select(id_col).join(known, id_col, "left")
+    weigh = binary_ngrams if representation.binary else tfidf
+    return df.select(id_col).join(weigh(df, vocab, id_col, text_col, representation), id_col, "left")
 
 
 def to_vectors(long: DataFrame, id_col: str, size: int) -> DataFrame:

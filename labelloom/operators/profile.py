@@ -13,6 +13,7 @@ from labelloom.functions.text import (
     token_count,
     word_tokens_min2,
 )
+from labelloom.staging import stage
 
 CLEAN = "clean"
 
@@ -120,10 +121,11 @@ def exploded(df: DataFrame, array_col: str, out: str) -> DataFrame:
 def most_frequent(terms: DataFrame, count: str, tie: str, limit: int) -> DataFrame:
     """The ``limit`` terms with the highest count, ties broken by the term.
 
-    A histogram of the counts (few distinct values) gives the lowest count still needed, and one
+    The counts are written once, as three passes read them. A histogram of the counts (few distinct values) gives the lowest count still needed, and one
     of the first three characters of the terms at that count tells which of them are needed, so
     hardly more than ``limit`` terms are ever put in order.
     """
+    terms = stage(terms, "terms")
     alone = Window.partitionBy(F.lit(0))
     before = Window.unboundedPreceding, -1
     above = F.coalesce(F.sum("_n").over(alone.orderBy(F.desc(count)).rowsBetween(*before)), F.lit(0))

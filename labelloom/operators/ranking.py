@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from labelloom.staging import stage
+
 SPREAD = 256
 
 
@@ -56,10 +58,11 @@ def skew_safe_lookup(
 ) -> DataFrame:
     """Left join of rows to one lookup row per key, where ``size`` is the key's number of rows.
 
-    Keys with more than a thousandth of all rows number fewer than a thousand, so they are
+    The lookup is written once, since it is read three times. Keys with more than a thousandth of all rows number fewer than a thousand, so they are
     broadcast; their rows then enter the shuffle spread over SPREAD values instead of on one key.
     """
     keys, values = list(keys), list(values)
+    lookup = stage(lookup.select(*keys, *values, *([] if size in [*keys, *values] else [size])), "lookup")
     total = lookup.agg(F.sum(size)).scalar()
     heavy = lookup.where(F.col(size) * 1000 > total).select(
         *keys, *[F.col(v).alias(f"_heavy_{v}") for v in values], F.lit(True).alias("_is_heavy")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from labelloom.operators.groups import group_table, with_group_key
 from labelloom.operators.splits import assign_rows, stratified_group_folds
 from labelloom.sources.spread import spread
+from labelloom.staging import stage
 
 LABELS = ("toxic", "low_quality")
 SEED = 42
@@ -36,14 +37,13 @@ def keyed_corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def groups(spark: SparkSession, sf: str) -> DataFrame:
-    return group_table(keyed_corpus(spark, sf), "doc_id", LABELS)
+    return stage(group_table(keyed_corpus(spark, sf), "doc_id", LABELS), "groups")
 
 
 def folded_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """The labelled documents with ``fold``, whole groups dealt out in turn."""
-    keyed = keyed_corpus(spark, sf)
-    folds = stratified_group_folds(group_table(keyed, "doc_id", LABELS), FOLDS, SEED, LABELS, method="rotate")
-    return assign_rows(keyed, folds, ["fold"], "doc_id")
+    folds = stratified_group_folds(groups(spark, sf), FOLDS, SEED, LABELS, method="rotate")
+    return assign_rows(keyed_corpus(spark, sf), folds, ["fold"], "doc_id")
 
 
 CANDIDATES = ("spread", "scattered", "tied")

@@ -60,20 +60,20 @@ def _fold_vocabularies_query(representation):
 def tfidf(spark, sf):
     rows = corpus(spark, sf)
     vocab = ft.with_idf(_vocabulary(rows, ft.WORD_TFIDF), _count(rows))
-    long = ft.tfidf(_terms(rows, ft.WORD_TFIDF), vocab, "doc_id")
+    long = ft.tfidf(rows, vocab, "doc_id", "text", ft.WORD_TFIDF)
     return bigints(rounded(long, "value"), "term_idx")
 
 
 def binary_ngrams(spark, sf):
     rows = corpus(spark, sf)
-    long = ft.binary_ngrams(_terms(rows, SMALL_CHARS), _vocabulary(rows, SMALL_CHARS), "doc_id")
+    long = ft.binary_ngrams(rows, _vocabulary(rows, SMALL_CHARS), "doc_id", "text", SMALL_CHARS)
     return bigints(rounded(long, "value"), "term_idx")
 
 
 def transform_with(spark, sf):
     rows = corpus(spark, sf)
     vocab = ft.with_idf(_vocabulary(rows, SMALL_WORDS), _count(rows))
-    long = ft.transform_with(_terms(unlabelled(spark, sf), SMALL_WORDS), vocab, "doc_id", binary=False)
+    long = ft.transform_with(unlabelled(spark, sf), vocab, "doc_id", "text", SMALL_WORDS)
     return bigints(rounded(long, "value"), "term_idx")
 
 
@@ -81,7 +81,7 @@ def to_vectors(spark, sf):
     """The packed vectors, told by their size, entries and squared length."""
     rows = corpus(spark, sf)
     vocab = ft.with_idf(_vocabulary(rows, SMALL_WORDS), _count(rows))
-    long = ft.transform_with(_terms(rows, SMALL_WORDS), vocab, "doc_id", binary=False)
+    long = ft.transform_with(rows, vocab, "doc_id", "text", SMALL_WORDS)
     vector = F.unwrap_udt("features")
     packed = ft.to_vectors(long, "doc_id", SMALL_WORDS.max_features).select("doc_id", vector.alias("v"))
     square = F.aggregate("v.values", F.lit(0.0), lambda total, x: total + x * x)

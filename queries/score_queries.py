@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelloom.operators import blend as bl, metrics as mt, scoring, submit
-from labelloom.operators.groups import group_table
 from labelloom.operators.splits import assign_rows, stratified_group_holdout
 from queries.common import (
     CANDIDATES,
@@ -17,6 +16,7 @@ from queries.common import (
     bigints,
     corpus,
     folded_corpus,
+    groups,
     keyed_corpus,
     rounded,
     scores_sql,
@@ -120,9 +120,8 @@ def fractional_ranks(spark, sf):
 
 def _halves(spark, sf):
     """Stand-in scores of the two halves of the corpus, whole groups in one half."""
-    keyed = keyed_corpus(spark, sf)
-    halves = stratified_group_holdout(group_table(keyed, "doc_id", LABELS), 0.5, SEED + 202, LABELS)
-    rows = assign_rows(keyed, halves, ["held_out"], "doc_id")
+    halves = stratified_group_holdout(groups(spark, sf), 0.5, SEED + 202, LABELS)
+    rows = assign_rows(keyed_corpus(spark, sf), halves, ["held_out"], "doc_id")
     return stand_in_scores(rows.where("NOT held_out")), stand_in_scores(rows.where("held_out"))
 
 

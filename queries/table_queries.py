@@ -107,9 +107,8 @@ def stratified_group_holdout(spark, sf):
 
 
 def split_groups(spark, sf):
-    keyed = keyed_corpus(spark, sf)
-    plan = splits.split_groups(gr.group_table(keyed, "doc_id", LABELS), FOLDS, SEED, LABELS, meta_fraction=0.16)
-    rows = splits.assign_rows(keyed, plan, ["partition", "fold"], "doc_id")
+    plan = splits.split_groups(groups(spark, sf), FOLDS, SEED, LABELS, meta_fraction=0.16)
+    rows = splits.assign_rows(keyed_corpus(spark, sf), plan, ["partition", "fold"], "doc_id")
     return bigints(rows.select("doc_id", "partition", "fold"), "fold")
 
 
