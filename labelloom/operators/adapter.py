@@ -17,6 +17,7 @@ from labelloom.operators.vectors import sparse_rows, sum_partials
 
 BLOCK_BYTES = 64 * 2**20
 SMALLEST = 8
+ROWS_PER_SUM = 512
 
 
 @dataclass(frozen=True)
@@ -40,22 +41,21 @@ def _normal_product(vectors: DataFrame, basis: np.ndarray) -> np.ndarray:
     step = max(1, BLOCK_BYTES // (8 * features))
     blocks = []
     for start in range(0, width, step):
-        block = np.asfortranarray(basis[:, start : start + step])
+        block = np.ascontiguousarray(basis[:, start : start + step])
         shared = vectors.sparkSession.sparkContext.broadcast(block)
 
-        def partial(batches: Iterator[pa.RecordBatch], shared=shared, size=block.shape[1]):
+        def partial(batches: Iterator[pa.RecordBatch], shared=shared):
             columns = shared.value
             total = None
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
-                total = np.zeros((size, features)) if total is None else total
-                rows = sparse_rows(batch)
-                for i in range(size):
-                    total[i] += rows.transposed_times(rows.times(columns[:, i]), features)
+                total = np.zeros_like(columns) if total is None else total
+                for used, dense in sparse_rows(batch).blocks():
+                    total[used] += dense.T @ (dense @ columns[used])
             return total
 
-        blocks.append(sum_partials(vectors.select("indices", "values"), partial).reshape(-1, features).T)
+        blocks.append(sum_partials(vectors.select("indices", "values"), partial).reshape(features, -1))
         shared.unpersist()
     return np.column_stack(blocks)
 
@@ -63,7 +63,7 @@ def _normal_product(vectors: DataFrame, basis: np.ndarray) -> np.ndarray:
 def _moments(vectors: DataFrame, basis: np.ndarray):
     """Gram matrix of the rows on the basis, column sums, sum of squares and number of rows."""
     features, width = basis.shape
-    shared = vectors.sparkSession.sparkContext.broadcast(np.asfortranarray(basis))
+    shared = vectors.sparkSession.sparkContext.broadcast(basis)
 
     def partial(batches: Iterator[pa.RecordBatch]):
         columns = shared.value
@@ -72,8 +72,9 @@ def _moments(vectors: DataFrame, basis: np.ndarray):
             if batch.num_rows == 0:
                 continue
             rows = sparse_rows(batch)
-            reduced = np.column_stack([rows.times(columns[:, i]) for i in range(width)])
-            total[: width * width] += (reduced.T @ reduced).ravel()
+            for used, dense in rows.blocks():
+                reduced = dense @ columns[used]
+                total[: width * width] += (reduced.T @ reduced).ravel()
             total[width * width : -2] += np.bincount(rows.index, weights=rows.value, minlength=features)
             total[-2] += rows.value @ rows.value
             total[-1] += rows.count
@@ -99,6 +100,8 @@ def fit_adapter(
     if kept < SMALLEST:
         raise ValueError(f"Too few rows or features for {SMALLEST} components.")
     width = min(kept + oversample, features)
+    # A partition answers with one number per feature and component however few rows it has.
+    vectors = vectors.coalesce(max(1, rows // ROWS_PER_SUM))
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((features, width)))[0]
     for _ in range(iterations + 1):
         basis = np.linalg.qr(_normal_product(vectors, basis))[0]
@@ -124,7 +127,7 @@ def apply_adapter(vectors: DataFrame, adapter: Adapter, keep: Sequence[str]) ->
     Sends features times components in single precision, at most 230 MB at the default limits.
     """
     shared = vectors.sparkSession.sparkContext.broadcast(
-        (np.asfortranarray(adapter.directions.astype(np.float32)), adapter.mean, adapter.deviation)
+        (adapter.directions.astype(np.float32), adapter.mean, adapter.deviation)
     )
     schema = T.StructType(
         [vectors.schema[c] for c in keep] + [T.StructField("features", T.ArrayType(T.FloatType()))]
@@ -136,7 +139,7 @@ def apply_adapter(vectors: DataFrame, adapter: Adapter, keep: Sequence[str]) ->
             if batch.num_rows == 0:
                 continue
             rows = sparse_rows(batch)
-            reduced = np.column_stack([rows.times(directions[:, i]) for i in range(directions.shape[1])])
+            reduced = np.concatenate([dense @ directions[used] for used, dense in rows.blocks()])
             scaled = ((reduced - mean) / deviation).astype(np.float32)
             ends = np.arange(0, scaled.size + 1, scaled.shape[1], dtype=np.int32)
             made = pa.ListArray.from_arrays(pa.array(ends), pa.array(scaled.ravel()))

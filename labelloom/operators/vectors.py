@@ -30,6 +30,18 @@ class Rows:
         """Product of the transposed rows with one value per row."""
         return np.bincount(self.index, weights=self.value * column[self.row], minlength=features)
 
+    def blocks(self, size: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Dense blocks of ``size`` rows over the features they use: (features, matrix).
+
+        Products with many columns run faster on such a block than entry by entry.
+        """
+        for start in range(0, self.count, size):
+            low, high = np.searchsorted(self.row, [start, start + size])
+            used, local = np.unique(self.index[low:high], return_inverse=True)
+            dense = np.zeros((min(size, self.count - start), len(used)))
+            dense[self.row[low:high] - start, local] = self.value[low:high]
+            yield used, dense
+
 
 def sparse_rows(batch: pa.RecordBatch) -> Rows:
     """Read the ``indices`` and ``values`` columns of a batch."""
