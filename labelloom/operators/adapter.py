@@ -13,11 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from labelloom.operators.vectors import sparse_rows, sum_partials
+from labelloom.operators.vectors import ROWS_PER_SUM, sparse_rows, sum_partials
 
 BLOCK_BYTES = 64 * 2**20
 SMALLEST = 8
-ROWS_PER_SUM = 512
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 FEW = 16
+ROWS_PER_SUM = 512
 
 
 @dataclass(frozen=True)
