@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, types as T
 from labelloom.operators.vectors import ROWS_PER_SUM, sparse_rows, sum_partials
 
 BLOCK_BYTES = 64 * 2**20
+BASIS_BYTES = 2**30
 SMALLEST = 8
 
 
@@ -99,6 +100,8 @@ def fit_adapter(
     if kept < SMALLEST:
         raise ValueError(f"Too few rows or features for {SMALLEST} components.")
     width = min(kept + oversample, features)
+    if 8 * features * width > BASIS_BYTES:
+        raise ValueError(f"{features} features by {width} columns do not fit the driver; lower either.")
     # A partition answers with one number per feature and component however few rows it has.
     vectors = vectors.coalesce(max(1, rows // ROWS_PER_SUM))
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((features, width)))[0]

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from labelloom.functions.text import char_ngrams, fold_accents, tokens, word_ngrams
 from labelloom.operators.profile import exploded, most_frequent
+from labelloom.operators.ranking import BROADCAST_ROWS, small_side
 from labelloom.staging import stage
 
 
@@ -152,14 +153,16 @@ def tfidf(
 ) -> DataFrame:
     """Long ``(id, term_idx, term, value)``: ``(1+ln tf)*idf``, each document of unit length.
 
-    The vocabulary holds at most ``max_features`` rows and is broadcast.
+    The vocabulary holds at most ``max_features`` rows and is broadcast if that is few.
     """
     counts = (
         _terms_by_id(df, id_col, text_col, representation)
         .groupBy(id_col, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    weighted = counts.join(F.broadcast(vocab_idf.select("term", "term_idx", "idf")), "term").select(
+    weighted = counts.join(
+        small_side(vocab_idf.select("term", "term_idx", "idf"), representation.max_features), "term"
+    ).select(
         id_col, "term_idx", "term", ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("value")
     )
     return _unit_length(weighted, id_col)
@@ -170,7 +173,7 @@ def binary_ngrams(
 ) -> DataFrame:
     """Long ``(id, term_idx, term, value)``: every present term alike, each document of unit length."""
     present = _terms_by_id(df, id_col, text_col, representation).join(
-        F.broadcast(vocab.select("term", "term_idx")), "term"
+        small_side(vocab.select("term", "term_idx"), representation.max_features), "term"
     )
     return _unit_length(present.select(id_col, "term_idx", "term", F.lit(1.0).alias("value")), id_col)
 
@@ -213,7 +216,10 @@ class Encoder:
 
 
 def fit_encoder(vocab: DataFrame, representation: Representation, rows: int) -> Encoder:
-    """Collect a vocabulary (bounded by ``max_features``) and its idf."""
+    """Collect a vocabulary and its idf. Vocabularies too large to send to every task belong in the
+    long form instead."""
+    if representation.max_features > BROADCAST_ROWS:
+        raise ValueError(f"An encoder takes at most {BROADCAST_ROWS} terms; use transform_with and to_vectors.")
     table = vocab.select("term_idx", "term", "df").toArrow().sort_by("term_idx")
     if table.num_rows == 0:
         raise ValueError("No terms remain within the document-frequency limits.")

@@ -14,6 +14,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from labelloom.staging import stage
 
 SPREAD = 256
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, most_rows: int) -> DataFrame:
+    """Hint a broadcast where the side's largest possible number of rows is small; else leave the
+    join to the optimizer."""
+    return F.broadcast(df) if most_rows <= BROADCAST_ROWS else df
 
 
 def seeded_hash(seed: int, col: str) -> Column:

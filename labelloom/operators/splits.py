@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from labelloom.operators.groups import label_signature
-from labelloom.operators.ranking import hash_rank, seeded_hash, skew_safe_lookup
+from labelloom.operators.ranking import hash_rank, seeded_hash, skew_safe_lookup, small_side
 
 
 def _ranked(groups: DataFrame, label_cols: Sequence[str], seed: int) -> DataFrame:
@@ -75,7 +75,7 @@ def stratified_group_folds(
         earlier = Window.partitionBy(F.lit(0)).orderBy("_signature").rowsBetween(Window.unboundedPreceding, -1)
         starts = counts.select("_signature", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
         return (
-            ranked.join(F.broadcast(starts), "_signature")
+            ranked.join(small_side(starts, 2 ** len(label_cols)), "_signature")
             .withColumn("fold", F.pmod(F.col("_rank") - 1 + F.col("_start"), F.lit(k)).cast("int"))
             .drop("_signature", "_pick", "_rank", "_start")
         )
@@ -94,9 +94,8 @@ def stratified_group_folds(
     table = groups.sparkSession.createDataFrame(
         ranges, "_signature bigint, _first bigint, _last bigint, fold int"
     )
-    # At most 2**labels * k rows.
     return (
-        ranked.join(F.broadcast(table), "_signature")
+        ranked.join(small_side(table, len(ranges)), "_signature")
         .where(F.col("_rank").between(F.col("_first"), F.col("_last")))
         .drop("_signature", "_pick", "_rank", "_first", "_last")
     )
@@ -120,7 +119,7 @@ def stratified_group_holdout(
     )
     return (
         _ranked(groups, label_cols, seed)
-        .join(F.broadcast(quotas), "_signature")
+        .join(small_side(quotas, 2 ** len(label_cols)), "_signature")
         .withColumn(out, F.col("_rank") <= F.col("_quota"))
         .drop("_signature", "_pick", "_rank", "_quota")
     )

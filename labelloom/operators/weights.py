@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from labelloom.operators.ranking import small_side
+
 
 def class_weights(df: DataFrame, label_cols: Sequence[str]) -> DataFrame:
     """Balanced weights ``n / (2 * n_class)`` per label; null for a class that does not occur."""
@@ -54,5 +56,4 @@ def row_weights(df: DataFrame, label_cols: Sequence[str], cap: float = 8.0, out:
     capped = per_vector.withColumn("_capped", F.least(F.col("_raw") / mean, F.lit(float(cap))))
     mean_capped = capped.agg(F.sum(F.col("_n") * F.col("_capped")) / F.sum("_n")).scalar()
     table = capped.select(*labels, (F.col("_capped") / mean_capped).alias(out))
-    # At most 2**labels rows.
-    return df.join(F.broadcast(table), labels)
+    return df.join(small_side(table, 2 ** len(labels)), labels)
