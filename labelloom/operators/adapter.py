@@ -11,9 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame, types as T
 
-from labelloom.operators.vectors import ROWS_PER_SUM, sparse_rows, sum_partials
+from labelloom.operators.vectors import row_blocks, rows_of, sparse_rows, sum_partials
 
 BLOCK_BYTES = 64 * 2**20
 BASIS_BYTES = 2**30
@@ -35,43 +36,39 @@ class Adapter:
         return self.directions.shape[1]
 
 
-def _normal_product(vectors: DataFrame, basis: np.ndarray) -> np.ndarray:
+def _normal_product(row_data: RDD, basis: np.ndarray) -> np.ndarray:
     """``X'(X basis)``, block of columns by block."""
     features, width = basis.shape
     step = max(1, BLOCK_BYTES // (8 * features))
     blocks = []
     for start in range(0, width, step):
         block = np.ascontiguousarray(basis[:, start : start + step])
-        shared = vectors.sparkSession.sparkContext.broadcast(block)
+        shared = row_data.context.broadcast(block)
 
-        def partial(batches: Iterator[pa.RecordBatch], shared=shared):
+        def partial(part: Iterator[tuple], shared=shared):
             columns = shared.value
             total = None
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
+            for block in part:
                 total = np.zeros_like(columns) if total is None else total
-                for used, dense in sparse_rows(batch).blocks():
+                for used, dense in rows_of(block).blocks():
                     total[used] += dense.T @ (dense @ columns[used])
             return total
 
-        blocks.append(sum_partials(vectors.select("indices", "values"), partial).reshape(features, -1))
+        blocks.append(sum_partials(row_data, partial).reshape(features, -1))
         shared.unpersist()
     return np.column_stack(blocks)
 
 
-def _moments(vectors: DataFrame, basis: np.ndarray):
+def _moments(row_data: RDD, basis: np.ndarray):
     """Gram matrix of the rows on the basis, column sums, sum of squares and number of rows."""
     features, width = basis.shape
-    shared = vectors.sparkSession.sparkContext.broadcast(basis)
+    shared = row_data.context.broadcast(basis)
 
-    def partial(batches: Iterator[pa.RecordBatch]):
+    def partial(part: Iterator[tuple]):
         columns = shared.value
         total = np.zeros(width * width + features + 2)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rows = sparse_rows(batch)
+        for block in part:
+            rows = rows_of(block)
             for used, dense in rows.blocks():
                 reduced = dense @ columns[used]
                 total[: width * width] += (reduced.T @ reduced).ravel()
@@ -80,7 +77,7 @@ def _moments(vectors: DataFrame, basis: np.ndarray):
             total[-1] += rows.count
         return total
 
-    summed = sum_partials(vectors.select("indices", "values"), partial)
+    summed = sum_partials(row_data, partial)
     shared.unpersist()
     gram = summed[: width * width].reshape(width, width)
     return gram, summed[width * width : -2], summed[-2], summed[-1]
@@ -102,12 +99,11 @@ def fit_adapter(
     width = min(kept + oversample, features)
     if 8 * features * width > BASIS_BYTES:
         raise ValueError(f"{features} features by {width} columns do not fit the driver; lower either.")
-    # A partition answers with one number per feature and component however few rows it has.
-    vectors = vectors.coalesce(max(1, rows // ROWS_PER_SUM))
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((features, width)))[0]
-    for _ in range(iterations + 1):
-        basis = np.linalg.qr(_normal_product(vectors, basis))[0]
-    gram, sums, squares, count = _moments(vectors, basis)
+    with row_blocks(vectors, [], rows) as row_data:
+        for _ in range(iterations + 1):
+            basis = np.linalg.qr(_normal_product(row_data, basis))[0]
+        gram, sums, squares, count = _moments(row_data, basis)
     spread, turn = np.linalg.eigh(gram)
     order = np.argsort(spread)[::-1][:kept]
     directions = basis @ turn[:, order]

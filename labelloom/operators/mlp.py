@@ -7,6 +7,7 @@ ordinary mini-batch training; more shards appear only as the table grows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from math import ceil
@@ -122,6 +123,20 @@ def fit_mlp(
         .withColumn("_order", seeded_hash(seed, id_col))
         .sortWithinPartitions("_order")
         .select("features", "row_weight", *labels)
+    )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
+                arrays = x, columns(batch, labels), batch.column("row_weight").to_numpy()
+                packed = [pa.array([pickle.dumps(array, protocol=5)], pa.binary()) for array in arrays]
+                yield pa.RecordBatch.from_arrays(packed, ["x", "y", "weight"])
+
+    # Decoded once for all epochs.
+    blocks = (
+        data.mapInArrow(pack, "x binary, y binary, weight binary")
+        .rdd.map(lambda row: tuple(pickle.loads(part) for part in row))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     flat = _initial(*shape, seed)
@@ -133,20 +148,17 @@ def fit_mlp(
             shared = context.broadcast(state)
             number = epoch
 
-            def partial(batches: Iterator[pa.RecordBatch]):
-                parts = [b for b in batches if b.num_rows]
-                if not parts:
+            def partial(part: Iterator[tuple]):
+                shard = list(part)
+                if not shard:
                     return None
-                x = np.concatenate(
-                    [b.column("features").flatten().to_numpy().reshape(b.num_rows, -1) for b in parts]
-                ).astype(np.float64)
-                y = np.concatenate([columns(b, labels) for b in parts])
-                weight = np.concatenate([b.column("row_weight").to_numpy() for b in parts])
+                x, y, weight = (np.concatenate(arrays) for arrays in zip(*shard))
+                x = x.astype(np.float64)
                 order = np.random.default_rng([seed, number, TaskContext.get().partitionId()]).permutation(len(x))
                 made, summed = _epoch(shared.value, shape, x, y, weight, order, batch, rate, alpha)
-                return np.concatenate([*(part * len(x) for part in made[:3]), [made[3] * len(x), summed, len(x)]])
+                return np.concatenate([*(state * len(x) for state in made[:3]), [made[3] * len(x), summed, len(x)]])
 
-            total = sum_partials(data, partial)
+            total = sum_partials(blocks, partial)
             shared.unpersist()
             mean = total / total[-1]
             flat, first, second = np.split(mean[:-3], 3)
@@ -156,7 +168,7 @@ def fit_mlp(
             best = min(best, loss)
             epoch += 1
     finally:
-        data.unpersist()
+        blocks.unpersist()
     return Network(
         tuple(labels), *_split(state[0], *shape), epoch, float(loss), epoch >= max_epochs
     )

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 FEW = 16
 ROWS_PER_SUM = 512
+PACKED = ["lengths", "indices", "values", "labels"]
 
 
 @dataclass(frozen=True)
@@ -60,23 +64,58 @@ def columns(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
     return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names]).astype(np.float64)
 
 
-def sum_partials(
-    df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]
-) -> np.ndarray:
-    """Sum over partitions of the array ``partial`` makes from each partition's batches.
+@contextmanager
+def row_blocks(vectors: DataFrame, labels: Sequence[str], rows: int) -> Iterator[RDD]:
+    """The rows as persisted numpy blocks ``(row lengths, indices, values, labels)``, one per Arrow batch.
+
+    A fit passes over the rows dozens of times. Decoded once, a pass is a plain job over blocks; as
+    a query it would be planned, and its arrays converted, every time. Few rows are gathered in few
+    partitions, since a partition answers with a sum of full size however few rows it has.
+    """
+    names = list(labels)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                indices, values = batch.column("indices"), batch.column("values")
+                arrays = (
+                    indices.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32),
+                    indices.flatten().to_numpy().astype(np.int32),
+                    values.flatten().to_numpy(),
+                    columns(batch, names) if names else np.zeros(0),
+                )
+                packed = [pa.array([pickle.dumps(array, protocol=5)], pa.binary()) for array in arrays]
+                yield pa.RecordBatch.from_arrays(packed, PACKED)
+
+    schema = StructType([StructField(name, BinaryType()) for name in PACKED])
+    gathered = vectors.select("indices", "values", *names).coalesce(max(1, rows // ROWS_PER_SUM))
+    blocks = gathered.mapInArrow(pack, schema).rdd.map(lambda row: tuple(pickle.loads(part) for part in row))
+    blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield blocks
+    finally:
+        blocks.unpersist()
+
+
+def rows_of(block: tuple) -> Rows:
+    """The sparse rows of a block."""
+    lengths, index, value, _ = block
+    return Rows(len(lengths), np.repeat(np.arange(len(lengths)), lengths), index, value.astype(np.float64))
+
+
+def sum_partials(blocks: RDD, partial: Callable[[Iterator], np.ndarray | None]) -> np.ndarray:
+    """Sum over partitions of the array ``partial`` makes from each partition's blocks.
 
     With more than a few partitions the partial sums are added in a tree on the executors, so the
     driver receives only the last few.
     """
 
-    def run(batches):
-        total = partial(batches)
+    def run(part):
+        total = partial(part)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+            yield total
 
-    sums = df.mapInArrow(run, StructType([StructField("total", BinaryType())])).rdd.map(
-        lambda row: np.frombuffer(row["total"])
-    )
+    sums = blocks.mapPartitions(run)
     partitions = sums.getNumPartitions()
     if partitions <= FEW:
         collected = sums.collect()
