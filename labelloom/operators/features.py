@@ -24,7 +24,7 @@ from labelloom.staging import stage
 
 @dataclass(frozen=True)
 class Representation:
-    """How a text becomes terms, and how its terms are weighted and pruned."""
+    """How an accent-folded text becomes terms, and how its terms are weighted and pruned."""
 
     name: str
     terms: Callable[[str], Column]
@@ -34,12 +34,12 @@ class Representation:
     max_df: float = 0.995
 
 
-def word_terms(text_col: str) -> Column:
-    return word_ngrams(tokens(fold_accents(text_col)))
+def word_terms(folded: str) -> Column:
+    return word_ngrams(tokens(folded))
 
 
-def char_terms(text_col: str) -> Column:
-    return char_ngrams(fold_accents(text_col))
+def char_terms(folded: str) -> Column:
+    return char_ngrams(folded)
 
 
 WORD_TFIDF = Representation("word_tfidf", word_terms, binary=False, max_features=250_000)
@@ -49,9 +49,13 @@ REPRESENTATIONS = (WORD_TFIDF, CHAR_NGRAMS)
 
 def with_terms(df: DataFrame, text_col: str, representation: Representation) -> DataFrame:
     """Replace the text by its ``terms``, sorted; each once if the representation is binary."""
+    return _terms_of_folded(df.withColumn(text_col, fold_accents(text_col)), text_col, representation)
+
+
+def _terms_of_folded(folded: DataFrame, text_col: str, representation: Representation) -> DataFrame:
     terms = representation.terms(text_col)
     terms = F.array_distinct(terms) if representation.binary else F.sort_array(terms)
-    return df.withColumn("terms", terms).drop(text_col)
+    return folded.withColumn("terms", terms).drop(text_col)
 
 
 def term_counts(
@@ -142,10 +146,11 @@ def _terms_by_id(df: DataFrame, id_col: str, text_col: str, representation: Repr
     """One row per document and term occurrence, all of a document in one partition.
 
     The texts are shuffled by id before their terms are made, so that neither the term count nor
-    the length needs a shuffle of the many times larger terms.
+    the length needs a shuffle of the many times larger terms. Accents are folded before, because
+    Spark forgets the partitioning of what passes through Python.
     """
-    placed = df.select(id_col, text_col).repartition(id_col)
-    return exploded(with_terms(placed, text_col, representation), "terms", "term").select(id_col, "term")
+    placed = df.select(id_col, fold_accents(text_col).alias(text_col)).repartition(id_col)
+    return exploded(_terms_of_folded(placed, text_col, representation), "terms", "term").select(id_col, "term")
 
 
 def tfidf(

@@ -200,3 +200,13 @@ def test_blend_and_submission(spark, corpus, tmp_path):
 def test_unknown_candidate(spark, corpus):
     with pytest.raises(ValueError, match="Unknown candidates"):
         ex.refit_and_score(corpus, corpus, ["nonsense"], SETTINGS)
+
+
+@pytest.mark.parametrize("representation", ft.REPRESENTATIONS)
+def test_terms_are_not_shuffled(spark, corpus, representation):
+    """The texts are shuffled once by id; nothing is shuffled after they became terms."""
+    vocab = spark.createDataFrame([("a", 0, 1.0)], "term string, term_idx int, idf double")
+    make = ft.binary_ngrams if representation.binary else ft.tfidf
+    plan = make(corpus, vocab, "id", "text", representation)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Generate posexplode")
+    assert "Exchange hashpartitioning" not in above and below.count("Exchange hashpartitioning") == 1
