@@ -140,12 +140,15 @@ def search_weights_per_label(spark, sf):
     return bigints(rounded(_found(spark, sf, "per-label"), "w0", "w1", "w2", "roc_auc"), "pool_id")
 
 
+DRAWN = bl.weight_pool(len(CANDIDATES), draws=384, seed=SEED + 303)
+
+
 def search_weights_drawn(spark, sf):
     """The search over the whole pool, Dirichlet draws included."""
     optimisation, _ = _halves(spark, sf)
     ranks = bl.fractional_ranks(optimisation, "doc_id")
-    pool = bl.pool_table(spark, bl.weight_pool(len(CANDIDATES), draws=384, seed=SEED + 303))
-    return bl.search_weights(ranks, "doc_id", CANDIDATES, pool)
+    found = bl.search_weights(ranks, "doc_id", CANDIDATES, bl.pool_table(spark, DRAWN))
+    return bigints(rounded(found, "w0", "w1", "w2", "roc_auc"), "pool_id")
 
 
 def blend_weights_table(spark, sf):
@@ -281,10 +284,16 @@ def _fraction_sql(source, name):
     / (count(*) OVER (PARTITION BY candidate, label) + CAST(1 AS DOUBLE)) AS fraction FROM {source})"""
 
 
-POOL_SQL = "pool(pool_id, w0, w1, w2) AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, " + ", ".join(f"CAST({w!r} AS DOUBLE)" for w in row) + ")"
-    for i, row in enumerate(bl.weight_pool(3, draws=0))
-) + "))"
+
+
+def _pool_sql(pool):
+    rows = ", ".join(
+        f"({i}, " + ", ".join(f"CAST('{w!r}' AS DOUBLE)" for w in row) + ")" for i, row in enumerate(pool)
+    )
+    return f"pool(pool_id, w0, w1, w2) AS (SELECT * FROM (VALUES {rows}))"
+
+
+POOL_SQL = _pool_sql(bl.weight_pool(3, draws=0))
 HALVES_SQL = GROUPS_SQL + f""", {holdout_sql("grouped", "halved", 0.5, SEED + 202)},
 halves AS (SELECT k.*, h.held_out FROM keyed k JOIN halved h ON k.group_key = h.group_key),
 optimisation AS (SELECT * FROM halves WHERE NOT held_out), audit AS (SELECT * FROM halves WHERE held_out)"""
@@ -352,6 +361,8 @@ FROM pooled p JOIN subsets s ON p.candidate = s.candidate JOIN areas a ON p.cand
     "fractional_ranks": f"""WITH {SCORED_SQL}, {_fraction_sql("scored", "ranked")}
 SELECT doc_id, candidate, label, round(fraction, 6) AS fraction FROM ranked""",
     "search_weights": f"WITH {GLOBAL_SQL} SELECT {WEIGHT_COLUMNS}, round(roc_auc, 6) AS roc_auc FROM found",
+    "search_weights_drawn": f"""WITH {GLOBAL_SQL.replace(POOL_SQL, _pool_sql(DRAWN))}
+SELECT {WEIGHT_COLUMNS}, round(roc_auc, 6) AS roc_auc FROM found""",
     "search_weights_per_label": f"WITH {PER_LABEL_SQL} SELECT label, {WEIGHT_COLUMNS}, round(roc_auc, 6) AS roc_auc FROM found",
     "blend_weights_table": f"""WITH {PER_LABEL_SQL} SELECT label, 'spread' AS candidate, round(w0, 6) AS weight FROM found
 UNION ALL SELECT label, 'scattered', round(w1, 6) FROM found UNION ALL SELECT label, 'tied', round(w2, 6) FROM found""",

@@ -97,6 +97,14 @@ def stratified_group_folds(spark, sf):
     return bigints(folds.select("group_id", "group_size", *LABELS, "fold"), "fold", *LABELS)
 
 
+def stratified_group_folds_sizes(spark, sf):
+    """Smallest and largest number of groups of each label vector in a fold: they differ by one at most."""
+    folds = splits.stratified_group_folds(groups(spark, sf), FOLDS, SEED, LABELS)
+    sizes = folds.groupBy(gr.label_signature(LABELS).alias("signature")).pivot("fold", list(range(FOLDS))).count()
+    counts = [F.coalesce(F.col(str(f)), F.lit(0)) for f in range(FOLDS)]
+    return sizes.select("signature", F.least(*counts).alias("smallest"), F.greatest(*counts).alias("largest"))
+
+
 def stratified_group_folds_rotate(spark, sf):
     return bigints(folded_corpus(spark, sf).select("doc_id", "fold"), "fold")
 
@@ -112,6 +120,10 @@ def split_groups(spark, sf):
     return bigints(rows.select("doc_id", "partition", "fold"), "fold")
 
 
+def split_partitions(spark, sf):
+    return split_groups(spark, sf).select("doc_id", "partition")
+
+
 def rows_for_groups(spark, sf):
     selected = groups(spark, sf).where("toxic = 1")
     return splits.rows_for_groups(keyed_corpus(spark, sf), selected, "doc_id").select("doc_id")
@@ -167,8 +179,8 @@ QUERIES = {
     for f in (
         check_ids, check_ids_repeated, check_labels, clean_text, clean_text_report, check_reconcile,
         sample_rows, duplicate_groups, duplicate_groups_documents, group_labels, group_sizes,
-        label_signature, duplicate_report, stratified_group_folds, stratified_group_folds_rotate,
-        stratified_group_holdout, split_groups, rows_for_groups, check_no_group_crosses,
+        label_signature, duplicate_report, stratified_group_folds, stratified_group_folds_sizes, stratified_group_folds_rotate,
+        stratified_group_holdout, split_groups, split_partitions, rows_for_groups, check_no_group_crosses,
         check_no_group_crosses_by_row, check_both_outcomes, check_coverage, check_two_outcomes,
         class_membership, class_summary, top_words_by_class, top_words_small_vocabulary, corpus_totals,
     )
@@ -257,6 +269,15 @@ FROM (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS k FRO
     "duplicate_report": f"""WITH {GROUPS_SQL} SELECT CAST(sum(group_size) AS BIGINT) AS rows, count(*) AS groups,
   CAST(coalesce(sum(group_size) FILTER (WHERE group_size > 1), 0) AS BIGINT) AS rows_in_non_singleton_groups,
   count(*) FILTER (WHERE inconsistent) AS groups_with_inconsistent_labels FROM grouped""",
+    "stratified_group_folds_sizes": f"""WITH {GROUPS_SQL} SELECT CAST(toxic + 2 * low_quality AS BIGINT) AS signature,
+  CAST(count(*) // {FOLDS} AS BIGINT) AS smallest, CAST((count(*) + {FOLDS - 1}) // {FOLDS} AS BIGINT) AS largest
+FROM grouped GROUP BY toxic + 2 * low_quality""",
+    "split_partitions": f"""WITH {GROUPS_SQL}, {holdout_sql("grouped", "held", 0.16, SEED + 101)},
+meta AS (SELECT * EXCLUDE (held_out) FROM held WHERE held_out), {holdout_sql("meta", "audited", 0.5, SEED + 202)},
+parts AS (
+  SELECT group_key, 'dev' AS partition FROM held WHERE NOT held_out
+  UNION ALL SELECT group_key, CASE WHEN held_out THEN 'meta_audit' ELSE 'meta_opt' END FROM audited)
+SELECT k.doc_id, p.partition FROM keyed k JOIN parts p ON k.group_key = p.group_key""",
     "stratified_group_folds_rotate": f"WITH {FOLDED_CORPUS_SQL} SELECT doc_id, CAST(fold AS BIGINT) AS fold FROM folded",
     "stratified_group_holdout": f"""WITH {GROUPS_SQL}, {holdout_sql("grouped", "held", 0.16, SEED + 101)}
 SELECT group_id, held_out FROM held""",
