@@ -65,12 +65,12 @@ class Settings:
     def candidates(self) -> list[str]:
         return [candidate_key(r, family) for r in self.representations for family in self.families]
 
-    def only(self, keys: Sequence[str]) -> Settings:
-        """The same settings for the representations and families the keys need."""
-        unknown = sorted(set(keys) - set(self.candidates()))
+    def wanted(self, keys: Sequence[str] | None) -> list[str]:
+        """The given candidates, or all; an unknown one is an error."""
+        unknown = sorted(set(keys or ()) - set(self.candidates()))
         if unknown:
             raise ValueError(f"Unknown candidates: {unknown}")
-        return self
+        return self.candidates() if keys is None else list(keys)
 
 
 def candidate_key(representation: ft.Representation, family: str) -> str:
@@ -241,7 +241,7 @@ def fit_and_score(
     Representations that no wanted candidate uses are not built.
     """
     labels, id_col, text_col = list(settings.label_cols), settings.id_col, settings.text_col
-    wanted = list(settings.candidates() if keys is None else settings.only(keys) and keys)
+    wanted = settings.wanted(keys)
     rows = train.count()
     scores: dict[str, list[DataFrame]] = {name: [] for name in targets}
     for representation in settings.representations:

@@ -137,7 +137,7 @@ ORACLES = {
     "sniff_files": """SELECT 'csv' AS form, 'csv' AS type UNION ALL SELECT 'gzip', 'gzip'
 UNION ALL SELECT 'parquet', 'unknown'""",
     "reject_unreadable": """SELECT unnest(['documents.parquet', 'labels.parquet']) AS file, 'unknown' AS type,
-  'an unrecognised binary format' AS reason""",
+  'binary data of no known kind' AS reason""",
     "null_tokens": "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN lang END AS lang FROM documents",
     "table_shape": """SELECT count(*) AS rows, (SELECT count(*) FROM information_schema.columns
   WHERE table_name = 'documents') AS columns FROM documents""",
