@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelloom.llm import mixing, packing, sharding
+from labelloom.llm import mixing, packing, sharding, simhash
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op1_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
+def op5_simhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
+
+
 def op6_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
     assigned = sharding.document_shards(table(spark, sf, "documents"), 24)
     return assigned.select(
@@ -28,6 +33,7 @@ def op9_block_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op9_block_mix": op9_block_mix,
 }
