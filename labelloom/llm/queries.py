@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelloom.llm import mixing, packing, sharding, simhash
+from labelloom.llm import mixing, packing, rangejoin, sharding, simhash, topk
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -15,6 +15,15 @@ def op1_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
+def op2_metric_range_join(spark: SparkSession, sf: str) -> DataFrame:
+    return rangejoin.near_vectors(table(spark, sf, "embeddings"), 0.93)
+
+
+def op3_threshold_topk(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf, "embeddings"))
+    return topk.top_inner_products(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op5_simhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
@@ -33,8 +42,25 @@ def op9_block_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_metric_range_join": op2_metric_range_join,
+    "op3_threshold_topk": op3_threshold_topk,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op9_block_mix": op9_block_mix,
 }
-ORACLES: dict[str, str] = {}
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+ORACLES: dict[str, str] = {"op3_threshold_topk": OP3_SQL}
