@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelloom.llm import mixing, packing, rangejoin, sharding, simhash, topk
+from labelloom.llm import brown, langid, mixing, packing, rangejoin, sharding, simhash, topk
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op3_threshold_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_inner_products(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+def op4_segmentation_langid(spark: SparkSession, sf: str) -> DataFrame:
+    found = langid.fit_and_identify(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_simhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
@@ -40,13 +45,20 @@ def op9_block_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(table(spark, sf, "documents")))
 
 
+def op10_brown_lm(spark: SparkSession, sf: str) -> DataFrame:
+    found = brown.fit_and_score(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.withColumn("held_out", brown.held_out())
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_metric_range_join": op2_metric_range_join,
     "op3_threshold_topk": op3_threshold_topk,
+    "op4_segmentation_langid": op4_segmentation_langid,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
     "op6_hilbert_shards": op6_hilbert_shards,
     "op9_block_mix": op9_block_mix,
+    "op10_brown_lm": op10_brown_lm,
 }
 
 OP3_SQL = """
