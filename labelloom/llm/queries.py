@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelloom.llm import brown, langid, mixing, packing, rangejoin, sharding, simhash, topk
+from labelloom.llm import brown, fixity, langid, mixing, packing, pii, rangejoin, sharding, simhash, topk
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -41,6 +41,22 @@ def op6_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_bootstrapped_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find(table(spark, sf, "documents").select("doc_id", "text"))
+    counts = [pii.count_of(i) for i in range(len(pii.KINDS))]
+    return found.select(
+        "doc_id",
+        *[n.alias(f"n_{kind}") for n, kind in zip(counts, pii.KINDS)],
+        F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
+def op8_merkle_fixity(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return fixity.audit(pages, fixity.decayed(pages))
+
+
 def op9_block_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(table(spark, sf, "documents")))
 
@@ -57,6 +73,8 @@ QUERIES = {
     "op4_segmentation_langid": op4_segmentation_langid,
     "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
     "op6_hilbert_shards": op6_hilbert_shards,
+    "op7_bootstrapped_pii": op7_bootstrapped_pii,
+    "op8_merkle_fixity": op8_merkle_fixity,
     "op9_block_mix": op9_block_mix,
     "op10_brown_lm": op10_brown_lm,
 }
@@ -75,4 +93,21 @@ ranked AS (
   FROM scored)
 SELECT * FROM ranked WHERE rank <= 5
 """
-ORACLES: dict[str, str] = {"op3_threshold_topk": OP3_SQL}
+OP8_SQL = r"""
+WITH numbered AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+         row_number() OVER (ORDER BY page_id) - 1 AS node FROM pages),
+both_sides AS (
+  SELECT node, page_id, url, html, CASE WHEN page_id % 50 = 7 THEN translate(html, 'e', '3') ELSE html END AS other FROM numbered),
+heads AS (
+  SELECT *, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id
+         || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)
+         || chr(13) || chr(10) || chr(13) || chr(10) AS head, chr(13) || chr(10) || chr(13) || chr(10) AS tail FROM both_sides),
+records AS (
+  SELECT node, page_id, strlen(head || html || tail) AS length, sha256(head || html || tail) AS expected, sha256(head || other || tail) AS found FROM heads),
+placed AS (
+  SELECT page_id, node // 4096 AS file, node % 4096 AS record,
+         CAST(sum(length) OVER (PARTITION BY node // 4096 ORDER BY node) - length AS BIGINT) AS "offset", length, expected, found FROM records)
+SELECT page_id, file, record, "offset", length, expected, found FROM placed WHERE expected <> found
+"""
+ORACLES: dict[str, str] = {"op8_merkle_fixity": OP8_SQL, "op3_threshold_topk": OP3_SQL}
