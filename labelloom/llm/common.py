@@ -87,3 +87,14 @@ def in_order(df: DataFrame, order: Sequence[str], weight: str | None = None) ->
     for r in counts:
         rows[r["_part"]], weights[r["_part"]] = r["n"], r["w"]
     return Ordered(table, np.cumsum(rows) - rows, np.cumsum(weights) - weights, int(rows.sum()), int(weights.sum()))
+
+
+def packed(df: DataFrame, *own: str) -> DataFrame:
+    """The columns ``own``, and all others in a struct ``rest``, so that their names meet no others."""
+    others = [F.col(f"`{c}`") for c in df.columns if c not in own]
+    return df.select(*own, F.struct(*others, F.lit(0).alias("_" * (1 + max(map(len, df.columns))))).alias("rest"))
+
+
+def unpacked(df: DataFrame, columns: Sequence[str], *own: str) -> DataFrame:
+    """The columns in their order again."""
+    return df.select(*[c if c in own else F.col("rest").getField(c).alias(c) for c in columns])

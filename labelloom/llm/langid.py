@@ -174,8 +174,8 @@ def identify(docs: DataFrame, langs: Sequence[str], probability: np.ndarray, voc
     """Adds ``lang_pred`` and ``score``, the posterior of that language among the learned ones, all alike at first.
 
     ``und`` and 0 where the text is null or has no letter, or no language was learned. Texts are read whole; ties
-    go to the language that is first by code point. Other columns pass through, except ones of these two
-    names, which are replaced.
+    go to the language that is first by code point. Other columns pass through; columns that had these two names lose
+    them to the results.
     """
     docs = docs.drop("lang_pred", "score")
     names = docs.columns

@@ -8,6 +8,7 @@ shards, go through a pseudorandom permutation of its block numbers, and the bloc
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from labelloom.llm.common import WORD, in_order
+from labelloom.llm.common import WORD, in_order, packed, unpacked
 from labelloom.staging import stage
 
 WEIGHTS = (5, 2, 1)
@@ -138,7 +139,8 @@ def word_count(text: str = "text") -> Column:
 
 class Mix:
     """``docs``: one row per document row with ``row`` (its place), ``start`` (words of its source before it)
-    and its source's figures; ``slots``: (shard, slot, source_index, block, words)."""
+    and its source's figures; ``slots``: (shard, slot, source_index, block, words, round);
+    each round of a source's slots visits a block at most once."""
 
     def __init__(self, docs: DataFrame, slots: DataFrame, block: int):
         self.docs, self.slots, self.block = docs, slots, block
@@ -154,7 +156,7 @@ class Mix:
         return (
             spread.join(self.slots, ["source_index", "block"])
             .where(low < high)
-            .select("row", "shard", "slot", (low - F.col("start")).alias("low"), (high - F.col("start")).alias("high"))
+            .select("row", "shard", "slot", "round", (low - F.col("start")).alias("low"), (high - F.col("start")).alias("high"))
         )
 
 
@@ -167,9 +169,9 @@ def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = 42,
     round of slots uses a block once, so nothing is taken more than twice.
     """
     spark = docs.sparkSession
-    rows = stage(docs.select("doc_id", "source", word_count().alias("size"), *keep).withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id")), "sizes")
-    ordered = in_order(rows, ["source", "_hash", "doc_id", "size", *keep], "size")
-    placed = ordered.with_places("row", "before").drop("_hash")
+    rows = docs.select("doc_id", "source", word_count().alias("size"), *keep, F.xxhash64(F.lit(seed), "doc_id").alias("_seeded"), F.xxhash64("doc_id", "source", "text", *keep).alias("_row"))
+    ordered = in_order(rows if keep else stage(rows, "sizes"), ["source", "_seeded", "doc_id", "_row"], "size")
+    placed = ordered.with_places("row", "before").drop("_seeded", "_row")
     sources = placed.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("before").alias("_base")).collect()
     sources.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["source_size"] for r in sources]
@@ -208,11 +210,11 @@ def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = 42,
                         number[at] = feistel(own[at] % blocks, blocks, f"{seed}|{i}|{r}")
                     words = np.minimum(block, size - number * block)
                     words[own == per_source[i] - 1] = np.minimum(words[own == per_source[i] - 1], plans[i][1])
-                    frame = {"shard": np.full(n, shard), "slot": place[done : done + n], "source_index": np.full(n, i, np.int32), "block": number, "words": words}
+                    frame = {"shard": np.full(n, shard), "slot": place[done : done + n], "source_index": np.full(n, i, np.int32), "block": number, "words": words, "round": own // blocks}
                     done += n
                     yield pa.RecordBatch.from_pandas(pd.DataFrame(frame), preserve_index=False)
 
-    drawn = spark.range(shards).mapInArrow(draw, "shard long, slot long, source_index int, block long, words long")
+    drawn = spark.range(shards).mapInArrow(draw, "shard long, slot long, source_index int, block long, words long, round long")
     return Mix(documents, drawn, block)
 
 
@@ -225,3 +227,44 @@ def taken_words(mixed: Mix) -> DataFrame:
         .join(got, "row", "left")
         .select(*columns[1:], F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"))
     )
+
+
+def cut_words(text: str, ranges: list[tuple[int, int]]) -> str:
+    """The words of the ranges with the white space inside each, the ranges on lines of their own."""
+    octets = text.encode()
+    spans = [m.span() for m in re.finditer(WORD.encode(), octets)]
+    return "\n".join(octets[spans[low][0] : spans[high - 1][1]].decode() for low, high in ranges)
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix as documents: a row for each document and round in which words of it are taken.
+
+    A document taken whole keeps its text; one taken in part has the words taken, in order. ``n_chars``, if there, is that of
+    the text. Columns stay those of ``docs``.
+    """
+    own = ("doc_id", "source", "text", "n_chars") if "n_chars" in docs.columns else ("doc_id", "source", "text")
+    mixed = mix(packed(docs, *own), keep=[*own[2:], "rest"])
+    pieces = mixed.pieces().groupBy("row", "round").agg(
+        F.array_sort(F.collect_list(F.struct("low", "high"))).alias("ranges"), F.sum(F.col("high") - F.col("low")).alias("taken")
+    )
+    joined = mixed.docs.join(pieces, "row")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, ranges: pd.Series, whole: pd.Series) -> pd.Series:
+        return pd.Series([t if w else cut_words(t, merged([(r["low"], r["high"]) for r in rs])) for t, rs, w in zip(texts, ranges, whole)])
+
+    out = joined.withColumn("text", cut("text", "ranges", F.col("taken") == F.col("size")))
+    if "n_chars" in own:
+        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
+    return unpacked(out, docs.columns, *own)
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted ranges, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for low, high in ranges:
+        if out and out[-1][1] == low:
+            out[-1] = (out[-1][0], high)
+        else:
+            out.append((low, high))
+    return out

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from labelloom.llm.common import packed, unpacked
 from labelloom.staging import stage
 
 #: The fixed patterns, with starts and quantifiers such that a failed attempt is never repeated inside
@@ -191,7 +192,7 @@ def written(spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; spans that overlap become one mark."""
-    columns, found = docs.columns, find(docs).select("doc_id", "text_hash", "spans").where(F.size("spans") > 0)
+    found = find(docs).select("doc_id", "text_hash", "spans").where(F.size("spans") > 0)
     found = found.dropDuplicates(["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     text = F.col("text")
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
@@ -204,5 +205,6 @@ def redact(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(by_start, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_hash")), "left")
-    return joined.select(*[F.when(F.col("spans").isNull(), text).otherwise(clean).alias("text") if c == "text" else docs[c] for c in columns])
+    rows = packed(docs, "doc_id", "text")
+    joined = rows.join(found, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_hash")), "left")
+    return unpacked(joined.withColumn("text", F.when(F.col("spans").isNull(), text).otherwise(clean)), docs.columns, "doc_id", "text")

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from labelloom.llm.common import kept_by_worker
+from labelloom.llm.common import kept_by_worker, packed, unpacked
 from labelloom.llm.components import connect
 from labelloom.staging import stage
 
@@ -51,14 +51,15 @@ def _bit_table() -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp``: the fingerprint of the lower-cased (A-Z) words of every text, as a signed integer."""
+    """``doc_id, text_hash, fp``: the fingerprint of the lower-cased (A-Z) words of every text, as a signed integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((fingerprint((t or b"").lower().split(), width) for t in (s.as_py() for s in batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -231,7 +232,7 @@ def hamming_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHINGLE) -> DataFrame:
-    """Every document with ``fp`` and ``component_id``, the smallest ``doc_id`` its fingerprint reaches.
+    """Every document with ``fp``, ``group`` and ``component_id``, the smallest ``doc_id`` its fingerprint reaches.
 
     Documents with equal fingerprints are one node. A null text has no words like an empty one; a null
     ``doc_id`` takes part but is never a component's smallest unless there is no other (then null). Rows that repeat
@@ -240,11 +241,21 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = SHIN
     prints = stage(fingerprints(docs, width), "fingerprints")
     classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     labels = connect(hamming_links(classes, distance)).withColumnRenamed("node", "fp")
-    joined = labels.join(classes, "fp")
-    smallest = joined.groupBy("label").agg(F.min("first").alias("component_id"))
-    linked = labels.join(smallest, "label").select("fp", "component_id")
-    components = stage(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "components")
-    return prints.join(components, "fp").select("doc_id", "fp", "component_id")
+    grouped = classes.join(labels, "fp", "left").withColumn("group", F.coalesce("label", "fp"))
+    smallest = grouped.groupBy("group").agg(F.min("first").alias("component_id"))
+    components = stage(grouped.select("fp", "group").join(smallest, "group"), "components")
+    return prints.join(components, "fp").select("doc_id", "text_hash", "fp", "group", "component_id")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One document of each group of near-duplicates: that of the smallest ``doc_id``, of rows that repeat it the one of
+    least text hash; the other rows go. Groups without any id keep one too."""
+    found = near_duplicates(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col("text_hash").alias("hash"))
+    kept = found.groupBy("group").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.hash").alias("_hash"))
+    hashed = packed(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    same = hashed["doc_id"].eqNullSafe(kept["_id"]) & (hashed["text_hash"] == kept["_hash"])
+    return unpacked(hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]), docs.columns, "doc_id", "text")
 
 
 def fingerprint_hex(fp: str = "fp") -> Column:
