@@ -136,7 +136,7 @@ def learn(rows: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE) -
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
-        return [], np.zeros((1, 0))
+        return [], np.zeros((pieces_of(vocabulary).size + 1, 0))
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, sample / sizes[lang]))) for lang in langs])
     chosen = rows.where(F.pmod("pick", F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang")
 

@@ -18,6 +18,7 @@ BLOCK, QUERIES = 8192, 1024
 FIRST_STEP = 32
 #: Sums of products below this are exact in double precision.
 EXACT = 2**53
+LARGEST = 2**63 - 1
 
 
 class SortedLists:
@@ -69,6 +70,8 @@ class SortedLists:
                     break
             if scored.all():
                 break
+        if not exact:  # scores beyond a long become the largest
+            scores = np.array([max(-LARGEST, min(LARGEST, s)) for s in scores], object)
         return scores.astype(np.int64), ids, int(scored.sum())
 
     def _as(self, kind: type) -> np.ndarray:
