@@ -87,17 +87,29 @@ def skew_safe_lookup(
     )
 
 
+#: Beyond the log odds of every double between 0 and 1, at 64 steps a unit (the least is -744.4).
+ENDS = 60_000
+
+
 def score_bucket(score: str) -> Column:
-    """A bucket that never decreases with the score and is fine where scores crowd.
+    """A bucket that never decreases with the score and is fine where scores crowd; NaN is an error.
 
     Probabilities gather near 0 and 1, so buckets are even steps of the log odds; anything
     outside (0, 1) falls on even steps of a logarithm beyond either end.
     """
     s = F.col(score)
     inside = F.floor(F.log(s / (1 - s)) * 64)
-    low = -4000 - F.floor(F.log1p(-s) * 64)
-    high = 4000 + F.floor(F.log1p(s - 1) * 64)
-    return F.when(s <= 0, low).when(s >= 1, high).otherwise(inside).cast("int")
+
+    def beyond(distance: Column) -> Column:
+        return F.floor(F.least(F.log1p(distance) * 64, F.lit(float(ENDS))))
+
+    return (
+        F.when(F.isnan(s), F.raise_error(F.lit(f"NaN in {score}")).cast("bigint"))
+        .when(s <= 0, -ENDS - beyond(-s))
+        .when(s >= 1, ENDS + beyond(s - 1))
+        .otherwise(inside)
+        .cast("int")
+    )
 
 
 def average_ranks(scores: DataFrame, by: Sequence[str], score: str, row_id: str, out: str = "rank") -> DataFrame:

@@ -27,6 +27,9 @@ from queries.feature_queries import UNLABELLED_SQL
 from queries.table_queries import holdout_sql
 
 
+EXTREMES = (1e-40, 0.0, -1.0, 5e-324, 1 - 2.0**-53, 1.0, 7.0, 0.3)
+
+
 def _scored(spark, sf):
     return stand_in_scores(corpus(spark, sf))
 
@@ -118,6 +121,24 @@ def fractional_ranks(spark, sf):
     return rounded(ranks.select("doc_id", "candidate", "label", "fraction"), "fraction")
 
 
+def _extreme(spark, sf):
+    """Scores at both ends of the scale: tiny, zero, negative, one and above, next to ordinary ones."""
+    values = F.array(*[F.lit(v) for v in EXTREMES])
+    score = F.element_at(values, (F.col("n_chars") % len(EXTREMES) + 1).cast("int")) * (1 + F.col("n_chars") % 3)
+    return _scored(spark, sf).where("candidate = 'spread'").drop("score").join(
+        corpus(spark, sf).select("doc_id", score.alias("score")), "doc_id"
+    )
+
+
+def roc_auc_extreme_scores(spark, sf):
+    return rounded(mt.roc_auc(_extreme(spark, sf)), "roc_auc")
+
+
+def fractional_ranks_extreme_scores(spark, sf):
+    ranks = bl.fractional_ranks(_extreme(spark, sf), "doc_id")
+    return rounded(ranks.select("doc_id", "label", "fraction"), "fraction")
+
+
 def _halves(spark, sf):
     """Stand-in scores of the two halves of the corpus, whole groups in one half."""
     halves = stratified_group_holdout(groups(spark, sf), 0.5, SEED + 202, LABELS)
@@ -233,7 +254,8 @@ QUERIES = {
     for f in (
         attach_truth, threshold_labels, confusion, label_metrics, element_accuracy, subset_accuracy,
         macro_metrics, micro_metrics, roc_auc, mean_column_auc, rank_auc_only, per_label_table,
-        all_metrics, fold_summary, rank_candidates, auc_pivot, fractional_ranks, search_weights,
+        all_metrics, fold_summary, rank_candidates, auc_pivot, fractional_ranks,
+        roc_auc_extreme_scores, fractional_ranks_extreme_scores, search_weights,
         search_weights_per_label, search_weights_drawn, blend_weights_table, check_weights,
         apply_weights, audit_blend, clip_scores, score_margin, align_to_template, check_submission,
     )
@@ -286,6 +308,15 @@ def _fraction_sql(source, name):
 
 
 
+EXTREME_SQL = (
+    f"WITH {CORPUS_SQL}, "
+    + scores_sql("corpus", "doc_id, n_chars")
+    + ", extreme AS (SELECT doc_id, candidate, label, truth, list_extract(["
+    + ", ".join(f"CAST('{v!r}' AS DOUBLE)" for v in EXTREMES)
+    + f"], CAST(n_chars % {len(EXTREMES)} + 1 AS INTEGER)) * (1 + n_chars % 3) AS score FROM scored WHERE candidate = 'spread')"
+)
+
+
 def _pool_sql(pool):
     rows = ", ".join(
         f"({i}, " + ", ".join(f"CAST('{w!r}' AS DOUBLE)" for w in row) + ")" for i, row in enumerate(pool)
@@ -316,6 +347,10 @@ TEST_SQL = f"""WITH {UNLABELLED_SQL}, scored AS (
   SELECT doc_id, n_chars, CAST(n_chars % 997 AS DOUBLE) / CAST(997 AS DOUBLE) AS s FROM unlabelled)"""
 
 ORACLES = {
+    "roc_auc_extreme_scores": f"""{EXTREME_SQL}, {_auc_sql("extreme", "auc")}
+SELECT candidate, label, round(roc_auc, 6) AS roc_auc FROM auc""",
+    "fractional_ranks_extreme_scores": f"""{EXTREME_SQL}, {_fraction_sql("extreme", "ranked")}
+SELECT doc_id, label, round(fraction, 6) AS fraction FROM ranked""",
     "attach_truth": f"WITH {SCORED_SQL} SELECT doc_id, label, candidate, round(score, 6) AS score, CAST(truth AS BIGINT) AS truth FROM scored",
     "threshold_labels": f"WITH {SCORED_SQL} SELECT doc_id, candidate, label, CAST(score >= 0.5 AS BIGINT) AS prediction FROM scored",
     "confusion": f"WITH {CONFUSION_SQL} SELECT * FROM confused",

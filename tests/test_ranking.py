@@ -3,8 +3,10 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from labelloom.operators.metrics import roc_auc
 from labelloom.operators.ranking import average_ranks, hash_rank, seeded_hash, skew_safe_lookup
 
 
@@ -18,6 +20,26 @@ def test_hash_rank(spark):
         assert hashes == sorted(hashes)
 
 
+def test_scores_at_the_ends_of_the_scale(spark):
+    scores = [0.0, -1.0, 5e-324, 1e-40, 1 - 2.0**-53, 1.0, 7.0, -1e308, 1e308, float("inf"), float("-inf"), 0.5, 0.0, 1e-300]
+    df = spark.createDataFrame([(i, "a", s) for i, s in enumerate(scores)], "id int, k string, score double")
+    found = {r["id"]: r["rank"] for r in average_ranks(df, ["k"], "score", "id").collect()}
+    for i, s in enumerate(scores):
+        assert found[i] == sum(x < s for x in scores) + (sum(x == s for x in scores) + 1) / 2
+    truth = df.withColumn("truth", (F.col("id") >= 3).cast("int")).where("id IN (0, 3, 4)").withColumn("label", F.lit("l"))
+    tiny = spark.createDataFrame([("c", "l", 0.0, 0), ("c", "l", 0.0, 0), ("c", "l", 1e-40, 1), ("c", "l", 0.3, 1)], "candidate string, label string, score double, truth int")
+    assert roc_auc(tiny).first()["roc_auc"] == 1.0
+    assert roc_auc(truth, ["k", "label"]).first()["roc_auc"] == 1.0
+
+
+def test_nan_is_refused(spark):
+    df = spark.createDataFrame([(1, "a", float("nan"), 1), (2, "a", 0.5, 0)], "id int, k string, score double, truth int")
+    with pytest.raises(Exception, match="NaN in score"):
+        roc_auc(df, ["k"]).collect()
+    with pytest.raises(Exception, match="NaN in score"):
+        average_ranks(df, ["k"], "score", "id").collect()
+
+
 def test_average_ranks_with_ties_and_extremes(spark):
     random.seed(1)
     scores = [random.choice([0.0, 1.0, 0.5, 1e-15, 1 - 1e-15, -3.5, 7.25, random.random()]) for _ in range(2000)]
