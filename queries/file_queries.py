@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import zipfile
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from labelloom.sources import files, sinks
 from labelloom.staging import fresh_path
-from queries.common import CORPUS_SQL, bigints, corpus, documents, rounded, scores_sql, stand_in_scores, table
+from queries.common import CORPUS_SQL, bigints, corpus, rounded, scores_sql, stand_in_scores, table
 
 SCHEMA = StructType(
     [StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType())]
@@ -50,44 +52,70 @@ def read_csv_table_gzip(spark, sf):
     return _told(files.read_csv_table(spark, _written(spark, sf, compression="gzip"), SCHEMA))
 
 
+FILES = 8
+FORMS = ("csv", "gzip", "zip")
+
+
+def _target(form, sink, name):
+    """An open text file of the given form, and what is to be closed in order."""
+    if form == "gzip":
+        packed = gzip.GzipFile(fileobj=sink, mode="wb")
+    elif form == "zip":
+        archive = zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED)
+        packed = archive.open(name + ".csv", "w", force_zip64=True)
+        text = io.TextIOWrapper(packed, encoding="utf-8", newline="")
+        return text, [text, archive, sink]
+    else:
+        packed = sink
+    text = io.TextIOWrapper(packed, encoding="utf-8", newline="")
+    return text, [text, *([] if form == "csv" else [sink])]
+
+
+def _packed_files(spark, sf, form):
+    """The documents as FILES files of one form, by ``doc_id``, each written row batch by row batch."""
+    path = fresh_path(spark, form)
+
+    def write(batches):
+        number, text, closing = None, None, []
+        for batch in batches:
+            for own, rows in batch.groupby("bucket", sort=False):
+                if own != number:
+                    for part in closing:
+                        part.close()
+                    name = f"documents-{own}"
+                    system, place = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+                    system.create_dir(place)
+                    sink = system.open_output_stream(f"{place}/{name}.{form}", compression=None)
+                    text, closing = _target(form, sink, name)
+                    rows.drop(columns="bucket").to_csv(text, index=False)
+                    number = own
+                    yield pd.DataFrame({"bucket": [own]})
+                else:
+                    rows.drop(columns="bucket").to_csv(text, index=False, header=False)
+        for part in closing:
+            part.close()
+
+    bucket = F.pmod(F.col("doc_id"), F.lit(FILES)).alias("bucket")
+    rows = _documents(spark, sf).select("doc_id", "text", "lang", bucket)
+    rows.repartition(FILES, "bucket").sortWithinPartitions("bucket").mapInPandas(write, "bucket long").count()
+    return path
+
+
 def read_csv_table_zip(spark, sf):
-    """Every partition of the documents packed into one zip archive, and the archives opened again."""
-
-    def pack(batches):
-        text = io.StringIO()
-        for number, batch in enumerate(batches):
-            batch.to_csv(text, index=False, header=number == 0)
-        if text.tell():
-            archive = io.BytesIO()
-            with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as target:
-                target.writestr("documents.csv", text.getvalue())
-            yield pd.DataFrame({"content": [archive.getvalue()]})
-
-    archives = documents(spark, sf).select("doc_id", "text").mapInPandas(
-        pack, StructType([StructField("content", BinaryType())])
-    )
-    rows = files.parse_files(archives.withColumn("type", files.file_type("content")), ["doc_id", "text"], "documents")
-    return files.null_tokens(rows, ["text"]).select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("digest")
-    )
+    """The documents packed into zip archives, and the archives opened again."""
+    return _told(files.read_csv_table(spark, [_packed_files(spark, sf, "zip")], SCHEMA, "documents"))
 
 
 def sniff_files(spark, sf):
-    """The types found among the documents written as CSV and gzip, and among the Parquet tables."""
-    found = None
-    for form, paths in (
-        ("csv", _written(spark, sf)),
-        ("gzip", _written(spark, sf, compression="gzip")),
-        ("parquet", [f"{sf}/documents.parquet", f"{sf}/labels.parquet"]),
-    ):
-        kinds = files.sniff_files(spark, paths).select(F.lit(form).alias("form"), "type")
-        found = kinds if found is None else found.unionByName(kinds)
-    return found.distinct()
+    """The type of every file of the documents written in three forms, and of the Parquet tables."""
+    paths = [_packed_files(spark, sf, form) for form in FORMS] + [f"{sf}/documents.parquet", f"{sf}/labels.parquet"]
+    name = F.regexp_extract("path", r"[^/]+$", 0)
+    return files.sniff_files(spark, paths).select(name.alias("file"), "type", "header")
 
 
 def reject_unreadable(spark, sf):
     _, rejected = files.reject_unreadable(files.sniff_files(spark, [f"{sf}/documents.parquet", f"{sf}/labels.parquet"]))
-    return rejected.select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), "type", "reason")
+    return rejected.select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), "type")
 
 
 def null_tokens(spark, sf):
@@ -133,11 +161,12 @@ ORACLES = {
     "write_table": DOCUMENTS_SQL,
     "read_csv_table": DOCUMENTS_SQL,
     "read_csv_table_gzip": DOCUMENTS_SQL,
-    "read_csv_table_zip": "SELECT doc_id, md5(text) AS digest FROM documents",
-    "sniff_files": """SELECT 'csv' AS form, 'csv' AS type UNION ALL SELECT 'gzip', 'gzip'
-UNION ALL SELECT 'parquet', 'unknown'""",
-    "reject_unreadable": """SELECT unnest(['documents.parquet', 'labels.parquet']) AS file, 'unknown' AS type,
-  'binary data of no known kind' AS reason""",
+    "read_csv_table_zip": DOCUMENTS_SQL,
+    "sniff_files": f"""WITH numbers AS (SELECT DISTINCT doc_id % {FILES} AS k FROM documents)
+SELECT 'documents-' || k || '.' || form AS file, form AS type, CASE WHEN form <> 'zip' THEN 'doc_id,text,lang' END AS header
+FROM numbers, (VALUES {", ".join(f"('{form}')" for form in FORMS)}) f(form)
+UNION ALL SELECT unnest(['documents.parquet', 'labels.parquet']), 'unknown', NULL""",
+    "reject_unreadable": "SELECT unnest(['documents.parquet', 'labels.parquet']) AS file, 'unknown' AS type",
     "null_tokens": "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN lang END AS lang FROM documents",
     "table_shape": """SELECT count(*) AS rows, (SELECT count(*) FROM information_schema.columns
   WHERE table_name = 'documents') AS columns FROM documents""",
