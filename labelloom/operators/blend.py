@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -34,18 +33,17 @@ def wide_ranks(ranks: DataFrame, id_col: str, candidates: Sequence[str], keep: S
     )
 
 
+#: The shares of the first of two candidates, and the concentration of the draws.
+SHARES, CONCENTRATION = (0.25, 0.5, 0.75), 0.7
+
+
 def weight_pool(n: int, draws: int = 384, seed: int = 345) -> list[list[float]]:
     """Candidate weight vectors: equal, each alone, each pair at three shares, Dirichlet draws."""
-    rows = [[1.0 / n] * n]
-    rows += [[float(i == j) for j in range(n)] for i in range(n)]
-    for a, b in combinations(range(n), 2):
-        for share in (0.25, 0.5, 0.75):
-            row = [0.0] * n
-            row[a], row[b] = share, 1.0 - share
-            rows.append(row)
-    if draws:
-        rows += np.random.default_rng(seed).dirichlet([0.7] * n, size=draws).tolist()
-    return rows
+    alone, share = np.eye(n), np.array(SHARES)[None, :, None]
+    first, second = np.triu_indices(n, 1)
+    pairs = alone[first, None] * share + alone[second, None] * (1 - share)
+    drawn = np.random.default_rng(seed).dirichlet([CONCENTRATION] * n, size=draws)
+    return np.concatenate([np.full((1, n), 1 / n), alone, pairs.reshape(-1, n), drawn]).tolist()
 
 
 def pool_table(spark: SparkSession, pool: Sequence[Sequence[float]]) -> DataFrame:
@@ -150,7 +148,7 @@ def apply_weights(scores: DataFrame, weights: DataFrame, id_col: str, keep: Sequ
     """
     blended = (
         fractional_ranks(scores, id_col)
-        .join(F.broadcast(weights), ["label", "candidate"])
+        .join(weights, ["label", "candidate"])
         .groupBy(id_col, "label")
         .agg(F.sum(F.col("fraction") * F.col("weight")).alias("score"), *[F.max(c).alias(c) for c in keep])
     )

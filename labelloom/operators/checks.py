@@ -7,7 +7,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from labelloom.operators.ranking import hash_rank, seeded_hash
+from labelloom.operators.ranking import seeded_hash
+
+#: Digits of a hash by which rows are counted to find a cut-off.
+PREFIX = 4
 
 
 def require(report: DataFrame, violations: Sequence[str], message: str) -> None:
@@ -90,15 +93,28 @@ def sample_rows(
     """
     if n is None:
         return df
-    if n < floor and n < df.count():
-        raise ValueError(f"A sample below {floor} rows is too small for rare labels.")
     picked = df.withColumn("_pick", seeded_hash(seed, id_col))
+    # Rows for each start of the hash, at most 16 ** PREFIX: they tell where the n-th row lies.
+    starts = picked.groupBy(F.substring("_pick", 1, PREFIX).alias("start")).count().collect()
+    if n < floor and n < sum(r["count"] for r in starts):
+        raise ValueError(f"A sample below {floor} rows is too small for rare labels.")
+    before, last = 0, None
+    for start, count in sorted((r["start"], r["count"]) for r in starts):
+        if before + count > n:
+            edge = picked.where(F.substring("_pick", 1, PREFIX) == start).select(F.struct("_pick", F.col(id_col).alias("id")).alias("at"))
+            last = edge.orderBy("at").limit(n - before).agg(F.max("at")).scalar() if n > before else None
+            cut = start
+            break
+        before += count
+    else:
+        return df
     first_positive = picked.agg(
         *[F.min(F.when(F.col(c) == 1, F.col("_pick"))).alias(c) for c in label_cols]
     ).select(F.array_compact(F.array(*label_cols)).alias("picks"))
-    keep = (F.col("_rank") <= n) | F.array_contains(first_positive.scalar(), F.col("_pick"))
-    ranked = hash_rank(picked, "_pick", id_col, out="_rank")
-    return ranked.where(keep).dropDuplicates([id_col]).drop("_pick", "_rank")
+    taken = F.substring("_pick", 1, PREFIX) < cut
+    if last is not None:
+        taken = taken | (F.struct("_pick", F.col(id_col).alias("id")) <= last)
+    return picked.where(taken | F.array_contains(first_positive.scalar(), F.col("_pick"))).drop("_pick")
 
 
 def check_no_group_crosses(rows: DataFrame, group_col: str, part_col: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """A small network with one sigmoid output per label, trained where the rows lie.
 
-Rows are dealt into shards of bounded size. In every epoch each shard runs its own seeded
-mini-batches of Adam from the shared state, and the states are averaged by rows. One shard is
-ordinary mini-batch training; more shards appear only as the table grows.
+Rows are dealt into a given number of shards by their id. In every epoch each shard runs its own seeded
+mini-batches of Adam from the shared state, block by block, and the states are averaged by rows. The shards share
+one batch size, so a step of all of them sees as many rows as one step of ordinary training would. More shards
+train faster and average more; the number never follows from the size or the partitioning of the table, so the
+same rows give the same network.
 """
 
 from __future__ import annotations
@@ -10,7 +12,6 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from labelloom.operators.ranking import seeded_hash
 from labelloom.operators.vectors import columns, sum_partials
 from labelloom.operators.weights import row_weights
 
-SHARD_ROWS = 65_536
+SHARDS = 8
 
 
 @dataclass(frozen=True)
@@ -81,8 +82,8 @@ def loss_and_gradient(flat, shape, x, y, weight, alpha):
     return weight @ per_row / total + penalty, gradient
 
 
-def _epoch(state, shape, x, y, weight, order, batch, rate, alpha):
-    """Adam over one shuffled pass; returns the new state and the summed loss."""
+def _adam(state, shape, x, y, weight, order, batch, rate, alpha):
+    """Adam over the rows of one block in the given order; returns the new state and the summed loss."""
     flat, first, second, steps = state[0].copy(), state[1].copy(), state[2].copy(), state[3]
     summed = 0.0
     for start in range(0, len(order), batch):
@@ -102,7 +103,6 @@ def fit_mlp(
     label_cols: Sequence[str],
     id_col: str,
     components: int,
-    rows: int,
     units: int = 64,
     alpha: float = 1e-4,
     rate: float = 1e-3,
@@ -112,11 +112,12 @@ def fit_mlp(
     tolerance: float = 1e-4,
     patience: int = 10,
     seed: int = 42,
+    shards: int = SHARDS,
 ) -> Network:
     """Train on rows with dense ``features``; stops early when the loss stalls for over ``patience`` epochs."""
     labels = list(label_cols)
     shape = (components, units, len(labels))
-    shards = max(1, ceil(rows / SHARD_ROWS))
+    own_batch = max(1, batch // shards)
     data = (
         row_weights(dense, labels, weight_cap)
         .repartition(shards, id_col)
@@ -149,14 +150,15 @@ def fit_mlp(
             number = epoch
 
             def partial(part: Iterator[tuple]):
-                shard = list(part)
-                if not shard:
+                own, summed, count = shared.value, 0.0, 0
+                chooser = np.random.default_rng([seed, number, TaskContext.get().partitionId()])
+                for x, y, weight in part:
+                    order = chooser.permutation(len(x))
+                    own, loss = _adam(own, shape, x.astype(np.float64), y, weight, order, own_batch, rate, alpha)
+                    summed, count = summed + loss, count + len(x)
+                if not count:
                     return None
-                x, y, weight = (np.concatenate(arrays) for arrays in zip(*shard))
-                x = x.astype(np.float64)
-                order = np.random.default_rng([seed, number, TaskContext.get().partitionId()]).permutation(len(x))
-                made, summed = _epoch(shared.value, shape, x, y, weight, order, batch, rate, alpha)
-                return np.concatenate([*(state * len(x) for state in made[:3]), [made[3] * len(x), summed, len(x)]])
+                return np.concatenate([*(array * count for array in own[:3]), [own[3] * count, summed, count]])
 
             total = sum_partials(blocks, partial)
             shared.unpersist()

@@ -35,8 +35,17 @@ def fold_quotas(counts: dict[int, int], labels: int, k: int) -> dict[tuple[int,
     positives = [sum(n for s, n in counts.items() if s >> i & 1) for i in range(labels)]
     quota = {(s, f): n // k for s, n in counts.items() for f in range(k)}
 
-    def held(fold, label):
-        return sum(q for (s, f), q in quota.items() if f == fold and (label is None or s >> label & 1))
+    # Groups a fold holds so far, of all (None) and of each label.
+    held = {(f, None): 0 for f in range(k)} | {(f, i): 0 for f in range(k) for i in range(labels)}
+
+    def give(signature, fold, amount):
+        held[fold, None] += amount
+        for i in range(labels):
+            if signature >> i & 1:
+                held[fold, i] += amount
+
+    for (signature, fold), amount in quota.items():
+        give(signature, fold, amount)
 
     def rarest(signature):
         present = [i for i in range(labels) if signature >> i & 1]
@@ -53,9 +62,10 @@ def fold_quotas(counts: dict[int, int], labels: int, k: int) -> dict[tuple[int,
         for _ in range(counts[signature] % k):
             fold = max(
                 open_folds,
-                key=lambda f: (wanted / k - held(f, label), total / k - held(f, None), -f),
+                key=lambda f: (wanted / k - held[f, label], total / k - held[f, None], -f),
             )
             quota[signature, fold] += 1
+            give(signature, fold, 1)
             open_folds.discard(fold)
     return quota
 

@@ -108,7 +108,7 @@ def fit_family(
         )
         with _kept(apply_adapter(train, adapter, [id_col, *labels])) as dense:
             network = fit_mlp(
-                dense, labels, id_col, adapter.components, rows,
+                dense, labels, id_col, adapter.components,
                 max_epochs=settings.epochs, seed=settings.seed + seed_offset,
             )
         record.update(
@@ -212,11 +212,12 @@ def summarise(base: DataFrame, oof: DataFrame, records: DataFrame, settings: Set
     """Check that every row was scored once by each candidate, and measure."""
     id_col = settings.id_col
     per_row = len(settings.candidates()) * len(settings.label_cols)
-    cells = oof.groupBy(id_col).agg(F.count("score").alias("cells"))
+    finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf"))
+    cells = oof.groupBy(id_col).agg(F.count_if(finite).alias("cells"))
     complete = cells.where(F.col("cells") == per_row).select(id_col)
     checks.require(
         checks.check_coverage(base, complete, id_col), ["missing", "repeated", "unexpected"],
-        "Every row needs one score per candidate and label",
+        "Every row needs one finite score per candidate and label",
     )
     by_fold = metrics.all_metrics(oof, id_col, ["fold", "candidate"], settings.threshold)
     fold_results = stage(records.join(by_fold, ["fold", "candidate"]), "fold_results")

@@ -94,7 +94,7 @@ def apply_adapter_query(spark, sf):
 
 def _network(spark, sf):
     dense, adapter, n = _reduced(spark, sf)
-    return dense, fit_mlp(dense, LABELS, "doc_id", adapter.components, n, max_epochs=5, batch=64)
+    return dense, fit_mlp(dense, LABELS, "doc_id", adapter.components, max_epochs=5, batch=64)
 
 
 def fit_mlp_query(spark, sf):

@@ -97,17 +97,17 @@ def test_network_gradient():
         assert numeric == pytest.approx(gradient[i], abs=1e-6)
 
 
-@pytest.mark.parametrize("shard_rows", [65_536, 80])
-def test_network_learns(spark, monkeypatch, shard_rows):
-    monkeypatch.setattr("labelloom.operators.mlp.SHARD_ROWS", shard_rows)
+@pytest.mark.parametrize("shards", [1, 8])
+def test_network_learns(spark, shards):
     rows = [(i, *map(int, DENSE_Y[i]), MATRIX[i].tolist()) for i in range(ROWS)]
     dense = spark.createDataFrame(rows, "id int, x int, y int, features array<float>").persist()
-    options = dict(components=FEATURES, rows=ROWS, units=16, batch=32, rate=0.01)
+    options = dict(components=FEATURES, units=16, batch=32, rate=0.01, shards=shards)
     short = fit_mlp(dense, LABELS, "id", max_epochs=1, **options)
     long = fit_mlp(dense, LABELS, "id", max_epochs=15, **options)
     assert long.final_loss < short.final_loss and long.epochs == 15 and long.reached_epoch_budget
-    again = fit_mlp(dense.repartition(3), LABELS, "id", max_epochs=15, **options)
-    assert np.allclose(long.hidden, again.hidden)
+    for parts in (2, 8):
+        again = fit_mlp(dense.repartition(parts), LABELS, "id", max_epochs=15, **options)
+        assert np.allclose(long.hidden, again.hidden)
     assert min(r["roc_auc"] for r in mt.roc_auc(score_multi(dense, long, ["id"], "net")).collect()) > 0.9
 
 
