@@ -1,7 +1,8 @@
 """Truncated SVD and standard scaling of encoded rows, the input of the network.
 
 The SVD is a randomised subspace iteration: each pass sends the current basis to the rows and sums
-their product with it. The basis goes in column blocks of bounded size.
+their product with it. The basis goes in column blocks of bounded size, and the driver receives one sum a block. It
+holds the basis, features by components; both are arguments.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import DataFrame, types as T
 from labelloom.operators.vectors import row_blocks, rows_of, sparse_rows, sum_partials
 
 BLOCK_BYTES = 64 * 2**20
-BASIS_BYTES = 2**30
 SMALLEST = 8
 
 
@@ -54,33 +54,25 @@ def _normal_product(row_data: RDD, basis: np.ndarray) -> np.ndarray:
                     total[used] += dense.T @ (dense @ columns[used])
             return total
 
-        blocks.append(sum_partials(row_data, partial).reshape(features, -1))
+        blocks.append(sum_partials(row_data, partial, block.size).reshape(features, -1))
         shared.unpersist()
     return np.column_stack(blocks)
 
 
-def _moments(row_data: RDD, basis: np.ndarray):
-    """Gram matrix of the rows on the basis, column sums, sum of squares and number of rows."""
-    features, width = basis.shape
-    shared = row_data.context.broadcast(basis)
+def _moments(row_data: RDD, features: int):
+    """Column sums, sum of squares and number of rows."""
 
     def partial(part: Iterator[tuple]):
-        columns = shared.value
-        total = np.zeros(width * width + features + 2)
+        total = np.zeros(features + 2)
         for block in part:
             rows = rows_of(block)
-            for used, dense in rows.blocks():
-                reduced = dense @ columns[used]
-                total[: width * width] += (reduced.T @ reduced).ravel()
-            total[width * width : -2] += np.bincount(rows.index, weights=rows.value, minlength=features)
+            total[:-2] += np.bincount(rows.index, weights=rows.value, minlength=features)
             total[-2] += rows.value @ rows.value
             total[-1] += rows.count
         return total
 
-    summed = sum_partials(row_data, partial)
-    shared.unpersist()
-    gram = summed[: width * width].reshape(width, width)
-    return gram, summed[width * width : -2], summed[-2], summed[-1]
+    summed = sum_partials(row_data, partial, features + 2)
+    return summed[:-2], summed[-2], summed[-1]
 
 
 def fit_adapter(
@@ -97,13 +89,12 @@ def fit_adapter(
     if kept < SMALLEST:
         raise ValueError(f"Too few rows or features for {SMALLEST} components.")
     width = min(kept + oversample, features)
-    if 8 * features * width > BASIS_BYTES:
-        raise ValueError(f"{features} features by {width} columns do not fit the driver; lower either.")
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((features, width)))[0]
     with row_blocks(vectors, [], rows) as row_data:
         for _ in range(iterations + 1):
             basis = np.linalg.qr(_normal_product(row_data, basis))[0]
-        gram, sums, squares, count = _moments(row_data, basis)
+        gram = basis.T @ _normal_product(row_data, basis)
+        sums, squares, count = _moments(row_data, features)
     spread, turn = np.linalg.eigh(gram)
     order = np.argsort(spread)[::-1][:kept]
     directions = basis @ turn[:, order]

@@ -160,7 +160,7 @@ def fit_mlp(
                     return None
                 return np.concatenate([*(array * count for array in own[:3]), [own[3] * count, summed, count]])
 
-            total = sum_partials(blocks, partial)
+            total = sum_partials(blocks, partial, 3 * len(flat) + 3)
             shared.unpersist()
             mean = total / total[-1]
             flat, first, second = np.split(mean[:-3], 3)

@@ -13,7 +13,8 @@ from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-FEW = 16
+#: Numbers that partial sums may have together to be sent to the driver as they are, and numbers in a range.
+DIRECT, RANGE = 1 << 22, 1 << 19
 ROWS_PER_SUM = 512
 PACKED = ["lengths", "indices", "values", "labels"]
 
@@ -103,11 +104,12 @@ def rows_of(block: tuple) -> Rows:
     return Rows(len(lengths), np.repeat(np.arange(len(lengths)), lengths), index, value.astype(np.float64))
 
 
-def sum_partials(blocks: RDD, partial: Callable[[Iterator], np.ndarray | None]) -> np.ndarray:
-    """Sum over partitions of the array ``partial`` makes from each partition's blocks.
+def sum_partials(blocks: RDD, partial: Callable[[Iterator], np.ndarray | None], size: int) -> np.ndarray:
+    """Sum over partitions of the array of ``size`` numbers that ``partial`` makes from each partition's blocks.
 
-    With more than a few partitions the partial sums are added in a tree on the executors, so the
-    driver receives only the last few.
+    The driver receives all partial sums while they are small together. Beyond that they are cut into
+    ranges and added up by range on the executors, so that it receives a single sum however many partitions
+    there are.
     """
 
     def run(part):
@@ -115,11 +117,18 @@ def sum_partials(blocks: RDD, partial: Callable[[Iterator], np.ndarray | None])
         if total is not None:
             yield total
 
-    sums = blocks.mapPartitions(run)
-    partitions = sums.getNumPartitions()
-    if partitions <= FEW:
-        collected = sums.collect()
-        if not collected:
-            raise ValueError("There are no rows.")
-        return np.sum(collected, axis=0)
-    return sums.treeReduce(np.add, depth=2 if partitions <= FEW * FEW else 3)
+    def ranges(part):
+        for total in run(part):
+            flat = total.ravel()
+            for start in range(0, size, RANGE):
+                yield start, flat[start : start + RANGE]
+
+    partitions = blocks.getNumPartitions()
+    if partitions * size <= DIRECT:
+        collected = blocks.mapPartitions(run).map(np.ravel).collect()
+    else:
+        summed = blocks.mapPartitions(ranges).reduceByKey(np.add, min(partitions, -(-size // RANGE))).collect()
+        collected = [np.concatenate([part for _, part in sorted(summed, key=lambda pair: pair[0])])] if summed else []
+    if not collected:
+        raise ValueError("There are no rows.")
+    return np.sum(collected, axis=0)
