@@ -79,6 +79,21 @@ QUERIES = {
     "op10_brown_lm": op10_brown_lm,
 }
 
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT *, sqrt(list_dot_product(x, x)) AS norm FROM v),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.93),
+reach(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+linked AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT r.vec_id, coalesce(any_value(n_links), 0) AS n_links, min(other) AS component_id, r.vec_id = min(other) AS kept
+FROM reach r LEFT JOIN linked ON r.vec_id = a GROUP BY r.vec_id
+"""
 OP3_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
@@ -110,4 +125,4 @@ placed AS (
          CAST(sum(length) OVER (PARTITION BY node // 4096 ORDER BY node) - length AS BIGINT) AS "offset", length, expected, found FROM records)
 SELECT page_id, file, record, "offset", length, expected, found FROM placed WHERE expected <> found
 """
-ORACLES: dict[str, str] = {"op8_merkle_fixity": OP8_SQL, "op3_threshold_topk": OP3_SQL}
+ORACLES: dict[str, str] = {"op2_metric_range_join": OP2_SQL, "op8_merkle_fixity": OP8_SQL, "op3_threshold_topk": OP3_SQL}
