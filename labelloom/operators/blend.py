@@ -160,3 +160,38 @@ def audit_blend(blend_auc: DataFrame, single_auc: DataFrame) -> DataFrame:
     return blend_auc.agg(F.max("mean_column_roc_auc").alias("blend_auc")).select(
         "blend_auc", single_auc.agg(F.max("mean_column_roc_auc")).scalar().alias("best_single_auc")
     ).withColumn("accepted", F.col("blend_auc") > F.col("best_single_auc"))
+
+
+#: Columns of the best single candidate's metrics that a blend of ranks has none of.
+THRESHOLDED = (
+    "element_wise_accuracy", "subset_accuracy", "macro_precision", "macro_recall", "macro_f1",
+    "micro_precision", "micro_recall", "micro_f1",
+)
+BLEND = "rank_blend"
+
+
+def blend_results(audit: DataFrame, optimisation_auc: float, single_metrics: DataFrame) -> DataFrame:
+    """Three rows: the blend where it was learned, the blend on the audit part, and the best single candidate there.
+
+    ``audit`` is the row of ``audit_blend``, ``single_metrics`` that of ``all_metrics``; ranks have no threshold, so the
+    blend has only an area. Exactly one of the two audit rows is accepted.
+    """
+    none = [F.lit(None).cast("double").alias(c) for c in THRESHOLDED]
+    learned = audit.select(
+        F.lit("optimisation").alias("partition"), F.lit(BLEND).alias("candidate"), F.lit(float(optimisation_auc)).alias("mean_column_roc_auc"),
+        F.lit(None).cast("string").alias("metric_scope"), F.lit(None).cast("boolean").alias("accepted"), *none,
+    )
+    audited = audit.select(
+        F.lit("audit").alias("partition"), F.lit(BLEND).alias("candidate"), F.col("blend_auc").alias("mean_column_roc_auc"),
+        F.lit("roc_auc").alias("metric_scope"), "accepted", *none,
+    )
+    single = single_metrics.select(
+        F.lit("audit").alias("partition"), "candidate", "mean_column_roc_auc", F.lit("all").alias("metric_scope"),
+        audit.select(~F.col("accepted")).scalar().alias("accepted"), *THRESHOLDED,
+    )
+    return learned.unionByName(audited).unionByName(single)
+
+
+def audit_per_label(blended: DataFrame) -> DataFrame:
+    """The blend's area for every label of the audit part."""
+    return roc_auc(blended, ["label"]).select(F.lit(BLEND).alias("candidate"), "label", "roc_auc")

@@ -148,8 +148,10 @@ def per_label_table(scored: DataFrame, by: Sequence[str] = ("candidate",), thres
 def fold_summary(
     fold_metrics: DataFrame, oof_metrics: DataFrame, seconds: str | None = None
 ) -> DataFrame:
-    """Per candidate the out-of-fold metrics, and mean and sample deviation of the fold areas."""
+    """Per candidate what it is made of, the out-of-fold metrics, and mean and sample deviation of the fold areas."""
+    made_of = [c for c in ("representation", "model_family", "model_input_adapter") if c in fold_metrics.columns]
     measures = [
+        *[F.max(c).alias(c) for c in made_of],
         F.avg("mean_column_roc_auc").alias("fold_roc_auc_mean"),
         F.stddev_samp("mean_column_roc_auc").alias("fold_roc_auc_standard_deviation"),
     ]
@@ -158,7 +160,8 @@ def fold_summary(
     renamed = oof_metrics.select(
         "candidate", *[F.col(c).alias(f"oof_{c}") for c in oof_metrics.columns if c != "candidate"]
     )
-    return renamed.join(fold_metrics.groupBy("candidate").agg(*measures), "candidate")
+    joined = renamed.join(fold_metrics.groupBy("candidate").agg(*measures), "candidate")
+    return joined.select("candidate", *made_of, *[c for c in joined.columns if c not in ("candidate", *made_of)])
 
 
 def rank_candidates(summary: DataFrame) -> DataFrame:

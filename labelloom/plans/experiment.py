@@ -288,11 +288,38 @@ def refit_and_score(
     )["test"]
 
 
+def prepare_tables(
+    labelled: DataFrame, settings: Settings, unlabelled: DataFrame | None = None, template: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """The tables with null texts as empty ones, written, once they hold what the rest of the plan relies on.
+
+    Ids must be present and unique in each table, labels 0 or 1, and the template must have the ids of the
+    unlabelled rows. Anything else is an error that names the counts.
+    """
+    id_col, text_col, labels = settings.id_col, settings.text_col, list(settings.label_cols)
+    given = {"labelled": labelled, "unlabelled": unlabelled, "template": template}
+    given = {name: df for name, df in given.items() if df is not None}
+    needed = {"labelled": [id_col, text_col, *labels], "unlabelled": [id_col, text_col], "template": [id_col]}
+    for name, df in given.items():
+        checks.require_columns(df, needed[name])
+        checks.require(checks.check_ids(df, id_col), ["null_ids", "repeated_id_rows"], f"Unusable ids in {name}")
+    checks.require(checks.check_labels(labelled, labels), [f"invalid_{c}" for c in labels], "Labels other than 0 and 1")
+    if unlabelled is not None and template is not None:
+        checks.require(
+            checks.check_reconcile(unlabelled, template, id_col), ["row_difference", "only_left", "only_right"],
+            "The template does not have the ids of the unlabelled rows",
+        )
+    return {name: stage(df if name == "template" else checks.clean_text(df, text_col), name) for name, df in given.items()}
+
+
 def split_rows(
     rows: DataFrame, k: int, settings: Settings, meta_fraction: float | None = None, audit_fraction: float = 0.5
 ) -> DataFrame:
     """Rows with ``partition`` and ``fold``, whole duplicate groups together, written and checked."""
     labels, id_col = list(settings.label_cols), settings.id_col
+    rows = checks.clean_text(rows, settings.text_col)
+    checks.require(checks.check_ids(rows, id_col), ["null_ids", "repeated_id_rows"], "Unusable ids")
+    checks.require(checks.check_labels(rows, labels), [f"invalid_{c}" for c in labels], "Labels other than 0 and 1")
     keyed = stage(with_group_key(rows.select(id_col, settings.text_col, *labels), settings.text_col), "keyed")
     groups = stage(group_table(keyed, id_col, labels), "groups")
     plan = split_groups(groups, k, settings.seed, labels, meta_fraction, audit_fraction)
@@ -318,12 +345,13 @@ def split_rows(
 
 @dataclass(frozen=True)
 class Blend:
-    """Learned weights, the audit, and whether the blend may be used."""
+    """Learned weights, the audit, the table of results, and whether the blend may be used."""
 
     weights: DataFrame
     optimisation_auc: float
     audit: DataFrame
     audit_per_label: DataFrame
+    results: DataFrame
     accepted: bool
 
 
@@ -351,9 +379,11 @@ def learn_blend(
         scored["meta_audit"].where(F.col("candidate") == best), id_col, threshold=settings.threshold
     )
     audit = stage(blend.audit_blend(per_label, single), "audit")
-    row = audit.first()
+    optimisation_auc = found.agg(F.avg("roc_auc")).first()[0]
+    results = stage(blend.blend_results(audit, optimisation_auc, single), "blend_results")
     return Blend(
-        weights, found.agg(F.avg("roc_auc")).first()[0], audit, per_label, bool(row["accepted"])
+        weights, optimisation_auc, audit, stage(blend.audit_per_label(blended), "audit_per_label"), results,
+        bool(audit.first()["accepted"]),
     )
 
 

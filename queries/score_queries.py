@@ -190,13 +190,33 @@ def apply_weights(spark, sf):
     return rounded(bl.apply_weights(_scored(spark, sf), _weights(spark), "doc_id"), "score")
 
 
-def audit_blend(spark, sf):
+def _audited(spark, sf):
+    """The search's result, the blend of the audit half, and the scores of that half."""
     _, audit = _halves(spark, sf)
-    weights = bl.blend_weights_table(_found(spark, sf, "global"), CANDIDATES, LABELS)
-    blended = bl.apply_weights(audit, weights, "doc_id", keep=["truth"]).withColumn("candidate", F.lit("blend"))
+    found = _found(spark, sf, "global")
+    weights = bl.blend_weights_table(found, CANDIDATES, LABELS)
+    return found, bl.apply_weights(audit, weights, "doc_id", keep=["truth"]), audit
+
+
+def _audit_report(blended, audit):
     single = mt.mean_column_auc(mt.roc_auc(audit.where("candidate = 'spread'")))
-    report = bl.audit_blend(mt.mean_column_auc(mt.roc_auc(blended)), single)
-    return rounded(report, "blend_auc", "best_single_auc")
+    return bl.audit_blend(mt.mean_column_auc(mt.roc_auc(blended.withColumn("candidate", F.lit("blend")))), single)
+
+
+def audit_blend(spark, sf):
+    _, blended, audit = _audited(spark, sf)
+    return rounded(_audit_report(blended, audit), "blend_auc", "best_single_auc")
+
+
+def blend_results(spark, sf):
+    found, blended, audit = _audited(spark, sf)
+    single = mt.all_metrics(audit.where("candidate = 'spread'"), "doc_id")
+    table = bl.blend_results(_audit_report(blended, audit), found.first()["roc_auc"], single)
+    return rounded(table, "mean_column_roc_auc", *bl.THRESHOLDED)
+
+
+def blend_audit_per_label(spark, sf):
+    return rounded(bl.audit_per_label(_audited(spark, sf)[1]), "roc_auc")
 
 
 def clip_scores(spark, sf):
@@ -257,7 +277,7 @@ QUERIES = {
         all_metrics, fold_summary, rank_candidates, auc_pivot, fractional_ranks,
         roc_auc_extreme_scores, fractional_ranks_extreme_scores, search_weights,
         search_weights_per_label, search_weights_drawn, blend_weights_table, check_weights,
-        apply_weights, audit_blend, clip_scores, score_margin, align_to_template, check_submission,
+        apply_weights, audit_blend, blend_results, blend_audit_per_label, clip_scores, score_margin, align_to_template, check_submission,
     )
 }
 
@@ -346,6 +366,14 @@ WEIGHT_COLUMNS = "CAST(pool_id AS BIGINT) AS pool_id, round(w0, 6) AS w0, round(
 TEST_SQL = f"""WITH {UNLABELLED_SQL}, scored AS (
   SELECT doc_id, n_chars, CAST(n_chars % 997 AS DOUBLE) / CAST(997 AS DOUBLE) AS s FROM unlabelled)"""
 
+AUDITED_SQL = f"""{GLOBAL_SQL}, {scores_sql("audit").replace("scored AS", "audit_scored AS", 1)},
+{_fraction_sql("audit_scored", "audit_ranked")}, audit_blended AS (
+  SELECT doc_id, label, max(truth) AS truth, sum(fraction * CASE candidate WHEN 'spread' THEN w0
+    WHEN 'scattered' THEN w1 ELSE w2 END) AS score FROM audit_ranked, found GROUP BY ALL),
+{_auc_sql("audit_blended", "blend_auc", "label")},
+{_auc_sql("audit_scored", "audit_auc")}, both_auc AS (
+  SELECT (SELECT avg(roc_auc) FROM blend_auc) AS b, (SELECT avg(roc_auc) FROM audit_auc WHERE candidate = 'spread') AS s)"""
+
 ORACLES = {
     "roc_auc_extreme_scores": f"""{EXTREME_SQL}, {_auc_sql("extreme", "auc")}
 SELECT candidate, label, round(roc_auc, 6) AS roc_auc FROM auc""",
@@ -406,14 +434,22 @@ UNION ALL SELECT label, 'scattered', round(w1, 6) FROM found UNION ALL SELECT la
     "apply_weights": f"""WITH {SCORED_SQL}, {_fraction_sql("scored", "ranked")}
 SELECT doc_id, label, round(least(greatest(sum(fraction * CASE candidate WHEN 'spread' THEN CAST(0.5 AS DOUBLE)
   WHEN 'scattered' THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.2 AS DOUBLE) END), 1e-15), 1 - 1e-15), 6) AS score FROM ranked GROUP BY ALL""",
-    "audit_blend": f"""WITH {GLOBAL_SQL}, {scores_sql("audit").replace("scored AS", "audit_scored AS", 1)},
-{_fraction_sql("audit_scored", "audit_ranked")}, audit_blended AS (
-  SELECT doc_id, label, max(truth) AS truth, sum(fraction * CASE candidate WHEN 'spread' THEN w0
-    WHEN 'scattered' THEN w1 ELSE w2 END) AS score FROM audit_ranked, found GROUP BY ALL),
-{_auc_sql("audit_blended", "blend_auc", "label")},
-{_auc_sql("audit_scored", "audit_auc")}, both_auc AS (
-  SELECT (SELECT avg(roc_auc) FROM blend_auc) AS b, (SELECT avg(roc_auc) FROM audit_auc WHERE candidate = 'spread') AS s)
+    "audit_blend": f"""WITH {AUDITED_SQL}
 SELECT round(b, 6) AS blend_auc, round(s, 6) AS best_single_auc, b > s AS accepted FROM both_auc""",
+    "blend_audit_per_label": f"""WITH {AUDITED_SQL}
+SELECT 'rank_blend' AS candidate, label, round(roc_auc, 6) AS roc_auc FROM blend_auc""",
+    "blend_results": f"""WITH {AUDITED_SQL}, single AS (SELECT * FROM audit_scored WHERE candidate = 'spread'),
+cells AS (SELECT label, count(*) FILTER (WHERE score >= 0.5 AND truth = 1) AS tp, count(*) FILTER (WHERE score >= 0.5 AND truth = 0) AS fp,
+  count(*) FILTER (WHERE score < 0.5 AND truth = 1) AS fn, count(*) FILTER (WHERE score < 0.5 AND truth = 0) AS tn FROM single GROUP BY ALL),
+macro AS (SELECT avg({_ratio("tp", "(tp + fp)")}) AS p, avg({_ratio("tp", "(tp + fn)")}) AS r, avg({_ratio("2 * tp", "(2 * tp + fp + fn)")}) AS f FROM cells),
+micro AS (SELECT {_ratio("sum(tp + tn)", "sum(tp + fp + fn + tn)")} AS e, {_ratio("sum(tp)", "sum(tp + fp)")} AS p, {_ratio("sum(tp)", "sum(tp + fn)")} AS r,
+  {_ratio("2 * sum(tp)", "sum(2 * tp + fp + fn)")} AS f FROM cells),
+whole AS (SELECT avg(ok) AS ok FROM (SELECT doc_id, min(CAST((score >= 0.5) = (truth = 1) AS INT)) AS ok FROM single GROUP BY ALL))
+SELECT 'optimisation' AS partition, 'rank_blend' AS candidate, round(roc_auc, 6) AS mean_column_roc_auc, CAST(NULL AS VARCHAR) AS metric_scope,
+  CAST(NULL AS BOOLEAN) AS accepted, {", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in bl.THRESHOLDED)} FROM found
+UNION ALL SELECT 'audit', 'rank_blend', round(b, 6), 'roc_auc', b > s, {", ".join(["NULL"] * len(bl.THRESHOLDED))} FROM both_auc
+UNION ALL SELECT 'audit', 'spread', round(s, 6), 'all', NOT b > s, round(micro.e, 6), round(ok, 6), round(macro.p, 6), round(macro.r, 6),
+  round(macro.f, 6), round(micro.p, 6), round(micro.r, 6), round(micro.f, 6) FROM both_auc, macro, micro, whole""",
     "clip_scores": f"""WITH {SCORED_SQL}, clipped AS (SELECT doc_id, candidate, label,
   least(greatest(score, CAST(1e-15 AS DOUBLE)), 1 - CAST(1e-15 AS DOUBLE)) AS score FROM scored)
 SELECT doc_id, candidate, label, score > 0 AS above_zero, score < 1 AS below_one, round(score, 6) AS score FROM clipped""",

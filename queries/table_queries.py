@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelloom.operators import checks, groups as gr, profile, splits
+from labelloom.plans import experiment as ex
 from queries.common import (
     CORPUS_SQL,
     FOLDED_CORPUS_SQL,
@@ -25,6 +26,7 @@ from queries.common import (
     ranked_sql,
     rounded,
     table,
+    unlabelled,
 )
 from queries.text_queries import STOP_LIST
 
@@ -59,6 +61,16 @@ def check_reconcile(spark, sf):
     return checks.check_reconcile(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
 
 
+def prepare_tables(spark, sf):
+    """The checked tables of an experiment, as one: documents with labels, those without, and their template."""
+    settings = ex.Settings("doc_id", "text", LABELS)
+    test = unlabelled(spark, sf)
+    tables = ex.prepare_tables(corpus(spark, sf), settings, test, test.select("doc_id"))
+    text = {name: F.md5("text") if "text" in df.columns else F.lit(None).cast("string") for name, df in tables.items()}
+    parts = [df.select(F.lit(name).alias("part"), "doc_id", text[name].alias("digest")) for name, df in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def sample_rows(spark, sf):
     sampled = checks.sample_rows(corpus(spark, sf), 100, SEED, "doc_id", LABELS, floor=1)
     return bigints(sampled.select("doc_id", *LABELS), *LABELS)
@@ -177,7 +189,7 @@ def corpus_totals(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        check_ids, check_ids_repeated, check_labels, clean_text, clean_text_report, check_reconcile,
+        check_ids, check_ids_repeated, check_labels, clean_text, clean_text_report, check_reconcile, prepare_tables,
         sample_rows, duplicate_groups, duplicate_groups_documents, group_labels, group_sizes,
         label_signature, duplicate_report, stratified_group_folds, stratified_group_folds_sizes, stratified_group_folds_rotate,
         stratified_group_holdout, split_groups, split_partitions, rows_for_groups, check_no_group_crosses,
@@ -243,6 +255,9 @@ ORACLES = {
     "clean_text": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
     "clean_text_report": """SELECT count(*) AS rows, count(*) FILTER (WHERE l.doc_id IS NULL OR d.text IS NULL) AS null_texts
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    "prepare_tables": """WITH parts AS (SELECT CASE WHEN l.doc_id IS NULL THEN 'unlabelled' ELSE 'labelled' END AS part, d.doc_id,
+  md5(coalesce(text, '')) AS digest FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+SELECT * FROM parts UNION ALL SELECT 'template', doc_id, NULL FROM parts WHERE part = 'unlabelled'""",
     "check_reconcile": """SELECT (SELECT count(*) FROM documents) AS left_rows, (SELECT count(*) FROM labels) AS right_rows,
   (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS only_left,
   (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS only_right,

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelloom.operators import checks, groups as gr, profile, splits, submit, weights as wt
+from labelloom.plans import experiment as ex
 
 LABELS = ["a", "b"]
 
@@ -172,3 +173,22 @@ def test_submission_checks(spark):
     assert _report(submit.check_submission(aligned, template, "id", ["x", "y"])) == {
         "rows": 3, "missing_scores": 2, "non_finite_scores": 1, "out_of_range_scores": 1, "row_difference": 0,
     }
+
+
+def test_prepare_tables_refuses_what_the_plan_cannot_use(spark):
+    settings = ex.Settings("id", "text", ("a",))
+    good = spark.createDataFrame([(1, None, 0), (2, "x", 1)], "id int, text string, a int")
+    tables = ex.prepare_tables(good, settings, good.drop("a"), good.select("id"))
+    assert [r["text"] for r in tables["labelled"].orderBy("id").collect()] == ["", "x"]
+    bad_label = spark.createDataFrame([(1, "x", 2)], "id int, text string, a int")
+    for rows, message in (
+        (good.unionAll(good), "Unusable ids"),
+        (bad_label, "Labels other than 0 and 1"),
+        (spark.createDataFrame([(None, "x", 1)], "id int, text string, a int"), "Unusable ids"),
+    ):
+        with pytest.raises(ValueError, match=message):
+            ex.prepare_tables(rows, settings)
+        with pytest.raises(ValueError, match=message):
+            ex.split_rows(rows, 2, settings)
+    with pytest.raises(ValueError, match="template"):
+        ex.prepare_tables(good, settings, good, good.where("id = 1").select("id"))
