@@ -16,31 +16,44 @@ from labelloom.staging import stage
 
 cloudpickle.register_pickle_by_value(labelloom)
 
+#: Rows and bytes that Spark hands to Python at once: texts are long, and each is copied on the way in and out.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def bounded(spark: SparkSession) -> None:
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without any letter go."""
+    bounded(spark)
     found = langid.fit_and_identify(packed(docs, "doc_id", "text", "lang"))
     return unpacked(found.where(F.col("lang_pred") != langid.UNDETERMINED), docs.columns, "doc_id", "text", "lang")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    bounded(spark)
     return simhash.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; ``n_chars`` is that of the new text."""
+    bounded(spark)
     clean = pii.redact(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document, once for each round of its source."""
+    bounded(spark)
     return mixing.mixed_documents(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and its offset there."""
+    bounded(spark)
     return packing.pack(docs)
 
 

@@ -252,10 +252,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     least text hash; the other rows go. Groups without any id keep one too."""
     found = near_duplicates(docs)
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col("text_hash").alias("hash"))
-    kept = found.groupBy("group").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.hash").alias("_hash"))
-    hashed = packed(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
-    same = hashed["doc_id"].eqNullSafe(kept["_id"]) & (hashed["text_hash"] == kept["_hash"])
-    return unpacked(hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_hash"]), docs.columns, "doc_id", "text")
+    kept = found.groupBy("group").agg(F.min(order).alias("k")).select(row_key(F.col("k.doc_id"), F.col("k.hash")).alias("key"))
+    rows = packed(docs, "doc_id", "text").withColumn("key", row_key(F.col("doc_id"), F.xxhash64("text")))
+    # Texts are shuffled once: the join is on the key that rows that repeat have been combined by.
+    return unpacked(rows.dropDuplicates(["key"]).join(kept, "key", "left_semi"), docs.columns, "doc_id", "text")
+
+
+def row_key(doc_id: Column, text_hash: Column) -> Column:
+    return F.concat_ws(":", doc_id.cast("string"), text_hash.cast("string"))
 
 
 def fingerprint_hex(fp: str = "fp") -> Column:
