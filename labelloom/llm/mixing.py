@@ -47,19 +47,21 @@ def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, share: flo
     return out
 
 
-def feistel(values: np.ndarray, n: int, key: str) -> np.ndarray:
-    """A keyed pseudorandom permutation of 0 .. n-1, applied to ``values``; nothing of size n is stored."""
+def feistel(values: np.ndarray, n: int, key: str, inverse: bool = False) -> np.ndarray:
+    """A keyed pseudorandom permutation of 0 .. n-1, or its inverse, applied to ``values``; nothing of size n is stored."""
     half = max(1, ((n - 1).bit_length() + 1) // 2)
-    mask = np.uint64((1 << half) - 1)
+    shift, mask = np.uint64(half), np.uint64((1 << half) - 1)
     keys = [np.uint64(int.from_bytes(hashlib.sha256(f"{key}|{r}".encode()).digest()[:8], "big") | 1) for r in range(4)]
 
+    def mixed(part: np.ndarray, k: np.uint64) -> np.ndarray:
+        x = (part + k) * np.uint64(0x9E3779B97F4A7C15)
+        return ((x ^ (x >> np.uint64(29))) * k >> np.uint64(32)) & mask
+
     def once(v: np.ndarray) -> np.ndarray:
-        left, right = v >> np.uint64(half), v & mask
-        for k in keys:
-            mixed = (right + k) * np.uint64(0x9E3779B97F4A7C15)
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * (k | np.uint64(1))
-            left, right = right, left ^ ((mixed >> np.uint64(32)) & mask)
-        return left << np.uint64(half) | right
+        left, right = v >> shift, v & mask
+        for k in reversed(keys) if inverse else keys:
+            left, right = (right ^ mixed(left, k), left) if inverse else (right, left ^ mixed(right, k))
+        return left << shift | right
 
     with np.errstate(over="ignore"):
         out = once(values.astype(np.uint64))
@@ -68,21 +70,12 @@ def feistel(values: np.ndarray, n: int, key: str) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def words_before(slot: np.ndarray, size: int, block: int, key: str) -> np.ndarray:
-    """Words in the first ``slot`` slots of a source: all blocks are whole but its last."""
+def words_before(slot: int, size: int, block: int, key: str) -> int:
+    """Words in the first ``slot`` slots of a source: all its blocks are whole but the last."""
     blocks = -(-size // block)
-    rounds, inside = slot // blocks, slot % blocks
-    last = np.array([int(np.flatnonzero(feistel(np.arange(blocks), blocks, f"{key}|{r}") == blocks - 1)[0]) if blocks <= 1 << 20 else _place_of(blocks - 1, blocks, f"{key}|{r}") for r in np.unique(rounds)])
-    at = last[np.searchsorted(np.unique(rounds), rounds)]
-    return rounds * size + inside * block - np.where(at < inside, blocks * block - size, 0)
-
-
-def _place_of(value: int, n: int, key: str, step: int = 1 << 20) -> int:
-    for start in range(0, n, step):
-        found = np.flatnonzero(feistel(np.arange(start, min(n, start + step)), n, key) == value)
-        if len(found):
-            return start + int(found[0])
-    raise ValueError("not a permutation")
+    rounds, inside = divmod(slot, blocks)
+    place = int(feistel(np.array([blocks - 1]), blocks, f"{key}|{rounds}", inverse=True)[0])
+    return rounds * size + inside * block - (blocks * block - size if place < inside else 0)
 
 
 def slots_needed(target: float, size: int, block: int, key: str) -> tuple[int, int]:
@@ -93,11 +86,11 @@ def slots_needed(target: float, size: int, block: int, key: str) -> tuple[int, i
     low, high = 1, int(MOST * -(-size // block)) + 1
     while low < high:
         middle = (low + high) // 2
-        if int(words_before(np.array([middle]), size, block, key)[0]) >= wanted:
+        if words_before(middle, size, block, key) >= wanted:
             high = middle
         else:
             low = middle + 1
-    return low, wanted - int(words_before(np.array([low - 1]), size, block, key)[0])
+    return low, wanted - words_before(low - 1, size, block, key)
 
 
 def split_draw(left: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
@@ -154,7 +147,8 @@ class Mix:
         low = F.greatest(F.col("start"), F.col("block") * b)
         high = F.least(end, F.col("block") * b + F.col("words"))
         return (
-            spread.join(self.slots, ["source_index", "block"])
+            # The planner cannot know how many rows the draw makes; they grow with the words, so no broadcast.
+            spread.join(self.slots.hint("merge"), ["source_index", "block"])
             .where(low < high)
             .select("row", "shard", "slot", "round", (low - F.col("start")).alias("low"), (high - F.col("start")).alias("high"))
         )
