@@ -36,6 +36,20 @@ class Adapter:
         return self.directions.shape[1]
 
 
+def _orthonormal(basis: np.ndarray) -> np.ndarray:
+    """Orthonormal columns with the same span: Cholesky factors of the Gram matrix, twice for full precision.
+
+    That is a few products of tall matrices; a QR decomposition takes over for a span that is not of full rank.
+    """
+    try:
+        for _ in range(2):
+            factor = np.linalg.cholesky(basis.T @ basis)
+            basis = basis @ np.linalg.inv(factor).T
+        return basis
+    except np.linalg.LinAlgError:
+        return np.linalg.qr(basis)[0]
+
+
 def _normal_product(row_data: RDD, basis: np.ndarray) -> np.ndarray:
     """``X'(X basis)``, block of columns by block."""
     features, width = basis.shape
@@ -89,10 +103,10 @@ def fit_adapter(
     if kept < SMALLEST:
         raise ValueError(f"Too few rows or features for {SMALLEST} components.")
     width = min(kept + oversample, features)
-    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((features, width)))[0]
+    basis = _orthonormal(np.random.default_rng(seed).standard_normal((features, width)))
     with row_blocks(vectors, [], rows) as row_data:
         for _ in range(iterations + 1):
-            basis = np.linalg.qr(_normal_product(row_data, basis))[0]
+            basis = _orthonormal(_normal_product(row_data, basis))
         gram = basis.T @ _normal_product(row_data, basis)
         sums, squares, count = _moments(row_data, features)
     spread, turn = np.linalg.eigh(gram)

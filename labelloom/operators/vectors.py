@@ -124,7 +124,7 @@ def sum_partials(blocks: RDD, partial: Callable[[Iterator], np.ndarray | None],
                 yield start, flat[start : start + RANGE]
 
     partitions = blocks.getNumPartitions()
-    if partitions * size <= DIRECT:
+    if partitions == 1 or partitions * size <= DIRECT:
         collected = blocks.mapPartitions(run).map(np.ravel).collect()
     else:
         summed = blocks.mapPartitions(ranges).reduceByKey(np.add, min(partitions, -(-size // RANGE))).collect()

@@ -6,8 +6,6 @@ on small data and by invariants.
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from labelloom.operators import features as ft
@@ -16,19 +14,14 @@ from labelloom.operators.linear import fit_linear_svm, fit_logistic, score_linea
 from labelloom.operators.mlp import fit_mlp, score_multi
 from labelloom.plans import experiment as ex
 from labelloom.staging import fresh_path, stage
-from queries.common import LABELS, corpus, unlabelled
+from queries.common import CORPUS_SQL, GROUPS_SQL, LABELS, SEED, bigints, corpus, unlabelled
+from queries.feature_queries import UNLABELLED_SQL
+from queries.table_queries import holdout_sql
 
-# The limits of the reference's recorded small run, over all labelled documents.
-SMALL = ex.Settings(
-    "doc_id",
-    "text",
-    LABELS,
-    representations=(replace(ft.WORD_TFIDF, max_features=2000), replace(ft.CHAR_NGRAMS, max_features=3000)),
-    components=16,
-    epochs=3,
-    tolerance=1e-3,
-)
-WORDS = SMALL.representations[0]
+SETTINGS = ex.Settings("doc_id", "text", LABELS)
+WORDS, CHARS = SETTINGS.representations
+#: The candidate that the single fits and prediction tables take.
+KEY = ex.candidate_key(CHARS, ex.SVM)
 
 
 def _encoded(spark, sf):
@@ -54,7 +47,7 @@ def _linear_query(fit, c):
 
 def _reduced(spark, sf):
     vectors, size, n = _encoded(spark, sf)
-    adapter = fit_adapter(vectors, size, n, components=16)
+    adapter = fit_adapter(vectors, size, n, components=SETTINGS.components)
     dense = stage(apply_adapter(vectors, adapter, ["doc_id", *LABELS]), "reduced")
     vectors.unpersist()
     return dense, adapter, n
@@ -94,7 +87,7 @@ def apply_adapter_query(spark, sf):
 
 def _network(spark, sf):
     dense, adapter, n = _reduced(spark, sf)
-    return dense, fit_mlp(dense, LABELS, "doc_id", adapter.components, max_epochs=5, batch=64)
+    return dense, fit_mlp(dense, LABELS, "doc_id", adapter.components, max_epochs=SETTINGS.epochs)
 
 
 def fit_mlp_query(spark, sf):
@@ -111,11 +104,18 @@ def score_multi_query(spark, sf):
 
 
 def _split(spark, sf, meta=None):
-    return ex.split_rows(corpus(spark, sf), 2, SMALL, meta_fraction=meta)
+    return ex.split_rows(corpus(spark, sf), 3, SETTINGS, meta_fraction=meta)
+
+
+_KEPT = {}
 
 
 def _validated(spark, sf):
-    return ex.cross_validate(_split(spark, sf), range(2), SMALL)
+    """The comparison of all six candidates; its tables are written, so queries of one session share it."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _KEPT:
+        _KEPT[key] = ex.cross_validate(_split(spark, sf), range(3), SETTINGS)
+    return _KEPT[key]
 
 
 def cross_validate(spark, sf):
@@ -126,40 +126,44 @@ def cross_validate_summary(spark, sf):
     return _validated(spark, sf).summary
 
 
-LINEAR_ONLY = replace(SMALL, families=(ex.LOGISTIC, ex.SVM), representations=(WORDS,))
+def _told(scores):
+    """What SQL can state of scores: that each is there once, and inside the unit interval."""
+    inside = (F.col("score") >= 0) & (F.col("score") <= 1)
+    return scores.withColumn("inside", inside).drop("score")
 
 
 def oof_scores(spark, sf):
-    return ex.cross_validate(_split(spark, sf), range(2), LINEAR_ONLY).oof_scores
+    return bigints(_told(_validated(spark, sf).oof_scores).select("doc_id", "candidate", "label", "truth", "inside"), "truth")
 
 
 def fit_and_score(spark, sf):
     split = _split(spark, sf, meta=0.3)
     parts = {name: split.where(F.col("partition") == name) for name in ("meta_opt", "meta_audit")}
-    scored = ex.fit_and_score(split.where("partition = 'dev'"), parts, LINEAR_ONLY)
-    return scored["meta_opt"].withColumn("part", F.lit("meta_opt")).unionByName(
+    scored = ex.fit_and_score(split.where("partition = 'dev'"), parts, SETTINGS)
+    whole = scored["meta_opt"].withColumn("part", F.lit("meta_opt")).unionByName(
         scored["meta_audit"].withColumn("part", F.lit("meta_audit"))
     )
+    return bigints(_told(whole).select("part", "doc_id", "candidate", "label", "truth", "inside"), "truth")
 
 
 def refit_and_score(spark, sf):
-    key = ex.candidate_key(WORDS, ex.SVM)
-    return ex.refit_and_score(corpus(spark, sf), unlabelled(spark, sf), [key], SMALL)
+    scores = ex.refit_and_score(corpus(spark, sf), unlabelled(spark, sf), [KEY], SETTINGS)
+    return _told(scores).select("doc_id", "candidate", "label", "inside")
 
 
 def learn_blend(spark, sf):
-    best = ex.candidate_key(WORDS, ex.SVM)
-    return ex.learn_blend(_split(spark, sf, meta=0.3), best, LINEAR_ONLY, draws=384).audit
+    """The table of results of a blend of all six candidates against the best of the comparison."""
+    return ex.learn_blend(_split(spark, sf, meta=0.3), _validated(spark, sf).best, SETTINGS).results
 
 
 def write_submissions(spark, sf):
-    """The prediction table of the best candidate, written and read back."""
+    """The prediction table of one candidate, written and read back."""
     template = unlabelled(spark, sf).select("doc_id", F.col("doc_id").alias("row_pos"))
-    key = ex.candidate_key(WORDS, ex.SVM)
-    tables = ex.submission_tables(corpus(spark, sf), unlabelled(spark, sf), template, key, SMALL)
+    tables = ex.submission_tables(corpus(spark, sf), unlabelled(spark, sf), template, KEY, SETTINGS)
     paths = ex.write_submissions(tables, fresh_path(spark, "submissions"), "doc_id", LABELS)
     schema = "doc_id bigint, " + ", ".join(f"{c} double" for c in LABELS)
-    return spark.read.csv(paths["best_single"], schema=schema, header=True)
+    written = spark.read.csv(paths["best_single"], schema=schema, header=True)
+    return written.select("doc_id", *[F.col(c).between(0, 1).alias(c) for c in LABELS])
 
 
 QUERIES = {
@@ -179,7 +183,19 @@ QUERIES = {
     "learn_blend": learn_blend,
     "write_submissions": write_submissions,
 }
+CANDIDATES_SQL = "(VALUES " + ", ".join(f"('{c}')" for c in SETTINGS.candidates()) + ") c(candidate)"
+LABELS_SQL = "(VALUES " + ", ".join(f"('{c}')" for c in LABELS) + ") l(label)"
+PARTS_SQL = GROUPS_SQL + f""", {holdout_sql("grouped", "meta", 0.3, SEED + 101)},
+meta_groups AS (SELECT group_key, group_id, group_size, toxic, low_quality, inconsistent FROM meta WHERE held_out),
+{holdout_sql("meta_groups", "audited", 0.5, SEED + 202)}"""
 ORACLES = {
-    "standard_scale": """SELECT CAST(unnest(range(16)) AS INTEGER) AS component, CAST(0 AS DOUBLE) AS mean,
-  CAST(1 AS DOUBLE) AS deviation""",
+    "standard_scale": """SELECT CAST(unnest(range((SELECT least(192, count(*) - 1) FROM documents JOIN labels USING (doc_id)))) AS INTEGER)
+  AS component, CAST(0 AS DOUBLE) AS mean, CAST(1 AS DOUBLE) AS deviation""",
+    "oof_scores": f"""WITH {CORPUS_SQL} SELECT doc_id, candidate, label,
+  CAST(CASE label WHEN 'toxic' THEN toxic ELSE low_quality END AS BIGINT) AS truth, true AS inside FROM corpus, {CANDIDATES_SQL}, {LABELS_SQL}""",
+    "fit_and_score": f"""WITH {PARTS_SQL} SELECT CASE WHEN a.held_out THEN 'meta_audit' ELSE 'meta_opt' END AS part, k.doc_id, candidate, label,
+  CAST(CASE label WHEN 'toxic' THEN k.toxic ELSE k.low_quality END AS BIGINT) AS truth, true AS inside
+FROM keyed k JOIN audited a ON k.group_key = a.group_key, {CANDIDATES_SQL}, {LABELS_SQL}""",
+    "refit_and_score": f"""WITH {UNLABELLED_SQL} SELECT doc_id, '{KEY}' AS candidate, label, true AS inside FROM unlabelled, {LABELS_SQL}""",
+    "write_submissions": f"WITH {UNLABELLED_SQL} SELECT doc_id, true AS toxic, true AS low_quality FROM unlabelled",
 }
