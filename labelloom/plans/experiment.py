@@ -17,7 +17,7 @@ from labelloom.operators.linear import fit_linear_svm, fit_logistic, score_linea
 from labelloom.operators.mlp import fit_mlp, score_multi
 from labelloom.operators.splits import assign_rows, split_groups
 from labelloom.sources.sinks import write_table
-from labelloom.staging import stage
+from labelloom.staging import scratch, stage
 
 LOGISTIC = "logistic_regression"
 SVM = "linear_svm"
@@ -134,7 +134,7 @@ def fit_family(
         def score(target):
             return score_linear(target, model, [id_col], key, truth)
 
-    return {name: stage(score(target), f"scores_{key}") for name, target in targets.items()}, record
+    return {name: stage(score(target), f"scores_{key}", keep=True) for name, target in targets.items()}, record
 
 
 def _union(tables: Sequence[DataFrame]) -> DataFrame:
@@ -171,6 +171,11 @@ def cross_validate(rows: DataFrame, folds: Sequence[int], settings: Settings) ->
     counted once for all folds; each fold's vocabulary is the total less the fold. A fold's rows are
     encoded once per representation and shared by the families.
     """
+    with scratch(rows.sparkSession):
+        return _cross_validate(rows, folds, settings)
+
+
+def _cross_validate(rows: DataFrame, folds: Sequence[int], settings: Settings) -> CrossValidation:
     labels, id_col = list(settings.label_cols), settings.id_col
     base = rows.select(id_col, settings.text_col, "fold", *labels)
     sizes = {row["fold"]: row["count"] for row in base.groupBy("fold").count().collect()}
@@ -220,10 +225,10 @@ def summarise(base: DataFrame, oof: DataFrame, records: DataFrame, settings: Set
         "Every row needs one finite score per candidate and label",
     )
     by_fold = metrics.all_metrics(oof, id_col, ["fold", "candidate"], settings.threshold)
-    fold_results = stage(records.join(by_fold, ["fold", "candidate"]), "fold_results")
+    fold_results = stage(records.join(by_fold, ["fold", "candidate"]), "fold_results", keep=True)
     overall = metrics.all_metrics(oof, id_col, ["candidate"], settings.threshold)
     ranked = metrics.rank_candidates(metrics.fold_summary(fold_results, overall, "model_seconds"))
-    summary = stage(ranked, "summary")
+    summary = stage(ranked, "summary", keep=True)
     best = summary.where("position = 1").first()["candidate"]
     per_label = metrics.per_label_table(oof, ["candidate"], settings.threshold)
     return CrossValidation(oof, fold_results, summary, per_label, best)
@@ -316,6 +321,11 @@ def split_rows(
     rows: DataFrame, k: int, settings: Settings, meta_fraction: float | None = None, audit_fraction: float = 0.5
 ) -> DataFrame:
     """Rows with ``partition`` and ``fold``, whole duplicate groups together, written and checked."""
+    with scratch(rows.sparkSession):
+        return _split_rows(rows, k, settings, meta_fraction, audit_fraction)
+
+
+def _split_rows(rows: DataFrame, k: int, settings: Settings, meta_fraction: float | None, audit_fraction: float) -> DataFrame:
     labels, id_col = list(settings.label_cols), settings.id_col
     rows = checks.clean_text(rows, settings.text_col)
     checks.require(checks.check_ids(rows, id_col), ["null_ids", "repeated_id_rows"], "Unusable ids")
@@ -323,7 +333,7 @@ def split_rows(
     keyed = stage(with_group_key(rows.select(id_col, settings.text_col, *labels), settings.text_col), "keyed")
     groups = stage(group_table(keyed, id_col, labels), "groups")
     plan = split_groups(groups, k, settings.seed, labels, meta_fraction, audit_fraction)
-    split = stage(assign_rows(keyed, plan, ["partition", "fold"], id_col), "split")
+    split = stage(assign_rows(keyed, plan, ["partition", "fold"], id_col), "split", keep=True)
     part = F.concat_ws("/", "partition", F.col("fold").cast("string"))
     checks.require(
         checks.check_no_group_crosses(split.withColumn("_part", part), "group_key", "_part"),

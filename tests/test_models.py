@@ -1,5 +1,6 @@
 """Features, fits and the assembled experiment."""
 
+import os
 from dataclasses import replace
 
 import numpy as np
@@ -12,6 +13,7 @@ from labelloom.operators.adapter import apply_adapter, fit_adapter
 from labelloom.operators.linear import LOGISTIC, SQUARED_HINGE, fit_linear, loss_and_slope, score_linear
 from labelloom.operators.mlp import fit_mlp, loss_and_gradient, score_multi
 from labelloom.plans import experiment as ex
+from labelloom.staging import shared_folder
 
 RNG = np.random.default_rng(3)
 ROWS, FEATURES, LABELS = 240, 30, ["x", "y"]
@@ -156,10 +158,15 @@ SETTINGS = ex.Settings(
 
 
 def test_cross_validation(spark, corpus):
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder))
     split = ex.split_rows(corpus, 2, SETTINGS)
+    assert len(set(os.listdir(folder)) - before) == 1
     crossing = split.groupBy("group_key").agg(F.count_distinct("fold").alias("n")).where("n > 1")
     assert crossing.count() == 0 and split.count() == 180
     result = ex.cross_validate(split, [0, 1], SETTINGS)
+    # What remains: the split, twelve score tables, the fold table and the summary.
+    assert len(set(os.listdir(folder)) - before) == 1 + 12 + 2
     folds = result.fold_results.collect()
     assert len(folds) == 12
     assert all(r["training_rows"] + r["validation_rows"] == 180 for r in folds)
