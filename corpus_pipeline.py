@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import labelloom
 from labelloom.llm import langid, mixing, packing, pii, simhash
 from labelloom.llm.common import packed, unpacked
-from labelloom.staging import stage
+from labelloom.staging import scratch, stage
 
 cloudpickle.register_pickle_by_value(labelloom)
 
@@ -72,7 +72,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), name.replace(" ", "_"))
+        with scratch(spark):  # what the stage wrote on its way goes once its result is there
+            docs = stage(apply(spark, docs, sf_dir), name.replace(" ", "_"), keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
