@@ -64,53 +64,60 @@ def tfidf(spark, sf):
     return bigints(rounded(long, "value"), "term_idx")
 
 
-def binary_ngrams(spark, sf):
-    rows = corpus(spark, sf)
-    long = ft.binary_ngrams(rows, _vocabulary(rows, SMALL_CHARS), "doc_id", "text", SMALL_CHARS)
-    return bigints(rounded(long, "value"), "term_idx")
+def _binary_query(representation):
+    def build(spark, sf):
+        rows = corpus(spark, sf)
+        long = ft.binary_ngrams(rows, _vocabulary(rows, representation), "doc_id", "text", representation)
+        return bigints(rounded(long, "value"), "term_idx")
 
+    return build
 
-def transform_with(spark, sf):
-    rows = corpus(spark, sf)
-    vocab = ft.with_idf(_vocabulary(rows, SMALL_WORDS), _count(rows))
-    long = ft.transform_with(unlabelled(spark, sf), vocab, "doc_id", "text", SMALL_WORDS)
-    return bigints(rounded(long, "value"), "term_idx")
+
+def _transform_query(representation):
+    def build(spark, sf):
+        rows = corpus(spark, sf)
+        vocab = ft.with_idf(_vocabulary(rows, representation), _count(rows))
+        long = ft.transform_with(unlabelled(spark, sf), vocab, "doc_id", "text", representation)
+        return bigints(rounded(long, "value"), "term_idx")
+
+    return build
 
 
-def to_vectors(spark, sf):
+def _vectors_query(representation):
     """The packed vectors, told by their size, entries and squared length."""
-    rows = corpus(spark, sf)
-    vocab = ft.with_idf(_vocabulary(rows, SMALL_WORDS), _count(rows))
-    long = ft.transform_with(rows, vocab, "doc_id", "text", SMALL_WORDS)
-    vector = F.unwrap_udt("features")
-    packed = ft.to_vectors(long, "doc_id", SMALL_WORDS.max_features).select("doc_id", vector.alias("v"))
-    square = F.aggregate("v.values", F.lit(0.0), lambda total, x: total + x * x)
-    return bigints(
-        rounded(
-            packed.select(
-                "doc_id",
-                F.size("v.indices").alias("entries"),
-                F.try_element_at("v.indices", F.lit(1)).alias("first_index"),
-                square.alias("squared_length"),
-            ),
-            "squared_length",
-        ),
-        "entries",
-        "first_index",
-    )
 
+    def build(spark, sf):
+        rows = corpus(spark, sf)
+        vocab = ft.with_idf(_vocabulary(rows, representation), _count(rows))
+        long = ft.transform_with(rows, vocab, "doc_id", "text", representation)
+        vector = F.unwrap_udt("features")
+        packed = ft.to_vectors(long, "doc_id", representation.max_features).select("doc_id", vector.alias("v"))
+        square = F.aggregate("v.values", F.lit(0.0), lambda total, x: total + x * x)
+        told = packed.select(
+            "doc_id",
+            F.size("v.indices").alias("entries"),
+            F.try_element_at("v.indices", F.lit(1)).alias("first_index"),
+            square.alias("squared_length"),
+        )
+        return bigints(rounded(told, "squared_length"), "entries", "first_index")
 
-def encode(spark, sf):
+    return build
+
+
+def _encode_query(representation):
     """The vector form of the features, told in the long form for comparison with it."""
-    rows = corpus(spark, sf)
-    n = rows.count()
-    encoder = ft.fit_encoder(_vocabulary(rows, SMALL_WORDS), SMALL_WORDS, n)
-    vectors = ft.encode(_terms(rows, SMALL_WORDS), encoder, ["doc_id"], DoubleType())
-    entries = F.arrays_zip("indices", "values")
-    long = vectors.select("doc_id", F.explode(entries).alias("e")).select(
-        "doc_id", F.col("e.indices").cast("bigint").alias("term_idx"), F.col("e.values").cast("double").alias("value")
-    )
-    return rounded(long, "value")
+
+    def build(spark, sf):
+        rows = corpus(spark, sf)
+        encoder = ft.fit_encoder(_vocabulary(rows, representation), representation, rows.count())
+        vectors = ft.encode(_terms(rows, representation), encoder, ["doc_id"], DoubleType())
+        entries = F.arrays_zip("indices", "values")
+        long = vectors.select("doc_id", F.explode(entries).alias("e")).select(
+            "doc_id", F.col("e.indices").cast("bigint").alias("term_idx"), F.col("e.values").cast("double").alias("value")
+        )
+        return rounded(long, "value")
+
+    return build
 
 
 def class_weights(spark, sf):
@@ -130,13 +137,20 @@ QUERIES = {
     "vocabulary_capped": _vocabulary_query(SMALL_WORDS),
     "vocabulary_chars": _vocabulary_query(ft.CHAR_NGRAMS),
     "vocabulary_chars_capped": _vocabulary_query(SMALL_CHARS),
-    "fold_vocabularies": _fold_vocabularies_query(SMALL_WORDS),
-    "fold_vocabularies_chars": _fold_vocabularies_query(SMALL_CHARS),
+    "fold_vocabularies": _fold_vocabularies_query(ft.WORD_TFIDF),
+    "fold_vocabularies_capped": _fold_vocabularies_query(SMALL_WORDS),
+    "fold_vocabularies_chars": _fold_vocabularies_query(ft.CHAR_NGRAMS),
+    "fold_vocabularies_chars_capped": _fold_vocabularies_query(SMALL_CHARS),
     "tfidf": tfidf,
-    "binary_ngrams": binary_ngrams,
-    "transform_with": transform_with,
-    "to_vectors": to_vectors,
-    "encode": encode,
+    "binary_ngrams": _binary_query(ft.CHAR_NGRAMS),
+    "binary_ngrams_capped": _binary_query(SMALL_CHARS),
+    "transform_with": _transform_query(ft.WORD_TFIDF),
+    "transform_with_capped": _transform_query(SMALL_WORDS),
+    "transform_with_chars": _transform_query(ft.CHAR_NGRAMS),
+    "to_vectors": _vectors_query(ft.WORD_TFIDF),
+    "to_vectors_capped": _vectors_query(SMALL_WORDS),
+    "encode": _encode_query(ft.WORD_TFIDF),
+    "encode_capped": _encode_query(SMALL_WORDS),
     "class_weights": class_weights,
     "row_weights": row_weights,
     "row_weights_capped": row_weights_capped,
@@ -217,29 +231,53 @@ scaled AS (SELECT doc_id, least(w / avg(w) OVER (), CAST({cap} AS DOUBLE)) AS w
 SELECT doc_id, round(w / avg(w) OVER (), 6) AS row_weight FROM scaled"""
 
 
+def _binary_sql(r, source="corpus"):
+    """Statement: the unit-length binary features of ``source`` on the vocabulary of the corpus, as CTE ``long``."""
+    new = "" if source == "corpus" else _char_terms_sql(source, "new_terms") + ", "
+    return f"""{_char_terms_sql("corpus", "terms")}, {_vocabulary_sql(r, "terms", "corpus", "vocab")}, {new}long AS (
+  SELECT t.doc_id, v.term_idx, t.term, 1 / sqrt(CAST(count(*) OVER (PARTITION BY t.doc_id) AS DOUBLE)) AS value
+  FROM {"new_terms" if new else "terms"} t JOIN vocab v ON t.term = v.term)"""
+
+
+def _transform_sql(r):
+    long = _binary_sql(r, "unlabelled") if r.binary else _tfidf_sql(r, "unlabelled", "long")
+    return f"""WITH {CORPUS_SQL}, {UNLABELLED_SQL}, {long}
+SELECT u.doc_id, l.term_idx, l.term, round(l.value, 6) AS value FROM unlabelled u LEFT JOIN long l ON u.doc_id = l.doc_id"""
+
+
+def _vectors_sql(r):
+    return f"""WITH {CORPUS_SQL}, {_tfidf_sql(r, "corpus", "long")}
+SELECT c.doc_id, count(l.term_idx) AS entries, min(l.term_idx) AS first_index,
+  round(coalesce(sum(l.value * l.value), 0), 6) AS squared_length
+FROM corpus c LEFT JOIN long l ON c.doc_id = l.doc_id GROUP BY c.doc_id"""
+
+
+def _encode_sql(r):
+    return f"""WITH {CORPUS_SQL}, {_tfidf_sql(r, "corpus", "long")} SELECT doc_id, term_idx, round(value, 6) AS value FROM long"""
+
+
+BINARY_SQL = "WITH {corpus}, {long} SELECT doc_id, term_idx, term, round(value, 6) AS value FROM long"
+
 ORACLES = {
     "vocabulary": _vocabulary_query_sql(ft.WORD_TFIDF),
     "vocabulary_capped": _vocabulary_query_sql(SMALL_WORDS),
     "vocabulary_chars": _vocabulary_query_sql(ft.CHAR_NGRAMS),
     "vocabulary_chars_capped": _vocabulary_query_sql(SMALL_CHARS),
-    "fold_vocabularies": _fold_vocabularies_sql(SMALL_WORDS),
-    "fold_vocabularies_chars": _fold_vocabularies_sql(SMALL_CHARS),
+    "fold_vocabularies": _fold_vocabularies_sql(ft.WORD_TFIDF),
+    "fold_vocabularies_capped": _fold_vocabularies_sql(SMALL_WORDS),
+    "fold_vocabularies_chars": _fold_vocabularies_sql(ft.CHAR_NGRAMS),
+    "fold_vocabularies_chars_capped": _fold_vocabularies_sql(SMALL_CHARS),
     "tfidf": f"""WITH {CORPUS_SQL}, {_tfidf_sql(ft.WORD_TFIDF, "corpus", "long")}
 SELECT doc_id, term_idx, term, round(value, 6) AS value FROM long""",
-    "binary_ngrams": f"""WITH {CORPUS_SQL}, {_char_terms_sql("corpus", "terms")},
-{_vocabulary_sql(SMALL_CHARS, "terms", "corpus", "vocab")}
-SELECT t.doc_id, v.term_idx, t.term,
-  round(1 / sqrt(CAST(count(*) OVER (PARTITION BY t.doc_id) AS DOUBLE)), 6) AS value
-FROM terms t JOIN vocab v ON t.term = v.term""",
-    "transform_with": f"""WITH {CORPUS_SQL}, {UNLABELLED_SQL}, {_tfidf_sql(SMALL_WORDS, "unlabelled", "long")}
-SELECT u.doc_id, l.term_idx, l.term, round(l.value, 6) AS value
-FROM unlabelled u LEFT JOIN long l ON u.doc_id = l.doc_id""",
-    "to_vectors": f"""WITH {CORPUS_SQL}, {_tfidf_sql(SMALL_WORDS, "corpus", "long")}
-SELECT c.doc_id, count(l.term_idx) AS entries, min(l.term_idx) AS first_index,
-  round(coalesce(sum(l.value * l.value), 0), 6) AS squared_length
-FROM corpus c LEFT JOIN long l ON c.doc_id = l.doc_id GROUP BY c.doc_id""",
-    "encode": f"""WITH {CORPUS_SQL}, {_tfidf_sql(SMALL_WORDS, "corpus", "long")}
-SELECT doc_id, term_idx, round(value, 6) AS value FROM long""",
+    "binary_ngrams": BINARY_SQL.format(corpus=CORPUS_SQL, long=_binary_sql(ft.CHAR_NGRAMS)),
+    "binary_ngrams_capped": BINARY_SQL.format(corpus=CORPUS_SQL, long=_binary_sql(SMALL_CHARS)),
+    "transform_with": _transform_sql(ft.WORD_TFIDF),
+    "transform_with_capped": _transform_sql(SMALL_WORDS),
+    "transform_with_chars": _transform_sql(ft.CHAR_NGRAMS),
+    "to_vectors": _vectors_sql(ft.WORD_TFIDF),
+    "to_vectors_capped": _vectors_sql(SMALL_WORDS),
+    "encode": _encode_sql(ft.WORD_TFIDF),
+    "encode_capped": _encode_sql(SMALL_WORDS),
     "class_weights": f"""WITH {CORPUS_SQL}, cells AS (
   SELECT 'toxic' AS label, toxic AS y FROM corpus UNION ALL SELECT 'low_quality', low_quality FROM corpus)
 SELECT label, round(CAST(count(*) AS DOUBLE) / CAST(2 * sum(y) AS DOUBLE), 6) AS positive_weight,
