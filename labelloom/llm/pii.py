@@ -101,20 +101,29 @@ def _as_span(number: int):
 def marked(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, base, tokens`` for every row, written once; tokens have ``kind`` (null: not a seed).
 
-    A token that a fixed match starts in is a seed of its kind; one that a match only reaches into is left out.
+    A token that a fixed match starts in is a seed of its kind, with the whole match as its value and what follows the
+    match as its context; a token that a match only reaches into is left out.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), base_spans(text).alias("base"), F.when(text.rlike("[0-9@]"), located(text, TOKEN)).otherwise(F.array().cast(FOUND)).alias("tokens"))
+    tokens = F.when(text.rlike("[0-9@]"), located(text, TOKEN)).otherwise(F.array().cast(FOUND))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"), base_spans(text).alias("base"), tokens.alias("tokens"))
 
     def label(t: Column) -> Column:
-        own = F.filter("base", lambda s: (s["start"] >= t["start"]) & (s["start"] < t["stop"]))
+        seed = F.try_element_at(F.filter("base", lambda s: (s["start"] >= t["start"]) & (s["start"] < t["stop"])), F.lit(1))
         touched = F.exists("base", lambda s: (s["start"] < t["stop"]) & (s["stop"] > t["start"]))
+        whole = F.substring("text", seed["start"] + 1, seed["stop"] - seed["start"])
         return F.struct(
-            t["start"].alias("start"), t["stop"].alias("stop"), t["value"].alias("value"), t["before"].alias("before"), t["after"].alias("after"), F.try_element_at(F.transform(own, lambda s: s["kind"]), F.lit(1)).alias("kind"), touched.alias("touched")
+            t["start"].alias("start"),
+            t["stop"].alias("stop"),
+            F.coalesce(whole, t["value"]).alias("value"),
+            t["before"].alias("before"),
+            F.coalesce(F.substring("text", seed["stop"] + 1, F.lit(CONTEXT)), t["after"]).alias("after"),
+            seed["kind"].alias("kind"),
+            touched.alias("touched"),
         )
 
-    tokens = F.filter(F.transform("tokens", label), lambda t: t["kind"].isNotNull() | ~t["touched"])
-    return stage(rows.select("doc_id", "text_hash", "base", tokens.alias("tokens")), "marked")
+    told = F.filter(F.transform("tokens", label), lambda t: t["kind"].isNotNull() | ~t["touched"])
+    return stage(rows.select("doc_id", "text_hash", "base", told.alias("tokens")), "marked")
 
 
 def occurrences(marks: DataFrame) -> DataFrame:

@@ -217,6 +217,13 @@ def test_patterns_are_bootstrapped(spark):
     assert pii.redact(docs).dtypes == docs.dtypes and pii.redact(docs).count() == 15
 
 
+def test_matches_of_several_words_are_seeds_of_their_own(spark):
+    rows = [(i, f"call me on +1 ({200 + i}) 555-010{i} before noon") for i in range(8)] + [(50, "call me on 020-7946-0018 before noon")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.s for r in pii.find(docs).select("doc_id", pii.written(F.col("spans")).alias("s")).collect()}
+    assert found[50] == "phone:11:24" and found[0] == "phone:11:28"
+
+
 def test_overlapping_spans_become_one_mark(spark):
     docs = spark.createDataFrame([(1, "card 4111 1111 1111 1111 or a@1.2.3.4!"), (2, None)], "doc_id long, text string")
     rows = {r.doc_id: r.text for r in pii.redact(docs).collect()}
