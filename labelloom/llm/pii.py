@@ -1,9 +1,9 @@
 """Personal data: fixed patterns, and contextual patterns bootstrapped from what they find.
 
 What the fixed patterns find are the seeds. The words around a seed are a lexical pattern; tokens that look like
-identifiers (with a digit or @) and the patterns they occur in form a graph. A pattern is trusted by the share of its
-distinct tokens that are seeds or already trusted, and a token by the patterns that it occurs in; a few rounds spread
-the trust. Where a trusted pattern stands before or around a token that no fixed pattern covers, that is a find.
+identifiers (with a digit or @) and the patterns they occur in form a graph. A pattern is trusted by its distinct tokens that
+are seeds or already trusted, weighed against those known to be something else, and a token by the patterns that it
+occurs in; a few rounds spread the trust. Where a trusted pattern stands before or around a token that no fixed pattern covers, that is a find.
 
 Everything is DataFrame functions. Positions count code points.
 """
@@ -30,6 +30,8 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 CONTEXT = 48
 ROUNDS, SUPPORT, TRUST = 3, 4, 0.8
+#: Weight of a token of which nothing is known, and the share of trusted tokens under which a pattern tells against its others.
+UNSEEN, DOUBT = 0.1, 0.1
 
 SPAN = "array<struct<kind:int,start:int,stop:int>>"
 FOUND = "array<struct<start:int,stop:int,value:string,before:string,after:string>>"
@@ -141,44 +143,57 @@ def occurrences(marks: DataFrame) -> DataFrame:
     return t.withColumn("pattern", F.explode(F.filter(patterns, lambda p: p.isNotNull()))).drop("value", "before", "after", "touched")
 
 
-def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
-    """``pattern, kind, trust``: patterns with at least ``support`` distinct trusted tokens of one kind that are the share ``trust`` of
-    all its distinct tokens and one more.
+def trusted_patterns(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST) -> tuple[DataFrame, DataFrame]:
+    """``pattern, kind, trust``: patterns with at least ``support`` distinct trusted tokens of one kind that are the share
+    ``trust`` of what tells for or against it; and ``instance``: the tokens that tell against.
 
-    Distinct tokens are counted, so a passage that many documents share counts once.
+    Against a pattern are tokens trusted as another kind, and those that stand mostly in distrusted patterns: patterns with at
+    least ``support`` distinct tokens of which hardly any is trusted. Any other token is what a pattern is there to
+    discover; it weighs ``UNSEEN``, so that a handful of seeds cannot carry an open context. One more counts against. Distinct
+    tokens are counted, so a passage that many documents share counts once.
     """
     edges = stage(found.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")), "edges")
     seeds = edges.where("seed IS NOT NULL").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
-    known, good, before = seeds, None, -1
+    known, good, against, before = seeds, None, None, -1
     for _ in range(rounds):
         scored = edges.join(known, "instance", "left")
         per_kind = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.count("score").alias("n"), F.count(F.lit(1)).alias("all"))
-        best = per_kind.groupBy("pattern").agg(F.max(F.struct(F.coalesce("score", F.lit(0.0)).alias("score"), "n", "kind")).alias("b"), F.sum("all").alias("all"))
-        share = F.col("b.score") / (F.col("all") + 1)
-        good = stage(best.where((F.col("b.n") >= support) & (share >= trust)).select("pattern", F.col("b.kind").alias("kind"), share.alias("trust")), "patterns")
+        best = per_kind.groupBy("pattern").agg(
+            F.max(F.struct(F.coalesce("score", F.lit(0.0)).alias("score"), "n", "kind")).alias("b"), F.sum("n").alias("known"), F.sum("all").alias("all")
+        )
+        best = stage(best, "scored_patterns")
+        doubtful = best.where((F.col("all") >= support) & (F.col("known") < DOUBT * F.col("all"))).select("pattern", F.lit(1).alias("doubt"))
+        places = edges.where("seed IS NULL").join(doubtful, "pattern", "left").groupBy("instance").agg(F.count("doubt").alias("n"), F.count(F.lit(1)).alias("all"))
+        against = stage(places.where("n * 2 > all").select("instance").join(known.select("instance"), "instance", "left_anti"), "against")
+        likely = best.where(F.col("b.n") >= support)
+        contrary = edges.join(likely.select("pattern"), "pattern", "left_semi").join(against, "instance").groupBy("pattern").agg(F.count(F.lit(1)).alias("contrary"))
+        likely = likely.join(contrary, "pattern", "left").withColumn("told", F.col("known") + F.coalesce("contrary", F.lit(0)))
+        share = F.col("b.score") / (F.col("told") + UNSEEN * (F.col("all") - F.col("told")) + 1)
+        good = stage(likely.where(share >= trust).select("pattern", F.col("b.kind").alias("kind"), share.alias("trust")), "patterns")
         size = good.count()
         if size == before:
             break
         before = size
         drawn = edges.where("seed IS NULL").join(good, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score"))
         one = drawn.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b")).select("instance", "b.kind", "b.score")
-        known = seeds.unionByName(one.where(F.col("score") >= trust))
-    return good
+        known = seeds.unionByName(one.where(F.col("score") >= trust).join(against, "instance", "left_anti"))
+    return good, against
 
 
 def find(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, base, spans`` for every row: fixed matches, and these with the finds, by kind and start.
 
     A null text is empty. Repeated rows come out as often. Finds carry the kind of their pattern's seeds and never
-    touch a fixed match. Other columns are not read.
+    touch a fixed match; tokens that stand mostly in distrusted patterns are none. Other columns are not read.
     """
     marks = marked(docs)
     found = occurrences(marks)
-    good = trusted_patterns(found)
+    good, against = trusted_patterns(found)
     more = (
         found.where("kind IS NULL")
         .drop("kind")
         .join(good, "pattern")
+        .join(against, "instance", "left_anti")
         .groupBy("doc_id", "text_hash", "start", "stop")
         .agg(F.max(F.struct("trust", F.col("kind").alias("k")))["k"].alias("kind"))
         .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))

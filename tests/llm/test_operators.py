@@ -224,6 +224,21 @@ def test_matches_of_several_words_are_seeds_of_their_own(spark):
     assert found[50] == "phone:11:24" and found[0] == "phone:11:28"
 
 
+def test_half_of_a_context_may_be_unseen(spark):
+    rows = [(i, f"text please write to user{i}@mail{i}.example.com today") for i in range(30)]
+    rows += [(100 + i, f"text please write to jane(at)example{i + 10} today") for i in range(30)]
+    rows += [(200 + i, f"we call +1 ({200 + i}) 555-010{i % 10} before noon") for i in range(12)] + [(250 + i, f"we call 020-7946-00{i + 10} before noon") for i in range(12)]
+    years = [1950 + i for i in range(8)]
+    rows += [(300 + 10 * k + i, f"{a} {y} {b}") for i, y in enumerate(years) for k, (a, b) in enumerate([("in the year", "we met"), ("it was in", "that rain fell"), ("since about", "or so")])]
+    rows += [(400 + i, f"text please write to {y} today") for i, y in enumerate(years[:3])]
+    rows += [(500 + i, f"room for {i + 30} guests") for i in range(20)] + [(600, "room for a@b.example guests")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.s for r in pii.find(docs).select("doc_id", pii.written(F.col("spans")).alias("s")).collect()}
+    assert all(found[100 + i] == "email:21:38" for i in range(30))
+    assert all(found[250 + i] == "phone:8:21" for i in range(12))
+    assert all(found[i] == "" for i in found if 300 <= i < 600)
+
+
 def test_overlapping_spans_become_one_mark(spark):
     docs = spark.createDataFrame([(1, "card 4111 1111 1111 1111 or a@1.2.3.4!"), (2, None)], "doc_id long, text string")
     rows = {r.doc_id: r.text for r in pii.redact(docs).collect()}
