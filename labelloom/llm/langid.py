@@ -24,10 +24,10 @@ VOCABULARY = "piece_bpe_32k.model"
 START = "▁"
 #: Letters; other characters say nothing about the language.
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Longer runs of letters are scored in parts of this length, so that products stay in range.
+#: Length of the parts that ``words_of`` cuts longer words into, unless asked not to; the operators score words whole.
 LONGEST = 32
-#: Longer pieces of the vocabulary are not used.
-PIECE = 8
+#: Characters after which the forward sums are scaled, so that they stay in range.
+RESCALE = 8
 SMOOTHING, UNKNOWN = 0.1, 1e-8
 #: Labelled documents of each language that the probabilities are learnt from, at most: a bounded sample by hash.
 SAMPLE = 20_000
@@ -47,11 +47,12 @@ class Pieces:
         letters = [p.removeprefix(START) for p in pieces]
         usable = [
             i for i, (p, x) in enumerate(zip(pieces, letters))
-            if len(p) <= PIECE and (p == START or LETTERS.fullmatch(x) and x == x.lower()) and self.model.is_control(i) is False
+            if (p == START or LETTERS.fullmatch(x) and x == x.lower()) and self.model.is_control(i) is False
         ]
         self.number = np.full(len(pieces), -1)
         self.number[usable] = np.arange(len(usable))
         self.size = len(usable)
+        self.longest = max(len(pieces[i]) for i in usable)
         hashes = np.array([self._hash(pieces[i]) for i in usable], np.uint64)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
@@ -87,38 +88,46 @@ class Pieces:
         order = np.argsort(lengths, kind="stable")
         cuts = np.flatnonzero(np.diff(lengths[order], prepend=-1))
         for rows in np.split(order, cuts[1:]) if len(order) else []:
-            out[rows] = np.log(self._forward([START + words[i] for i in rows], probability))
+            out[rows] = self._forward([START + words[i] for i in rows], probability)
         return out
 
     def _forward(self, words: list[str], probability: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums for words of one length."""
         length = len(words[0])
         codes = np.array(words, f"<U{length}").view(np.uint32).reshape(len(words), length).astype(np.uint64) + np.uint64(1)
-        alpha = [np.ones((len(words), probability.shape[1]))]
+        alpha = [np.ones((len(words), probability.shape[1]))]  # sums up to the last places that a piece can start from
+        scale = np.zeros_like(alpha[0])
         suffix: list[np.ndarray] = []  # hashes of the substrings that end here, shortest first
         with np.errstate(over="ignore"):
             for i in range(length):
-                suffix = [codes[:, i], *(h * BASE + codes[:, i] for h in suffix[: PIECE - 1])]
-                total = np.zeros_like(alpha[0])
+                suffix = [codes[:, i], *(h * BASE + codes[:, i] for h in suffix[: self.longest - 1])]
+                total = np.zeros_like(scale)
                 for n, hashes in enumerate(suffix, 1):
                     piece = self.find(hashes)
-                    total += alpha[i + 1 - n] * probability[piece]
+                    at = np.flatnonzero(piece < self.size)
+                    if len(at) == len(words):
+                        total += alpha[-n] * probability[piece]
+                    elif len(at):
+                        total[at] += alpha[-n][at] * probability[piece[at]]
                     if n == 1:
-                        total += alpha[i] * np.where(piece == self.size, UNKNOWN, 0.0)[:, None]
-                alpha.append(total)
-        return alpha[-1]
+                        total += alpha[-1] * np.where(piece == self.size, UNKNOWN, 0.0)[:, None]
+                alpha = [*alpha[1 - self.longest :], total] if self.longest > 1 else [total]
+                if i % RESCALE == RESCALE - 1:
+                    alpha, scale = [a / total for a in alpha], scale + np.log(total)
+        return np.log(alpha[-1]) + scale
 
 
 def pieces_of(vocabulary: str) -> Pieces:
     return kept_by_worker(f"pieces {vocabulary}", lambda: Pieces(vocabulary))
 
 
-def words_of(text: str) -> Counter:
-    """Runs of letters in lower case, in parts of at most LONGEST characters."""
+def words_of(text: str, longest: int | None = LONGEST) -> Counter:
+    """Runs of letters in lower case, in parts of at most ``longest`` characters if given."""
     words = Counter(LETTERS.findall(text.lower()))
-    for word in [w for w in words if len(w) > LONGEST]:
+    for word in [w for w in words if longest and len(w) > longest]:
         n = words.pop(word)
-        for i in range(0, len(word), LONGEST):
-            words[word[i : i + LONGEST]] += n
+        for i in range(0, len(word), longest):
+            words[word[i : i + longest]] += n
     return words
 
 
@@ -152,7 +161,7 @@ def learn(rows: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE) -
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
                 own = words.setdefault(lang, Counter())
-                own.update(words_of(text.as_py()))
+                own.update(words_of(text.as_py(), None))
                 if len(own) > CACHE // 2:
                     add()
         add()
@@ -209,7 +218,7 @@ def identify(docs: DataFrame, langs: Sequence[str], probability: np.ndarray, voc
                     logs = logs[:0]
 
             for text in batch.column("text"):
-                waiting.append(words_of(text.as_py() or ""))
+                waiting.append(words_of(text.as_py() or "", None))
                 size += len(waiting[-1])
                 if size > CACHE // 2:
                     score()
