@@ -26,10 +26,11 @@ def bounded(spark: SparkSession) -> None:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without any letter go."""
+    """Documents with a letter; the others go. Where no language was learned, none can be told and letters alone decide."""
     bounded(spark)
-    found = langid.fit_and_identify(packed(docs, "doc_id", "text", "lang"))
-    return unpacked(found.where(F.col("lang_pred") != langid.UNDETERMINED), docs.columns, "doc_id", "text", "lang")
+    found, langs = langid.fitted(packed(docs, "doc_id", "text", "lang"))
+    told = F.col("lang_pred") != langid.UNDETERMINED if langs else langid.has_letter(F.col("text"))
+    return unpacked(found.where(told), docs.columns, "doc_id", "text", "lang")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
@@ -230,7 +231,23 @@ def identify(docs: DataFrame, langs: Sequence[str], probability: np.ndarray, voc
     return docs.mapInArrow(run, schema + ", lang_pred string, score double")
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text has a character of ``LETTERS``, by the same expression; false for null."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: bool(t) and LETTERS.search(t.lower()) is not None).astype(bool)
+
+    return run(text)
+
+
+def fitted(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``identify`` with what is learned from the labelled documents that are not held out, and the languages learned."""
+    training = docs.where(~held_out()).select("text", "lang", F.xxhash64("doc_id").alias("pick"))
+    langs, probability = learn(training)
+    return identify(docs, langs, probability), langs
+
+
 def fit_and_identify(docs: DataFrame) -> DataFrame:
     """``identify`` with what is learned from the labelled documents that are not held out."""
-    training = docs.where(~held_out()).select("text", "lang", F.xxhash64("doc_id").alias("pick"))
-    return identify(docs, *learn(training))
+    return fitted(docs)[0]

@@ -374,6 +374,12 @@ def test_pipeline_stages(spark, docs, none):
     assert {r.doc_id for r in docs.select("doc_id").collect()} - {r.doc_id for r in kept.select("doc_id").collect()} == {200, 201, 202}
 
 
+def test_language_stage_keeps_an_unlabelled_corpus(spark, docs):
+    kept = corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
+    wanted = Counter(i for i, t, *_ in varied() if any(c.isalpha() for c in t or ""))
+    assert Counter(r.doc_id for r in kept.collect()) == wanted and kept.dtypes == docs.dtypes
+
+
 def test_pipeline_keeps_one_document_of_each_group(spark):
     sf = "/root/testdata/sf0.001"
     rows = corpus_pipeline.run(spark, sf).collect()
