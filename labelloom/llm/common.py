@@ -9,13 +9,20 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from labelloom.staging import stage
 
 LONGS = ("_part", "_pos", "_before")
 #: ASCII white space: blank and tab to carriage return; ``bytes.split`` cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Join keys that rows without a key are spread over.
+SPREAD = 256
+
+
+def null_safe_spread(key: str, row: str) -> Column:
+    """0 where there is a key, else one of ``SPREAD`` numbers: a further join key, so that null keys do not meet in one task."""
+    return F.when(F.col(key).isNull(), F.pmod(F.xxhash64(row), F.lit(SPREAD)) + 1).otherwise(0).cast("int")
 
 
 def kept_by_worker(key: str, make: Callable[[], object]) -> object:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelloom.llm import brown, fixity, langid, mixing, packing, pii, rangejoin, sharding, simhash, topk
+from labelloom.llm import brown, fixity, interaction, langid, mixing, packing, phrases, pii, rangejoin, sharding, simhash, topk, winnowing
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -66,6 +66,19 @@ def op10_brown_lm(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("held_out", brown.held_out())
 
 
+def op11_prefix_free_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+def op12_winnowing_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    found = winnowing.against_edited(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "positions")
+
+
+def op13_filter_interactions(spark: SparkSession, sf: str) -> DataFrame:
+    return interaction.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_metric_range_join": op2_metric_range_join,
@@ -77,6 +90,9 @@ QUERIES = {
     "op8_merkle_fixity": op8_merkle_fixity,
     "op9_block_mix": op9_block_mix,
     "op10_brown_lm": op10_brown_lm,
+    "op11_prefix_free_collocations": op11_prefix_free_collocations,
+    "op12_winnowing_fingerprints": op12_winnowing_fingerprints,
+    "op13_filter_interactions": op13_filter_interactions,
 }
 
 OP2_SQL = """
@@ -125,4 +141,72 @@ placed AS (
          CAST(sum(length) OVER (PARTITION BY node // 4096 ORDER BY node) - length AS BIGINT) AS "offset", length, expected, found FROM records)
 SELECT page_id, file, record, "offset", length, expected, found FROM placed WHERE expected <> found
 """
-ORACLES: dict[str, str] = {"op2_metric_range_join": OP2_SQL, "op8_merkle_fixity": OP8_SQL, "op3_threshold_topk": OP3_SQL}
+OP11_SQL = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase
+  FROM split, range(1, 6) s(k)),
+f AS (SELECT lang, phrase, k AS words, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM split GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE words > 1),
+covered AS (
+  SELECT DISTINCT c.lang, c.phrase FROM candidates c JOIN candidates o ON c.lang = o.lang AND o.words > c.words
+    AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * o.a >= 100 * c.a),
+cuts AS (
+  SELECT c.*, k, array_to_string(w[1:k], ' ') AS p, array_to_string(w[k + 1:], ' ') AS q
+  FROM candidates c ANTI JOIN covered USING (lang, phrase), range(1, 5) s(k) WHERE k < words),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, n, (1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = p JOIN f y ON y.lang = c.lang AND y.phrase = q JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+OP13_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+said AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+firsts AS (SELECT text, min(doc_id) AS first FROM texts GROUP BY text),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CAST(len(words) < 200 AS INT)
+    + 2 * CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INT)
+    + 4 * CAST(100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) AS INT)
+    + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
+    + 16 * CAST(coalesce(texts.doc_id > first, false) AS INT) AS bits
+  FROM texts JOIN firsts USING (text) LEFT JOIN said ON texts.doc_id = said.doc_id),
+cells AS (SELECT part, bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order,
+    [a.bit, b.bit, c.bit, d.bit, e.bit] AS steps
+  FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (
+  SELECT filter_order, CAST(step AS INT) AS step, steps[step] AS bit, coalesce(list_sum(steps[1:step - 1]), 0)::BIGINT AS earlier
+  FROM orders, range(1, 6) s(step)),
+counted AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN bits & (earlier | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN bits & bit <> 0 AND bits & earlier = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN bits & bit <> 0 AND bits & earlier <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN bits = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN bits & bit <> 0 AND bits & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN bits & bit <> 0 AND bits & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cells, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counted
+"""
+ORACLES: dict[str, str] = {
+    "op2_metric_range_join": OP2_SQL,
+    "op8_merkle_fixity": OP8_SQL,
+    "op3_threshold_topk": OP3_SQL,
+    "op11_prefix_free_collocations": OP11_SQL,
+    "op13_filter_interactions": OP13_SQL,
+}
