@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -117,28 +118,30 @@ def blocks(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[Block]:
     held = 0
 
     def block() -> Block:
-        ids, lengths, n, last = zip(*parts)
-        lengths = np.array(lengths)
-        ends = np.repeat(np.cumsum(lengths), lengths)
-        left = ends - np.arange(len(ends))  # words to the chunk's end, its stop included
-        own = (left > overlap + 1) | np.repeat(np.array(last), lengths)
-        return Block(np.concatenate(ids), np.repeat(np.array(n, np.int64), lengths), own, names, langs, np.array(hashes, np.uint64))
+        ids, lengths, n, last = map(np.concatenate, zip(*parts))
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(ids))  # words to the chunk's end, its stop included
+        own = (left > overlap + 1) | np.repeat(last, lengths)
+        return Block(ids, np.repeat(n, lengths), own, names, langs, np.array(hashes, np.uint64))
 
     for batch in batches:
-        chunks = batch.column("chunk")
-        for at, (lang, last, n) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("last").to_pylist(), batch.column("n").to_pylist())):
-            tokens = chunks[at].as_py().split()
+        given = batch.column("lang").to_pylist()
+        for lang in set(given):
+            some = batch.take(pa.array([i for i, g in enumerate(given) if g == lang], pa.int64()))
+            chunks = some.column("chunk").to_pylist()
+            tokens = b" . ".join(chunks).split(b" ") + [STOP]
             own = numbers.setdefault(lang, {STOP: 0})
             for word in set(tokens).difference(own):
                 own[word] = len(names)
                 names.append(word)
                 langs.append(lang)
                 hashes.append(zlib.crc32(word, zlib.crc32(lang.encode() + b" ")))
-            parts.append((np.append(np.fromiter(map(own.__getitem__, tokens), np.int64, len(tokens)), 0), len(tokens) + 1, n, last))
-            held += len(tokens) + 1
-            if held > AT_ONCE or len(names) > HELD:
-                yield block()
-                numbers, names, langs, hashes, parts, held = {}, [STOP], [""], [0], [], 0
+            lengths = np.fromiter((chunk.count(b" ") + 2 for chunk in chunks), np.int64, len(chunks))
+            ids = np.fromiter(map(own.__getitem__, tokens), np.int64, len(tokens))
+            parts.append((ids, lengths, some.column("n").to_numpy(), some.column("last").to_numpy(zero_copy_only=False)))
+            held += len(tokens)
+        if held > AT_ONCE or len(names) > HELD:
+            yield block()
+            numbers, names, langs, hashes, parts, held = {}, [STOP], [""], [0], [], 0
     if parts:
         yield block()
 
@@ -161,17 +164,17 @@ def counted(dictionary: DataFrame, overlap: int, phrases: Callable[[Block], Iter
 
 
 def summed(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place of the first of each distinct key, sum of its weights, and every key's number."""
-    _, first, number = np.unique(keys, return_index=True, return_inverse=True)
-    sums = np.zeros(len(first), np.int64)
+    """The distinct keys, the sums of their weights, and every key's number."""
+    number, distinct = pd.factorize(keys)
+    sums = np.zeros(len(distinct), np.int64)
     np.add.at(sums, number, weight)
-    return first, sums, number
+    return distinct, sums, number
 
 
 def single_words(block: Block) -> Iterator[tuple]:
     at = np.flatnonzero(block.own & (block.ids > 0))
-    first, sums, _ = summed(block.ids[at], block.weight[at])
-    yield 1, block.ids[at][first][None], sums
+    distinct, sums, _ = summed(block.ids[at], block.weight[at])
+    yield 1, distinct[None], sums
 
 
 def marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -179,48 +182,91 @@ def marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (marks[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def longer_phrases(marks: np.ndarray, run: int, sizes: range) -> Callable[[Block], Iterator[tuple]]:
-    """Phrases of the sizes, all of whose runs of ``run`` words are marked."""
+def pairs(block: Block, good_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of neighbouring words, and whether both are marked in the one chunk and piece."""
+    good = (block.ids > 0) & marked(good_words, block.hashes)[block.ids]
+    return of_runs(block.hashes[block.ids], 2), good[:-1] & good[1:]
+
+
+def frequent_pairs(dictionary: DataFrame, overlap: int, least: int, good_words: np.ndarray) -> np.ndarray:
+    """Marks of the pairs of marked words that occur ``least`` times.
+
+    Most pairs are rare, and their words would fill a shuffle. So pairs are counted by hashes alone, of which the first bits are a range
+    and 32 more are kept in arrays; ranges follow the number of shuffle partitions. Pairs whose hashes agree share a count, so some
+    rare ones are marked; phrases are counted by their words later.
+    """
+    ranges = (4 * int(dictionary.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, overlap):
+            hashes, good = pairs(block, good_words)
+            at = np.flatnonzero(good & block.own[:-1])
+            distinct, sums, _ = summed(mixed(hashes[at], ranges + 32), block.weight[at])
+            order = np.argsort(distinct)
+            distinct, sums = distinct[order], np.minimum(sums[order], least).astype(np.uint32)
+            places, low = (distinct >> np.uint64(32)).astype(np.int32), distinct.astype(np.uint32)
+            begins = np.flatnonzero(np.append(True, places[1:] != places[:-1])) if len(places) else []
+            ends = [*begins[1:], len(places)]
+            columns = [[x[a:b].tobytes() for a, b in zip(begins, ends)] for x in (low, sums)]
+            yield pa.RecordBatch.from_arrays([pa.array(places[begins] if len(places) else [], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["place", "low", "n"])
+
+    def add(group: pa.Table) -> pa.Table:
+        low, n = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.uint32) for c in ("low", "n"))
+        distinct, sums, _ = summed(low, n)
+        often = np.sort(distinct[sums >= least]).astype(np.uint64) | np.uint64(group.column("place")[0].as_py()) << np.uint64(32)
+        return pa.table(cells_of(often >> np.uint64(ranges + 32 - BITS)))
+
+    counts = dictionary.mapInArrow(run, "place int, low binary, n binary")
+    return table_of_marks(counts.groupBy("place").applyInArrow(add, "cell int, bits long"))
+
+
+def longer_phrases(good_words: np.ndarray, good_pairs: np.ndarray, longest: int) -> Callable[[Block], Iterator[tuple]]:
+    """Phrases of two words and more, all of whose words and pairs are marked."""
 
     def phrases(block: Block) -> Iterator[tuple]:
-        ids, hashes = block.ids, block.hashes[block.ids]
-        good = marked(marks, of_runs(hashes, run))
-        for j in range(run):
-            good &= ids[j : j + len(good)] > 0
-        for size in sizes:
-            here = max(0, len(ids) - size + 1)
-            all_good = block.own[:here].copy()
-            for j in range(size - run + 1):
-                all_good &= good[j : j + here]
-            at = np.flatnonzero(all_good)
+        hashes, good = pairs(block, good_words)
+        good[good] = marked(good_pairs, hashes[good])
+        at = np.flatnonzero(good & block.own[:-1])
+        steps = block.ids[at]
+        rows: list[np.ndarray] = []
+        for size in range(2, longest + 1):
+            if size > 2:  # phrases whose next pair is good too
+                further = good[np.minimum(at + size - 2, len(good) - 1)] & (at + size - 1 < len(block.ids))
+                at, steps = at[further], steps[further]
             if not len(at):
-                continue
-            number, sums = ids[at], None
-            for j in range(1, size):  # a number for each distinct run so far, and the next word
-                first, sums, number = summed(number * len(block.names) + ids[at + j], block.weight[at])
-            yield size, np.stack([ids[at[first] + j] for j in range(size)]), sums
+                return
+            distinct, sums, steps = summed(steps * len(block.names) + block.ids[at + size - 1], block.weight[at])
+            before, word = distinct // len(block.names), distinct % len(block.names)
+            rows = [*(r[before] for r in rows), word] if size > 2 else [before, word]
+            yield size, np.stack(rows), sums
 
     return phrases
 
 
-def marks_of(phrases: DataFrame) -> np.ndarray:
-    """The table of marks of the phrases: at most ``1 << BITS`` bits in words of 64 reach the driver."""
+def cells_of(places: np.ndarray) -> dict[str, pa.Array]:
+    """The marks at places, as words of 64 bits."""
+    bits = np.uint64(1) << (places & np.uint64(63))
+    return {"cell": pa.array((places >> np.uint64(6)).astype(np.int32)), "bits": pa.array(bits.view(np.int64))}
+
+
+def table_of_marks(cells: DataFrame) -> np.ndarray:
+    """All marks in one table: at most ``1 << BITS`` bits reach the driver."""
+    found = cells.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(max(1, 1 << BITS - 6), np.uint64)
+    out[found.column("cell").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def frequent_words(words: DataFrame) -> np.ndarray:
+    """Marks of the rows ``lang, phrase`` of single words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seeds = [zlib.crc32(lang.encode() + b" ") for lang in batch.column(0).to_pylist()]
-            split = [phrase.encode().split(b" ") for phrase in batch.column(1).to_pylist()]
-            sums = np.zeros(len(split), np.uint64)
-            for j in range(max(map(len, split), default=0)):
-                sums = sums * BASE + np.array([zlib.crc32(w[j], seed) for w, seed in zip(split, seeds)], np.uint64)
-            place = mixed(sums, BITS)
-            bits = np.uint64(1) << (place & np.uint64(63))
-            yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int32)), pa.array(bits.view(np.int64))], ["cell", "bits"])
-
-    cells = phrases.select("lang", "phrase").mapInArrow(run, "cell int, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << BITS - 6, np.uint64)
-    out[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().view(np.uint64)
-    return out
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            hashes = [zlib.crc32(word.encode(), zlib.crc32(lang.encode() + b" ")) for lang, word in keys]
+            yield pa.RecordBatch.from_pydict(cells_of(mixed(np.array(hashes, np.uint64), BITS)))
+
+    return table_of_marks(words.select("lang", "phrase").mapInArrow(run, "cell int, bits long"))
 
 
 def frequencies(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
@@ -228,11 +274,11 @@ def frequencies(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, D
     overlap = longest - 1
     dictionary = parse(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary")), overlap)
     all_words = stage(counted(dictionary, overlap, single_words), "words")
-    levels = [all_words.where(F.col("n") >= least)]
-    for run, sizes in ((1, range(2, 3)), (2, range(3, longest + 1))):
-        found = counted(dictionary, overlap, longer_phrases(marks_of(levels[-1]), run, sizes))
-        levels.append(stage(found.where(F.col("n") >= least), "phrases"))
-    together = levels[0].unionByName(levels[1]).unionByName(levels[2])
+    frequent = all_words.where(F.col("n") >= least)
+    good_words = frequent_words(frequent)
+    good_pairs = frequent_pairs(dictionary, overlap, least, good_words)
+    longer = counted(dictionary, overlap, longer_phrases(good_words, good_pairs, longest)).where(F.col("n") >= least)
+    together = frequent.unionByName(stage(longer, "phrases"))
     return together, stage(all_words.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
 
 
