@@ -107,7 +107,7 @@ def rows_of(block: tuple) -> Rows:
 def sum_partials(blocks: RDD, partial: Callable[[Iterator], np.ndarray | None], size: int) -> np.ndarray:
     """Sum over partitions of the array of ``size`` numbers that ``partial`` makes from each partition's blocks.
 
-    The driver receives all partial sums while they are small together. Beyond that they are cut into
+    The driver receives all partial sums while they are small together, without their zeros if these are many. Beyond that they are cut into
     ranges and added up by range on the executors, so that it receives a single sum however many partitions
     there are.
     """
@@ -115,20 +115,30 @@ def sum_partials(blocks: RDD, partial: Callable[[Iterator], np.ndarray | None],
     def run(part):
         total = partial(part)
         if total is not None:
-            yield total
+            yield total.ravel()
 
     def ranges(part):
-        for total in run(part):
-            flat = total.ravel()
+        for flat in run(part):
             for start in range(0, size, RANGE):
                 yield start, flat[start : start + RANGE]
 
-    partitions = blocks.getNumPartitions()
+    def short(part):
+        for flat in run(part):
+            at = np.flatnonzero(flat)
+            yield (at.astype(np.int32), flat[at]) if 2 * len(at) < len(flat) else (None, flat)
+
+    partitions, whole, found = blocks.getNumPartitions(), np.zeros(size), False
     if partitions == 1 or partitions * size <= DIRECT:
-        collected = blocks.mapPartitions(run).map(np.ravel).collect()
+        parts = blocks.mapPartitions(short).collect()
     else:
         summed = blocks.mapPartitions(ranges).reduceByKey(np.add, min(partitions, -(-size // RANGE))).collect()
-        collected = [np.concatenate([part for _, part in sorted(summed, key=lambda pair: pair[0])])] if summed else []
-    if not collected:
+        parts = [(slice(start, start + RANGE), values) for start, values in summed]
+    for at, values in parts:
+        found = True
+        if at is None:
+            whole += values
+        else:
+            whole[at] += values
+    if not found:
         raise ValueError("There are no rows.")
-    return np.sum(collected, axis=0)
+    return whole
