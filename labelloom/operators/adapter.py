@@ -1,8 +1,10 @@
 """Truncated SVD and standard scaling of encoded rows, the input of the network.
 
-The SVD is a randomised subspace iteration: each pass sends the current basis to the rows and sums
-their product with it. The basis goes in column blocks of bounded size, and the driver receives one sum a block. It
-holds the basis, features by components; both are arguments.
+The SVD is a randomised subspace iteration on the smaller side of the matrix. With fewer features than rows, each pass sends a
+basis of features by components to the rows and sums their product with it. With fewer rows than features, the entries are
+shuffled once into transposed rows, ranges of features, and the basis is of rows by components; the directions follow in a
+last pass. A basis goes in column blocks of bounded size, and the driver receives one sum a block. It holds the directions,
+features by components; both are arguments.
 """
 
 from __future__ import annotations
@@ -12,10 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, types as T
 
-from labelloom.operators.vectors import row_blocks, rows_of, sparse_rows, sum_partials
+from labelloom.operators.vectors import row_blocks, rows_of, sparse_rows, sum_partials, turned_blocks
 
 BLOCK_BYTES = 64 * 2**20
 SMALLEST = 8
@@ -51,20 +53,20 @@ def _orthonormal(basis: np.ndarray) -> np.ndarray:
 
 
 def _normal_product(row_data: RDD, basis: np.ndarray) -> np.ndarray:
-    """``X'(X basis)``, block of columns by block."""
+    """``X'(X basis)``, block of columns by block; products in single precision, sums in double."""
     features, width = basis.shape
     step = max(1, BLOCK_BYTES // (8 * features))
     blocks = []
     for start in range(0, width, step):
-        block = np.ascontiguousarray(basis[:, start : start + step])
+        block = basis[:, start : start + step].astype(np.float32)
         shared = row_data.context.broadcast(block)
 
         def partial(part: Iterator[tuple], shared=shared):
             columns = shared.value
             total = None
             for block in part:
-                total = np.zeros_like(columns) if total is None else total
-                for used, dense in rows_of(block).blocks():
+                total = np.zeros(columns.shape) if total is None else total
+                for used, dense in rows_of(block).blocks(kind=np.float32):
                     total[used] += dense.T @ (dense @ columns[used])
             return total
 
@@ -89,6 +91,31 @@ def _moments(row_data: RDD, features: int):
     return summed[:-2], summed[-2], summed[-1]
 
 
+def _leading(blocks: RDD, size: int, width: int, iterations: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading eigenvectors and eigenvalues of ``X'X`` for rows of ``size`` columns, largest first."""
+    basis = _orthonormal(np.random.default_rng(seed).standard_normal((size, width)))
+    for _ in range(iterations + 1):
+        basis = _orthonormal(_normal_product(blocks, basis))
+    spread, turn = np.linalg.eigh(basis.T @ _normal_product(blocks, basis))
+    return basis @ turn[:, ::-1], np.maximum(spread[::-1], 0.0)
+
+
+def _right_side(turned: RDD, left: np.ndarray, singular: np.ndarray, features: int) -> np.ndarray:
+    """Directions over the features from those over the rows: ``X' left / singular``, each range where it lies."""
+    shared = turned.context.broadcast(left / np.maximum(singular, 1e-300))
+
+    def project(block: tuple) -> tuple[np.ndarray, np.ndarray]:
+        columns = shared.value
+        parts = [dense @ columns[used] for used, dense in rows_of(block).blocks()]
+        return block[3], np.concatenate(parts).astype(np.float32)
+
+    directions = np.zeros((features, left.shape[1]), np.float32)
+    for index, values in turned.map(project).toLocalIterator():
+        directions[index] = values
+    shared.unpersist()
+    return directions
+
+
 def fit_adapter(
     vectors: DataFrame,
     features: int,
@@ -102,20 +129,20 @@ def fit_adapter(
     kept = min(components, rows - 1, features - 1)
     if kept < SMALLEST:
         raise ValueError(f"Too few rows or features for {SMALLEST} components.")
-    width = min(kept + oversample, features)
-    basis = _orthonormal(np.random.default_rng(seed).standard_normal((features, width)))
-    with row_blocks(vectors, [], rows) as row_data:
-        for _ in range(iterations + 1):
-            basis = _orthonormal(_normal_product(row_data, basis))
-        gram = basis.T @ _normal_product(row_data, basis)
+    width = min(kept + oversample, rows, features)
+    with row_blocks(vectors, [], rows, written=rows < features) as row_data:
         sums, squares, count = _moments(row_data, features)
-    spread, turn = np.linalg.eigh(gram)
-    order = np.argsort(spread)[::-1][:kept]
-    directions = basis @ turn[:, order]
+        if rows < features:
+            turned = turned_blocks(row_data, features).persist(StorageLevel.MEMORY_AND_DISK)
+            left, energy = _leading(turned, rows, width, iterations, seed)
+            directions = _right_side(turned, left[:, :kept], np.sqrt(energy[:kept]), features)
+            turned.unpersist()
+        else:
+            directions, energy = _leading(row_data, features, width, iterations, seed)
+    directions, energy = directions[:, :kept], energy[:kept]
     # Signs are arbitrary: the largest loading is made positive.
     largest = np.argmax(np.abs(directions), axis=0)
     directions *= np.sign(directions[largest, np.arange(kept)])
-    energy = np.maximum(spread[order], 0.0)
     mean = (sums / count) @ directions
     variance = np.maximum(energy / count - mean * mean, 0.0)
     total_variance = squares / count - (sums / count) @ (sums / count)

@@ -3,8 +3,8 @@
 Rows are dealt into a given number of shards by their id. In every epoch each shard runs its own seeded
 mini-batches of Adam from the shared state, block by block, and the states are averaged by rows. The shards share
 one batch size, so a step of all of them sees as many rows as one step of ordinary training would. More shards
-train faster and average more; the number never follows from the size or the partitioning of the table, so the
-same rows give the same network.
+train faster and average more; the number never follows from the size or the partitioning of the table, nor do blocks from the
+size of Spark's batches, so the same rows give the same network.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from labelloom.operators.vectors import columns, sum_partials
 from labelloom.operators.weights import row_weights
 
 SHARDS = 8
+#: Rows of a shard that are put in a random order together.
+BLOCK_ROWS = 8192
 
 
 @dataclass(frozen=True)
@@ -127,12 +129,25 @@ def fit_mlp(
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of ``BLOCK_ROWS`` rows, however many rows Spark hands over at once."""
+        held: list[pa.RecordBatch] = []
+
+        def block(rows: pa.RecordBatch) -> pa.RecordBatch:
+            x = rows.column("features").flatten().to_numpy().reshape(rows.num_rows, -1)
+            arrays = x, columns(rows, labels), rows.column("row_weight").to_numpy()
+            packed = [pa.array([pickle.dumps(array, protocol=5)], pa.binary()) for array in arrays]
+            return pa.RecordBatch.from_arrays(packed, ["x", "y", "weight"])
+
         for batch in batches:
-            if batch.num_rows:
-                x = batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
-                arrays = x, columns(batch, labels), batch.column("row_weight").to_numpy()
-                packed = [pa.array([pickle.dumps(array, protocol=5)], pa.binary()) for array in arrays]
-                yield pa.RecordBatch.from_arrays(packed, ["x", "y", "weight"])
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BLOCK_ROWS:
+                rows = pa.concat_batches(held)
+                whole = rows.num_rows - rows.num_rows % BLOCK_ROWS
+                for start in range(0, whole, BLOCK_ROWS):
+                    yield block(rows.slice(start, BLOCK_ROWS))
+                held = [rows.slice(whole)]
+        if sum(b.num_rows for b in held):
+            yield block(pa.concat_batches(held))
 
     # Decoded once for all epochs.
     blocks = (

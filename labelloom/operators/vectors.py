@@ -13,9 +13,13 @@ from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from labelloom.staging import stage
+
 #: Numbers that partial sums may have together to be sent to the driver as they are, and numbers in a range.
 DIRECT, RANGE = 1 << 22, 1 << 19
 ROWS_PER_SUM = 512
+#: Numbers of a dense block.
+DENSE = 1 << 22
 PACKED = ["lengths", "indices", "values", "labels"]
 
 
@@ -36,17 +40,25 @@ class Rows:
         """Product of the transposed rows with one value per row."""
         return np.bincount(self.index, weights=self.value * column[self.row], minlength=features)
 
-    def blocks(self, size: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Dense blocks of ``size`` rows over the features they use: (features, matrix).
+    def blocks(self, size: int = 256, kind: type = np.float64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Dense blocks of up to ``size`` rows over the features they use: (features, matrix).
 
-        Products with many columns run faster on such a block than entry by entry.
+        Products with many columns run faster on such a block than entry by entry. Rows that use many features come in smaller
+        blocks, so that a block holds about ``DENSE`` numbers at most.
         """
-        for start in range(0, self.count, size):
-            low, high = np.searchsorted(self.row, [start, start + size])
+        start = 0
+        while start < self.count:
+            rows = min(size, self.count - start)
+            while True:
+                low, high = np.searchsorted(self.row, [start, start + rows])
+                if rows == 1 or rows * min(high - low, self.index.max(initial=0) + 1) <= DENSE:
+                    break
+                rows //= 2
             used, local = np.unique(self.index[low:high], return_inverse=True)
-            dense = np.zeros((min(size, self.count - start), len(used)))
+            dense = np.zeros((rows, len(used)), kind)
             dense[self.row[low:high] - start, local] = self.value[low:high]
             yield used, dense
+            start += rows
 
 
 def sparse_rows(batch: pa.RecordBatch) -> Rows:
@@ -66,12 +78,13 @@ def columns(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:
 
 
 @contextmanager
-def row_blocks(vectors: DataFrame, labels: Sequence[str], rows: int) -> Iterator[RDD]:
+def row_blocks(vectors: DataFrame, labels: Sequence[str], rows: int, written: bool = False) -> Iterator[RDD]:
     """The rows as persisted numpy blocks ``(row lengths, indices, values, labels)``, one per Arrow batch.
 
     A fit passes over the rows dozens of times. Decoded once, a pass is a plain job over blocks; as
     a query it would be planned, and its arrays converted, every time. Few rows are gathered in few
-    partitions, since a partition answers with a sum of full size however few rows it has.
+    partitions, since a partition answers with a sum of full size however few rows it has. With ``written`` the blocks are
+    staged first, and so keep their order when they have to be read again.
     """
     names = list(labels)
 
@@ -90,7 +103,9 @@ def row_blocks(vectors: DataFrame, labels: Sequence[str], rows: int) -> Iterator
 
     schema = StructType([StructField(name, BinaryType()) for name in PACKED])
     gathered = vectors.select("indices", "values", *names).coalesce(max(1, rows // ROWS_PER_SUM))
-    blocks = gathered.mapInArrow(pack, schema).rdd.map(lambda row: tuple(pickle.loads(part) for part in row))
+    packed = gathered.mapInArrow(pack, schema)
+    packed = stage(packed, "blocks") if written else packed
+    blocks = packed.rdd.map(lambda row: tuple(pickle.loads(part) for part in row))
     blocks.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield blocks
@@ -98,6 +113,38 @@ def row_blocks(vectors: DataFrame, labels: Sequence[str], rows: int) -> Iterator
         blocks.unpersist()
 
 
+def turned_blocks(blocks: RDD, features: int) -> RDD:
+    """The transposed rows: blocks ``(lengths, rows, values, features)``, one row for every feature in use.
+
+    Features are cut into as many ranges as there are partitions; an entry is shuffled once, with its row's number. ``blocks``
+    must give the same rows in the same order whenever they are read.
+    """
+    ranges = blocks.getNumPartitions()
+    width = -(-features // ranges)
+    numbered = blocks.zipWithIndex()
+    counts = dict(numbered.map(lambda pair: (pair[1], len(pair[0][0]))).collect())  # one number per Arrow batch
+    firsts = np.cumsum([0, *(counts[k] for k in sorted(counts))])
+
+    def cut(pair):
+        (lengths, index, value, _), number = pair
+        order = np.argsort(index, kind="stable")
+        row = np.repeat(np.arange(len(lengths)), lengths)[order] + firsts[number]
+        index, value = index[order], value[order]
+        ends = np.searchsorted(index, np.arange(0, (ranges + 1) * width, width))
+        for at, (low, high) in enumerate(zip(ends, ends[1:])):
+            if low < high:
+                yield at, (index[low:high], row[low:high].astype(np.int32), value[low:high])
+
+    def gather(group):
+        index, row, value = map(np.concatenate, zip(*group[1]))
+        order = np.lexsort((row, index))
+        index, row, value = index[order], row[order], value[order]
+        used, lengths = np.unique(index, return_counts=True)
+        return lengths.astype(np.int32), row, value, used
+
+    return numbered.flatMap(cut).groupByKey(ranges).map(gather)
+
+
 def rows_of(block: tuple) -> Rows:
     """The sparse rows of a block."""
     lengths, index, value, _ = block

@@ -14,7 +14,7 @@ from labelloom.operators import blend, checks, features as ft, metrics, submit
 from labelloom.operators.adapter import apply_adapter, fit_adapter
 from labelloom.operators.groups import group_table, with_group_key
 from labelloom.operators.linear import fit_linear_svm, fit_logistic, score_linear
-from labelloom.operators.mlp import fit_mlp, score_multi
+from labelloom.operators.mlp import SHARDS, fit_mlp, score_multi
 from labelloom.operators.splits import assign_rows, split_groups
 from labelloom.sources.sinks import write_table
 from labelloom.staging import scratch, stage
@@ -58,6 +58,7 @@ class Settings:
     linear: Mapping[tuple[str, str], Linear] = field(default_factory=lambda: dict(LINEAR))
     components: int = 192
     epochs: int = 40
+    shards: int = SHARDS
     tolerance: float = 1e-4
     threshold: float = 0.5
     seed: int = 42
@@ -109,7 +110,7 @@ def fit_family(
         with _kept(apply_adapter(train, adapter, [id_col, *labels])) as dense:
             network = fit_mlp(
                 dense, labels, id_col, adapter.components,
-                max_epochs=settings.epochs, seed=settings.seed + seed_offset,
+                max_epochs=settings.epochs, seed=settings.seed + seed_offset, shards=settings.shards,
             )
         record.update(
             model_input_features=adapter.components,

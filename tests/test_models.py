@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.operators import features as ft, metrics as mt
+from labelloom.operators import features as ft, metrics as mt, mlp, vectors as vec
 from labelloom.operators.adapter import apply_adapter, fit_adapter
 from labelloom.operators.linear import LOGISTIC, SQUARED_HINGE, fit_linear, loss_and_slope, score_linear
 from labelloom.operators.mlp import fit_mlp, loss_and_gradient, score_multi
@@ -74,6 +74,31 @@ def test_one_outcome_is_refused(vectors):
         fit_linear(vectors.withColumn("x", F.lit(0)), LABELS, FEATURES, LOGISTIC, dict.fromkeys(LABELS, 1.0))
 
 
+def test_svd_on_the_side_of_the_rows(spark, vectors):
+    """Wider than long: the same directions and scaling as those of a plain decomposition."""
+    few = 24
+    wide = vectors.where(f"id < {few}").repartition(4)
+    adapter = fit_adapter(wide, FEATURES, few, components=8, iterations=8)
+    _, singular, right = np.linalg.svd(MATRIX[:few], full_matrices=False)
+    assert np.allclose(adapter.singular_values, singular[:8], rtol=1e-3)
+    assert np.allclose(np.abs((adapter.directions * right[:8].T).sum(axis=0)), 1, atol=1e-2)
+    reduced = MATRIX[:few] @ adapter.directions
+    assert np.allclose(adapter.mean, reduced.mean(axis=0), atol=1e-5) and np.allclose(adapter.deviation, reduced.std(axis=0), rtol=1e-4)
+
+
+def test_turned_blocks(vectors, monkeypatch):
+    monkeypatch.setattr(vec, "DENSE", 100)
+    with vec.row_blocks(vectors, [], 512 * 3, written=True) as blocks:
+        order = np.concatenate([rows.reshape(-1) for rows in blocks.map(lambda b: b[0]).collect()])
+        turned = vec.turned_blocks(blocks, FEATURES).collect()
+        dense = np.concatenate([d @ np.ones(d.shape[1]) for b in blocks.collect() for _, d in vec.rows_of(b).blocks()])
+    found = np.zeros((FEATURES, ROWS))
+    for lengths, rows, values, used in turned:
+        found[np.repeat(used, lengths), rows] = values
+    assert sorted(np.count_nonzero(found, axis=0)) == sorted(order)
+    assert np.allclose(found.sum(axis=0), dense) and np.allclose(np.sort(found.sum(axis=1)), np.sort(MATRIX.sum(axis=0)))
+
+
 def test_svd_and_scaling(vectors):
     adapter = fit_adapter(vectors, FEATURES, ROWS, components=8, iterations=6)
     _, singular, right = np.linalg.svd(MATRIX, full_matrices=False)
@@ -100,7 +125,8 @@ def test_network_gradient():
 
 
 @pytest.mark.parametrize("shards", [1, 8])
-def test_network_learns(spark, shards):
+def test_network_learns(spark, shards, monkeypatch):
+    monkeypatch.setattr(mlp, "BLOCK_ROWS", 50)
     rows = [(i, *map(int, DENSE_Y[i]), MATRIX[i].tolist()) for i in range(ROWS)]
     dense = spark.createDataFrame(rows, "id int, x int, y int, features array<float>").persist()
     options = dict(components=FEATURES, units=16, batch=32, rate=0.01, shards=shards)
@@ -108,7 +134,9 @@ def test_network_learns(spark, shards):
     long = fit_mlp(dense, LABELS, "id", max_epochs=15, **options)
     assert long.final_loss < short.final_loss and long.epochs == 15 and long.reached_epoch_budget
     for parts in (2, 8):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(7 * parts))
         again = fit_mlp(dense.repartition(parts), LABELS, "id", max_epochs=15, **options)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert np.allclose(long.hidden, again.hidden)
     assert min(r["roc_auc"] for r in mt.roc_auc(score_multi(dense, long, ["id"], "net")).collect()) > 0.9
 
