@@ -1,8 +1,8 @@
 """Word TF-IDF and binary character n-grams.
 
-Two forms of the same features. The long form, one row per document and term, is joins and
-aggregates. The vector form feeds the model fits: the vocabulary has at most ``max_features``
-terms, so it is broadcast and each document is encoded where it lies, without a shuffle.
+Two forms of the same features: the long form, one row per document and term, and the vector form, which feeds the model
+fits. A vocabulary of at most ``BROADCAST_ROWS`` terms is sent to the documents and each is encoded where it lies, without a
+shuffle; for a larger one the long form is joins and aggregates.
 """
 
 from __future__ import annotations
@@ -11,16 +11,20 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from labelloom.functions.text import char_ngrams, fold_accents, tokens, word_ngrams
 from labelloom.operators.profile import exploded, most_frequent
-from labelloom.operators.ranking import BROADCAST_ROWS, small_side
+from labelloom.operators.ranking import BROADCAST_ROWS
 from labelloom.staging import stage
 
+#: Documents whose terms are looked up at once.
+ROWS_AT_ONCE = 256
+
 
 @dataclass(frozen=True)
 class Representation:
@@ -84,13 +88,13 @@ def term_counts(
 
 
 def vocabulary(
-    counts: DataFrame, rows: Column | int, min_df: int, max_df: float, max_features: int
+    counts: DataFrame, rows: Column | int, min_df: int, max_df: float, max_features: int, written: bool = False
 ) -> DataFrame:
     """Terms within the document-frequency limits, the most frequent ones if too many, numbered
-    alphabetically from 0 as ``term_idx``. At most ``max_features`` rows."""
+    alphabetically from 0 as ``term_idx``. At most ``max_features`` rows. Counts that are ``written`` are not written again."""
     rows = rows if isinstance(rows, Column) else F.lit(rows)
     within = counts.where((F.col("df") >= min_df) & (F.col("df") <= rows * F.lit(float(max_df))))
-    kept = most_frequent(within.select("term", "tf", "df"), "tf", "term", max_features)
+    kept = most_frequent(within.select("term", "tf", "df"), "tf", "term", max_features, written)
     position = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("term")) - 1
     return kept.select(position.alias("term_idx"), "term", "tf", "df")
 
@@ -120,12 +124,12 @@ def fold_vocabularies(
 ) -> DataFrame:
     """One vocabulary per fold, fitted on the rows of the other folds, from one pass over the terms."""
     counts = fold_term_counts(df, representation, fold_col, folds)
+    sizes = {row[0]: row["count"] for row in df.groupBy(fold_col).count().collect()}
     fitted = None
     for f in folds:
-        rows = df.where(F.col(fold_col) != f).agg(F.count(F.lit(1))).scalar()
         one = vocabulary(
-            training_counts(counts, f), rows, representation.min_df, representation.max_df,
-            representation.max_features,
+            training_counts(counts, f), sum(sizes.values()) - sizes.get(f, 0), representation.min_df, representation.max_df,
+            representation.max_features, written=True,
         ).withColumn("fold", F.lit(f))
         fitted = one if fitted is None else fitted.unionByName(one)
     return fitted
@@ -153,34 +157,72 @@ def _terms_by_id(df: DataFrame, id_col: str, text_col: str, representation: Repr
     return exploded(_terms_of_folded(placed, text_col, representation), "terms", "term").select(id_col, "term")
 
 
+def _joined(df: DataFrame, vocab: DataFrame, id_col: str, text_col: str, representation: Representation) -> DataFrame:
+    """The long form by a join on the term, for a vocabulary of any size."""
+    terms = _terms_by_id(df, id_col, text_col, representation)
+    if representation.binary:
+        weighted = terms.join(vocab.select("term", "term_idx"), "term").withColumn("value", F.lit(1.0))
+    else:
+        counts = terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+        weight = (1 + F.log(F.col("tf").cast("double"))) * F.col("idf")
+        weighted = counts.join(vocab.select("term", "term_idx", "idf"), "term").withColumn("value", weight)
+    return _unit_length(weighted.select(id_col, "term_idx", "term", "value"), id_col)
+
+
+def _looked_up(
+    df: DataFrame, vocab: DataFrame, id_col: str, text_col: str, representation: Representation, empty: bool
+) -> DataFrame:
+    """The long form by looking every document's terms up where it lies: no term is shuffled, none is exploded as a string.
+
+    ``vocab`` has at most ``BROADCAST_ROWS`` rows. With ``empty`` a document without a known term keeps a line of nulls.
+    """
+    encoder = fit_encoder(vocab, representation)
+    shared = df.sparkSession.sparkContext.broadcast((encoder.terms, encoder.idf))
+    schema = T.StructType(
+        [df.schema[id_col], T.StructField("term_idx", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("value", T.DoubleType())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = batch.slice(start, ROWS_AT_ONCE)
+                ends, index, values = encode_rows(some.column("terms"), terms, idf)
+                row = np.repeat(np.arange(some.num_rows), np.diff(ends))
+                if empty:
+                    bare = np.flatnonzero(np.diff(ends) == 0)
+                    row, index, values = (np.concatenate([a, b]) for a, b in ((row, bare), (index, np.full(len(bare), -1)), (values, np.zeros(len(bare)))))
+                index = pa.array(index, pa.int32(), mask=index < 0)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(id_col).take(pa.array(row)), index, terms.take(index), pa.array(values, mask=~pc.is_valid(index).to_numpy(zero_copy_only=False))],
+                    schema.names,
+                )
+
+    return with_terms(df.select(id_col, text_col), text_col, representation).mapInArrow(run, schema)
+
+
+def _long_form(df, vocab, id_col, text_col, representation, empty: bool) -> DataFrame:
+    if representation.max_features <= BROADCAST_ROWS:
+        return _looked_up(df, vocab, id_col, text_col, representation, empty)
+    long = _joined(df, vocab, id_col, text_col, representation)
+    return df.select(id_col).join(long, id_col, "left") if empty else long
+
+
 def tfidf(
     df: DataFrame, vocab_idf: DataFrame, id_col: str, text_col: str, representation: Representation
 ) -> DataFrame:
     """Long ``(id, term_idx, term, value)``: ``(1+ln tf)*idf``, each document of unit length.
 
-    The vocabulary holds at most ``max_features`` rows and is broadcast if that is few.
+    The vocabulary holds at most ``max_features`` rows; if that is few it is sent to the documents, else joined.
     """
-    counts = (
-        _terms_by_id(df, id_col, text_col, representation)
-        .groupBy(id_col, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    weighted = counts.join(
-        small_side(vocab_idf.select("term", "term_idx", "idf"), representation.max_features), "term"
-    ).select(
-        id_col, "term_idx", "term", ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("value")
-    )
-    return _unit_length(weighted, id_col)
+    return _long_form(df, vocab_idf, id_col, text_col, representation, empty=False)
 
 
 def binary_ngrams(
     df: DataFrame, vocab: DataFrame, id_col: str, text_col: str, representation: Representation
 ) -> DataFrame:
     """Long ``(id, term_idx, term, value)``: every present term alike, each document of unit length."""
-    present = _terms_by_id(df, id_col, text_col, representation).join(
-        small_side(vocab.select("term", "term_idx"), representation.max_features), "term"
-    )
-    return _unit_length(present.select(id_col, "term_idx", "term", F.lit(1.0).alias("value")), id_col)
+    return _long_form(df, vocab, id_col, text_col, representation, empty=False)
 
 
 def transform_with(
@@ -191,21 +233,22 @@ def transform_with(
     Terms outside the vocabulary are dropped; a row without a known term keeps one line whose
     term and value are null: the zero vector.
     """
-    weigh = binary_ngrams if representation.binary else tfidf
-    return df.select(id_col).join(weigh(df, vocab, id_col, text_col, representation), id_col, "left")
+    return _long_form(df, vocab, id_col, text_col, representation, empty=True)
 
 
 def to_vectors(long: DataFrame, id_col: str, size: int) -> DataFrame:
     """Pack the long form into one ML sparse vector per row (at most ``size`` entries each)."""
 
-    @F.udf(VectorUDT())
-    def sparse(entries):
-        return Vectors.sparse(size, [(e["term_idx"], e["value"]) for e in entries])
+    @F.pandas_udf(VectorUDT())
+    def sparse(indices: pd.Series, values: pd.Series) -> pd.DataFrame:
+        # The fields of the vector type; type 0 is sparse. The arrays pass through as they are.
+        return pd.DataFrame({"type": np.int8(0), "size": np.int32(size), "indices": indices, "values": values})
 
     entries = F.filter(
         F.sort_array(F.collect_list(F.struct("term_idx", "value"))), lambda e: e["term_idx"].isNotNull()
     )
-    return long.groupBy(id_col).agg(entries.alias("entries")).select(id_col, sparse("entries").alias("features"))
+    packed = long.groupBy(id_col).agg(entries.alias("entries"))
+    return packed.select(id_col, sparse(F.col("entries.term_idx"), F.col("entries.value")).alias("features"))
 
 
 @dataclass(frozen=True)
@@ -220,17 +263,18 @@ class Encoder:
         return len(self.terms)
 
 
-def fit_encoder(vocab: DataFrame, representation: Representation, rows: int) -> Encoder:
-    """Collect a vocabulary and its idf. Vocabularies too large to send to every task belong in the
-    long form instead."""
+def fit_encoder(vocab: DataFrame, representation: Representation, rows: int | None = None) -> Encoder:
+    """Collect a vocabulary and its idf, which follows from the number of rows unless the vocabulary has it. Vocabularies too
+    large to send to every task belong in the long form instead."""
     if representation.max_features > BROADCAST_ROWS:
         raise ValueError(f"An encoder takes at most {BROADCAST_ROWS} terms; use transform_with and to_vectors.")
-    table = vocab.select("term_idx", "term", "df").toArrow().sort_by("term_idx")
+    weight = [] if representation.binary else ["idf" if rows is None else "df"]
+    table = vocab.select("term_idx", "term", *weight).toArrow().sort_by("term_idx")
     if table.num_rows == 0:
         raise ValueError("No terms remain within the document-frequency limits.")
     idf = None
     if not representation.binary:
-        idf = np.log((1.0 + rows) / (1.0 + table["df"].to_numpy())) + 1.0
+        idf = table["idf"].to_numpy() if rows is None else np.log((1.0 + rows) / (1.0 + table["df"].to_numpy())) + 1.0
     return Encoder(table["term"].combine_chunks(), idf)
 
 

@@ -118,35 +118,50 @@ def exploded(df: DataFrame, array_col: str, out: str) -> DataFrame:
     return rows.where(F.col(out).isNotNull())
 
 
-def most_frequent(terms: DataFrame, count: str, tie: str, limit: int) -> DataFrame:
-    """The ``limit`` terms with the highest count, ties broken by the term.
+#: Splitters of a selection round, and rows that end the rounds.
+SPLITTERS, FEW = 256, 10_000
 
-    The counts are written once, as three passes read them. A histogram of the counts (few distinct values) gives the lowest count still needed, and one
-    of the first three characters of the terms at that count tells which of them are needed, so
-    hardly more than ``limit`` terms are ever put in order.
+
+def nth_smallest(rows: DataFrame, key: str, n: int) -> object:
+    """The ``n``-th smallest (from 1) of the distinct values of ``key``, without ever ordering many of them.
+
+    Each round draws splitters by hash, counts the rows between them and goes on between the two that enclose the value, so a round
+    leaves about one in ``SPLITTERS`` rows.
     """
-    terms = stage(terms, "terms")
-    alone = Window.partitionBy(F.lit(0))
-    before = Window.unboundedPreceding, -1
-    above = F.coalesce(F.sum("_n").over(alone.orderBy(F.desc(count)).rowsBetween(*before)), F.lit(0))
-    least = (
-        terms.groupBy(count)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_above", above)
-        .where(F.col("_above") < limit)
-        .agg(F.struct(F.min(count).alias("least"), F.max("_above").alias("above")))
-        .scalar()
-    )
-    prefix = F.substring(tie, 1, 3)
-    ahead = F.coalesce(F.sum("_n").over(alone.orderBy("_prefix").rowsBetween(*before)), F.lit(0))
-    last_prefix = (
-        terms.where(F.col(count) == least["least"])
-        .groupBy(prefix.alias("_prefix"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_ahead", ahead)
-        .where(F.col("_ahead") < limit - least["above"])
-        .agg(F.max("_prefix"))
-        .scalar()
-    )
-    needed = (F.col(count) > least["least"]) | ((F.col(count) == least["least"]) & (prefix <= last_prefix))
-    return terms.where(needed).orderBy(F.desc(count), tie).limit(limit)
+    low = high = None
+    while True:
+        between = rows
+        between = between if low is None else between.where(F.col(key) > F.lit(low))
+        between = between if high is None else between.where(F.col(key) <= F.lit(high))
+        drawn = between.select(key).orderBy(F.xxhash64(key)).limit(SPLITTERS).collect()
+        ends = sorted(row[0] for row in drawn)
+        if len(ends) < SPLITTERS:
+            return ends[n - 1]
+        place = F.array_size(F.filter(F.array(*map(F.lit, ends)), lambda end: end < F.col(key)))
+        counts = {row["place"]: row["count"] for row in between.groupBy(place.alias("place")).count().collect()}
+        for at in range(len(ends) + 1):
+            if n <= counts.get(at, 0):
+                break
+            n -= counts.get(at, 0)
+        low, high = ends[at - 1] if at else low, ends[at] if at < len(ends) else high
+        if counts[at] <= FEW:
+            last = rows.where(F.col(key) <= F.lit(high)) if high is not None else rows
+            last = last.where(F.col(key) > F.lit(low)) if low is not None else last
+            return sorted(row[0] for row in last.select(key).collect())[n - 1]
+
+
+def most_frequent(terms: DataFrame, count: str, tie: str, limit: int, written: bool = False) -> DataFrame:
+    """The ``limit`` terms with the highest count, ties broken by the term; in no order.
+
+    The counts are written once, as several passes read them, unless they are ``written`` already. A histogram of the counts (few
+    distinct values) gives the lowest count still needed, and a selection among the terms at that count the last term needed.
+    """
+    terms = terms if written else stage(terms, "terms")
+    alone = Window.partitionBy(F.lit(0)).orderBy(F.desc(count)).rowsBetween(Window.unboundedPreceding, -1)
+    steps = terms.groupBy(count).agg(F.count(F.lit(1)).alias("_n")).withColumn("_above", F.coalesce(F.sum("_n").over(alone), F.lit(0)))
+    last = steps.where(F.col("_above") < limit).agg(F.min_by(F.struct(count, "_above", "_n"), count)).first()[0]
+    if last is None or last["_above"] + last["_n"] <= limit:
+        return terms if last is None else terms.where(F.col(count) >= last[count])
+    tied = terms.where(F.col(count) == last[count])
+    end = nth_smallest(tied, tie, limit - last["_above"])
+    return terms.where((F.col(count) > last[count]) | ((F.col(count) == last[count]) & (F.col(tie) <= F.lit(end))))

@@ -6,9 +6,10 @@ from dataclasses import replace
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from labelloom.operators import features as ft, metrics as mt, mlp, vectors as vec
+from labelloom.operators import features as ft, metrics as mt, mlp, profile, vectors as vec
 from labelloom.operators.adapter import apply_adapter, fit_adapter
 from labelloom.operators.linear import LOGISTIC, SQUARED_HINGE, fit_linear, loss_and_slope, score_linear
 from labelloom.operators.mlp import fit_mlp, loss_and_gradient, score_multi
@@ -238,10 +239,41 @@ def test_unknown_candidate(spark, corpus):
 
 
 @pytest.mark.parametrize("representation", ft.REPRESENTATIONS)
-def test_terms_are_not_shuffled(spark, corpus, representation):
-    """The texts are shuffled once by id; nothing is shuffled after they became terms."""
-    vocab = spark.createDataFrame([("a", 0, 1.0)], "term string, term_idx int, idf double")
+def test_terms_are_not_shuffled(spark, corpus, monkeypatch, representation):
+    """A bounded vocabulary is looked up without a shuffle; beyond the bound the texts are shuffled once by id, never their terms."""
+    counts = ft.term_counts(ft.with_terms(corpus, "text", representation), representation.binary)
+    vocab = ft.with_idf(ft.vocabulary(counts, 180, 2, 0.9, 400), 180)
     make = ft.binary_ngrams if representation.binary else ft.tfidf
-    plan = make(corpus, vocab, "id", "text", representation)._jdf.queryExecution().executedPlan().toString()
+
+    def plan_and_rows(empty=False):
+        df = (ft.transform_with if empty else make)(corpus, vocab, "id", "text", representation)
+        rows = {(r["id"], r["term"]): (r["term_idx"], round(r["value"], 9)) for r in df.where("term IS NOT NULL").collect()}
+        return df._jdf.queryExecution().executedPlan().toString(), rows, df.where("term IS NULL").count()
+
+    plan, rows, bare = plan_and_rows()
+    assert "Exchange" not in plan and bare == 0 and len(rows) > 1000
+    monkeypatch.setattr(ft, "BROADCAST_ROWS", 100)
+    plan, joined, _ = plan_and_rows()
     above, below = plan.split("Generate posexplode")
-    assert "Exchange hashpartitioning" not in above and below.count("Exchange hashpartitioning") == 1
+    assert "Exchange hashpartitioning(id" not in above and below.count("Exchange hashpartitioning(id") == 1
+    assert joined == rows == plan_and_rows(empty=True)[1]
+
+
+def test_vectors_are_packed_without_rows_of_python(spark, corpus):
+    long = spark.createDataFrame([(1, 4, 0.5), (1, 0, 2.0), (2, None, None)], "id int, term_idx int, value double")
+    packed = ft.to_vectors(long, "id", 10)
+    assert "BatchEvalPython" not in packed._jdf.queryExecution().executedPlan().toString()
+    rows = {r["id"]: r["features"] for r in packed.collect()}
+    assert rows[1] == Vectors.sparse(10, {0: 2.0, 4: 0.5}) and rows[2] == Vectors.sparse(10, {})
+
+
+def test_ties_at_the_end_of_a_vocabulary(spark, monkeypatch):
+    """A thousand terms of one count and one long prefix: the first ones by name stay."""
+    monkeypatch.setattr(profile, "SPLITTERS", 7)
+    monkeypatch.setattr(profile, "FEW", 20)
+    terms = [("same prefix " * 3 + f"{i * 7919 % 1000:04}", 5) for i in range(1000)] + [("rare", 1), ("often", 9)]
+    table = spark.createDataFrame(terms, "term string, tf long").repartition(6)
+    ordered = [t for t, _ in sorted(terms, key=lambda r: (-r[1], r[0]))]
+    for limit in (1, 2, 3, 500, 1001, 1002, 5000):
+        assert sorted(r["term"] for r in profile.most_frequent(table, "tf", "term", limit).collect()) == sorted(ordered[:limit])
+    assert profile.most_frequent(table.where("false"), "tf", "term", 5).count() == 0
