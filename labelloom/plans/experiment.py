@@ -6,6 +6,7 @@ import time
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
@@ -59,6 +60,7 @@ class Settings:
     components: int = 192
     epochs: int = 40
     shards: int = SHARDS
+    folds_at_once: int = 3
     tolerance: float = 1e-4
     threshold: float = 0.5
     seed: int = 42
@@ -170,7 +172,8 @@ def cross_validate(rows: DataFrame, folds: Sequence[int], settings: Settings) ->
 
     ``rows`` has id, text, labels and ``fold``, and is best written beforehand. The terms are
     counted once for all folds; each fold's vocabulary is the total less the fold. A fold's rows are
-    encoded once per representation and shared by the families.
+    encoded once per representation and shared by the families. Folds depend on nothing of each other, so
+    ``settings.folds_at_once`` of them are fitted at a time: their passes are many small jobs, which then fill the cluster.
     """
     with scratch(rows.sparkSession):
         return _cross_validate(rows, folds, settings)
@@ -185,14 +188,16 @@ def _cross_validate(rows: DataFrame, folds: Sequence[int], settings: Settings) -
     for representation in settings.representations:
         terms = ft.with_terms(base, settings.text_col, representation)
         counts = ft.fold_term_counts(terms, representation, "fold", folds)
-        for fold in folds:
+
+        def fit_fold(fold: int, representation=representation, terms=terms, counts=counts) -> list[tuple[DataFrame, tuple]]:
             started = time.perf_counter()
             train_rows = total - sizes[fold]
             vocab = ft.vocabulary(
                 ft.training_counts(counts, fold), train_rows, representation.min_df, representation.max_df,
-                representation.max_features,
+                representation.max_features, written=True,
             )
             encoder = ft.fit_encoder(vocab, representation, train_rows)
+            found = []
             with _kept(ft.encode(terms, encoder, [id_col, "fold", *labels])) as encoded:
                 encoded.count()
                 feature_seconds = time.perf_counter() - started
@@ -203,13 +208,19 @@ def _cross_validate(rows: DataFrame, folds: Sequence[int], settings: Settings) -
                         train, {"valid": valid}, encoder, train_rows, representation, family, settings,
                         (fold + 1) * 100 + number * 10, truth=True,
                     )
-                    scores.append(made["valid"].withColumn("fold", F.lit(fold)))
-                    records.append(
+                    found.append((
+                        made["valid"].withColumn("fold", F.lit(fold)),
                         (fold, candidate_key(representation, family), representation.name, family, train_rows,
                          sizes[fold], encoder.size, record["model_input_features"], record["adapter"],
                          record["explained_variance"], record["mlp_epochs_completed"], record["mlp_final_loss"],
-                         record["mlp_reached_epoch_budget"], feature_seconds, time.perf_counter() - started)
-                    )
+                         record["mlp_reached_epoch_budget"], feature_seconds, time.perf_counter() - started),
+                    ))
+            return found
+
+        with ThreadPool(max(1, min(settings.folds_at_once, len(folds)))) as pool:
+            for table, record in sum(pool.map(fit_fold, folds), []):
+                scores.append(table)
+                records.append(record)
     oof = _union(scores)
     return summarise(base, oof, rows.sparkSession.createDataFrame(records, fold_record_schema()), settings)
 

@@ -141,7 +141,7 @@ def _written_scores(spark, sf):
 
 
 def write_scores(spark, sf):
-    kept = _written_scores(spark, sf).where("candidate = 'tied'")
+    kept = _written_scores(spark, sf)
     return bigints(rounded(kept.select("doc_id", "candidate", "label", "score", "truth"), "score"), "truth")
 
 
@@ -171,7 +171,7 @@ UNION ALL SELECT unnest(['documents.parquet', 'labels.parquet']), 'unknown', NUL
     "table_shape": """SELECT count(*) AS rows, (SELECT count(*) FROM information_schema.columns
   WHERE table_name = 'documents') AS columns FROM documents""",
     "write_scores": f"""WITH {CORPUS_SQL}, {scores_sql("corpus")}
-SELECT doc_id, candidate, label, round(score, 6) AS score, CAST(truth AS BIGINT) AS truth FROM scored WHERE candidate = 'tied'""",
+SELECT doc_id, candidate, label, round(score, 6) AS score, CAST(truth AS BIGINT) AS truth FROM scored""",
     "score_shape": f"""WITH {CORPUS_SQL}, {scores_sql("corpus")}
 SELECT count(DISTINCT candidate) AS candidates, count(DISTINCT label) AS labels, count(*) AS cells,
   count(DISTINCT doc_id) AS rows,

@@ -1,7 +1,7 @@
 """Model fits, scoring and the assembled experiments over the labelled documents.
 
-But for the scaling, SQL cannot express them: the tests check them by optimality, by exact solutions
-on small data and by invariants.
+SQL cannot express the values: the tests check them by optimality, by exact solutions on small data and against plain fits. What
+SQL can state of the tables of scores, who is in them, is in the queries named ``coverage``.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ from labelloom.operators.linear import fit_linear_svm, fit_logistic, score_linea
 from labelloom.operators.mlp import fit_mlp, score_multi
 from labelloom.plans import experiment as ex
 from labelloom.staging import fresh_path, stage
-from queries.common import CORPUS_SQL, GROUPS_SQL, LABELS, SEED, bigints, corpus, unlabelled
+from queries.common import CORPUS_SQL, GROUPS_SQL, LABELS, SEED, bigints, corpus, rounded, unlabelled
 from queries.feature_queries import UNLABELLED_SQL
 from queries.table_queries import holdout_sql
 
 SETTINGS = ex.Settings("doc_id", "text", LABELS)
 WORDS, CHARS = SETTINGS.representations
-#: The candidate that the single fits and prediction tables take.
+#: The candidate that the query of one prediction table takes.
 KEY = ex.candidate_key(CHARS, ex.SVM)
 
 
@@ -107,15 +107,9 @@ def _split(spark, sf, meta=None):
     return ex.split_rows(corpus(spark, sf), 3, SETTINGS, meta_fraction=meta)
 
 
-_KEPT = {}
-
-
 def _validated(spark, sf):
-    """The comparison of all six candidates; its tables are written, so queries of one session share it."""
-    key = spark.sparkContext.applicationId, sf
-    if key not in _KEPT:
-        _KEPT[key] = ex.cross_validate(_split(spark, sf), range(3), SETTINGS)
-    return _KEPT[key]
+    """The comparison of all six candidates over the labelled documents."""
+    return ex.cross_validate(_split(spark, sf), range(3), SETTINGS)
 
 
 def cross_validate(spark, sf):
@@ -133,31 +127,71 @@ def _told(scores):
 
 
 def oof_scores(spark, sf):
+    scores = _validated(spark, sf).oof_scores.select("doc_id", "fold", "candidate", "label", "truth", "score")
+    return bigints(rounded(scores, "score"), "fold", "truth")
+
+
+def oof_coverage(spark, sf):
+    """Every labelled document once per candidate and label."""
     return bigints(_told(_validated(spark, sf).oof_scores).select("doc_id", "candidate", "label", "truth", "inside"), "truth")
 
 
-def fit_and_score(spark, sf):
+def _scored_parts(spark, sf):
     split = _split(spark, sf, meta=0.3)
     parts = {name: split.where(F.col("partition") == name) for name in ("meta_opt", "meta_audit")}
     scored = ex.fit_and_score(split.where("partition = 'dev'"), parts, SETTINGS)
     whole = scored["meta_opt"].withColumn("part", F.lit("meta_opt")).unionByName(
         scored["meta_audit"].withColumn("part", F.lit("meta_audit"))
     )
-    return bigints(_told(whole).select("part", "doc_id", "candidate", "label", "truth", "inside"), "truth")
+    return bigints(whole.select("part", "doc_id", "candidate", "label", "truth", "score"), "truth")
+
+
+def fit_and_score(spark, sf):
+    return rounded(_scored_parts(spark, sf), "score")
+
+
+def fit_and_score_coverage(spark, sf):
+    return _told(_scored_parts(spark, sf))
+
+
+def _refitted(spark, sf):
+    scores = ex.refit_and_score(corpus(spark, sf), unlabelled(spark, sf), SETTINGS.candidates(), SETTINGS)
+    return scores.select("doc_id", "candidate", "label", "score")
 
 
 def refit_and_score(spark, sf):
-    scores = ex.refit_and_score(corpus(spark, sf), unlabelled(spark, sf), [KEY], SETTINGS)
-    return _told(scores).select("doc_id", "candidate", "label", "inside")
+    return rounded(_refitted(spark, sf), "score")
+
+
+def refit_coverage(spark, sf):
+    return _told(_refitted(spark, sf))
+
+
+def _blended(spark, sf):
+    """The split, the best candidate of its dev rows, and the blend learned and audited on the others."""
+    split = _split(spark, sf, meta=0.3)
+    best = ex.cross_validate(split.where("partition = 'dev'"), range(3), SETTINGS).best
+    return best, ex.learn_blend(split, best, SETTINGS)
 
 
 def learn_blend(spark, sf):
     """The table of results of a blend of all six candidates against the best of the comparison."""
-    return ex.learn_blend(_split(spark, sf, meta=0.3), _validated(spark, sf).best, SETTINGS).results
+    return _blended(spark, sf)[1].results
 
 
 def write_submissions(spark, sf):
-    """The prediction table of one candidate, written and read back."""
+    """The prediction tables of the best candidate and of the blend, written and read back."""
+    template = unlabelled(spark, sf).select("doc_id", F.col("doc_id").alias("row_pos"))
+    best, blend = _blended(spark, sf)
+    tables = ex.submission_tables(corpus(spark, sf), unlabelled(spark, sf), template, best, SETTINGS, blend.weights)
+    paths = ex.write_submissions(tables, fresh_path(spark, "submissions"), "doc_id", LABELS)
+    schema = "doc_id bigint, " + ", ".join(f"{c} double" for c in LABELS)
+    read = [spark.read.csv(path, schema=schema, header=True).withColumn("submission", F.lit(name)) for name, path in sorted(paths.items())]
+    return rounded(read[0].unionByName(read[1]), *LABELS)
+
+
+def submission_coverage(spark, sf):
+    """The prediction table of one candidate, written and read back: a line for every id, all values in range."""
     template = unlabelled(spark, sf).select("doc_id", F.col("doc_id").alias("row_pos"))
     tables = ex.submission_tables(corpus(spark, sf), unlabelled(spark, sf), template, KEY, SETTINGS)
     paths = ex.write_submissions(tables, fresh_path(spark, "submissions"), "doc_id", LABELS)
@@ -178,10 +212,14 @@ QUERIES = {
     "cross_validate": cross_validate,
     "cross_validate_summary": cross_validate_summary,
     "oof_scores": oof_scores,
+    "oof_coverage": oof_coverage,
     "fit_and_score": fit_and_score,
+    "fit_and_score_coverage": fit_and_score_coverage,
     "refit_and_score": refit_and_score,
+    "refit_coverage": refit_coverage,
     "learn_blend": learn_blend,
     "write_submissions": write_submissions,
+    "submission_coverage": submission_coverage,
 }
 CANDIDATES_SQL = "(VALUES " + ", ".join(f"('{c}')" for c in SETTINGS.candidates()) + ") c(candidate)"
 LABELS_SQL = "(VALUES " + ", ".join(f"('{c}')" for c in LABELS) + ") l(label)"
@@ -191,11 +229,11 @@ meta_groups AS (SELECT group_key, group_id, group_size, toxic, low_quality, inco
 ORACLES = {
     "standard_scale": """SELECT CAST(unnest(range((SELECT least(192, count(*) - 1) FROM documents JOIN labels USING (doc_id)))) AS INTEGER)
   AS component, CAST(0 AS DOUBLE) AS mean, CAST(1 AS DOUBLE) AS deviation""",
-    "oof_scores": f"""WITH {CORPUS_SQL} SELECT doc_id, candidate, label,
+    "oof_coverage": f"""WITH {CORPUS_SQL} SELECT doc_id, candidate, label,
   CAST(CASE label WHEN 'toxic' THEN toxic ELSE low_quality END AS BIGINT) AS truth, true AS inside FROM corpus, {CANDIDATES_SQL}, {LABELS_SQL}""",
-    "fit_and_score": f"""WITH {PARTS_SQL} SELECT CASE WHEN a.held_out THEN 'meta_audit' ELSE 'meta_opt' END AS part, k.doc_id, candidate, label,
+    "fit_and_score_coverage": f"""WITH {PARTS_SQL} SELECT CASE WHEN a.held_out THEN 'meta_audit' ELSE 'meta_opt' END AS part, k.doc_id, candidate, label,
   CAST(CASE label WHEN 'toxic' THEN k.toxic ELSE k.low_quality END AS BIGINT) AS truth, true AS inside
 FROM keyed k JOIN audited a ON k.group_key = a.group_key, {CANDIDATES_SQL}, {LABELS_SQL}""",
-    "refit_and_score": f"""WITH {UNLABELLED_SQL} SELECT doc_id, '{KEY}' AS candidate, label, true AS inside FROM unlabelled, {LABELS_SQL}""",
-    "write_submissions": f"WITH {UNLABELLED_SQL} SELECT doc_id, true AS toxic, true AS low_quality FROM unlabelled",
+    "refit_coverage": f"""WITH {UNLABELLED_SQL} SELECT doc_id, candidate, label, true AS inside FROM unlabelled, {CANDIDATES_SQL}, {LABELS_SQL}""",
+    "submission_coverage": f"WITH {UNLABELLED_SQL} SELECT doc_id, true AS toxic, true AS low_quality FROM unlabelled",
 }

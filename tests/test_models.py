@@ -1,6 +1,7 @@
 """Features, fits and the assembled experiment."""
 
 import os
+from collections import Counter
 from dataclasses import replace
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from labelloom.operators import features as ft, metrics as mt, mlp, profile, vectors as vec
 from labelloom.operators.adapter import apply_adapter, fit_adapter
-from labelloom.operators.linear import LOGISTIC, SQUARED_HINGE, fit_linear, loss_and_slope, score_linear
+from labelloom.operators.linear import LOGISTIC, SQUARED_HINGE, curvature, fit_linear, loss_and_slope, score_linear
 from labelloom.operators.mlp import fit_mlp, loss_and_gradient, score_multi
 from labelloom.plans import experiment as ex
 from labelloom.staging import shared_folder
@@ -233,6 +234,57 @@ def test_blend_and_submission(spark, corpus, tmp_path):
         ex.write_submissions(tables, str(tmp_path / "out"), "id", ["x", "y"])
 
 
+def plain_scores(train, texts, char, loss, cost):
+    """Scores of texts by a model of ``(text, outcome)`` pairs: dense features, Newton steps; no Spark."""
+
+    def terms(text):
+        text = text.lower()
+        if char:
+            return sorted({text[i : i + n] for n in (3, 4, 5) for i in range(len(text) - n + 1)})
+        words = text.split()
+        return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+    seen = [terms(t) for t, _ in train]
+    df = Counter(term for found in seen for term in set(found))
+    index = {term: i for i, term in enumerate(sorted(t for t, n in df.items() if 2 <= n <= 0.995 * len(train)))}
+
+    def row(found):
+        out = np.zeros(len(index) + 1)
+        for term, n in Counter(found).items():
+            if term in index:
+                out[index[term]] = 1.0 if char else (1 + np.log(n)) * (np.log((1 + len(train)) / (1 + df[term])) + 1)
+        out /= np.linalg.norm(out) or 1.0
+        out[-1] = 1.0
+        return out
+
+    x, y = np.array([row(f) for f in seen]), 2.0 * np.array([o for _, o in train]) - 1
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        _, slope = loss_and_slope(loss, x @ w, y)
+        curved = cost * curvature(loss, x @ w, y)
+        step = np.linalg.solve(np.eye(len(w)) + x.T @ (curved[:, None] * x), cost * x.T @ slope + w)
+        w -= step * (0.5 if loss == SQUARED_HINGE else 1.0)
+    margin = np.array([row(terms(t)) for t in texts]) @ w
+    return 1 / (1 + np.exp(-margin)) if loss == LOGISTIC else 0.5 + np.arctan(margin) / np.pi
+
+
+def test_scores_are_those_of_plain_fits(spark, corpus):
+    """Every linear candidate, fitted and applied by the plan, gives the scores of the same model without Spark."""
+    settings = replace(SETTINGS, families=(ex.LOGISTIC, ex.SVM), representations=ft.REPRESENTATIONS, tolerance=1e-7)
+    train = [(r["text"], (r["x"], r["y"])) for r in corpus.where("id < 120").collect()]
+    test = {r["id"]: r["text"] for r in corpus.where("id >= 120 AND id < 160").collect()}
+    found = ex.fit_and_score(corpus.where("id < 120"), {"test": corpus.where("id >= 120 AND id < 160")}, settings)["test"]
+    scores = {(r["candidate"], r["label"], r["id"]): r["score"] for r in found.collect()}
+    assert len(scores) == 4 * 2 * len(test)
+    for representation in settings.representations:
+        for family, loss in ((ex.LOGISTIC, LOGISTIC), (ex.SVM, SQUARED_HINGE)):
+            cost = settings.linear[representation.name, family].c
+            for position, label in enumerate(settings.label_cols):
+                wanted = plain_scores([(t, o[position]) for t, o in train], test.values(), representation.binary, loss, cost)
+                got = [scores[ex.candidate_key(representation, family), label, i] for i in test]
+                assert np.allclose(got, wanted, atol=2e-4), (representation.name, family, label)
+
+
 def test_unknown_candidate(spark, corpus):
     with pytest.raises(ValueError, match="Unknown candidates"):
         ex.refit_and_score(corpus, corpus, ["nonsense"], SETTINGS)
