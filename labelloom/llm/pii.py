@@ -10,6 +10,8 @@ Everything is DataFrame functions. Positions count code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelloom.llm.common import packed, unpacked
@@ -29,6 +31,8 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 CONTEXT = 48
+#: Matches of a text whose places are summed together.
+BLOCK = 64
 ROUNDS, SUPPORT, TRUST = 3, 4, 0.8
 #: Weight of a token of which nothing is known, and the share of trusted tokens under which a pattern tells against its others.
 UNSEEN, DOUBT = 0.1, 0.1
@@ -37,23 +41,51 @@ SPAN = "array<struct<kind:int,start:int,stop:int>>"
 FOUND = "array<struct<start:int,stop:int,value:string,before:string,after:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def located(text: Column, pattern: str) -> Column:
-    """Matches with their places and the text on either side: ``start, stop, value, before, after``."""
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(F.char_length(g).alias("gap"), h.alias("value"), F.right(g, F.lit(CONTEXT)).alias("before"), F.left(g, F.lit(CONTEXT)).alias("head")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        stop = begin + F.coalesce(F.char_length(x["value"]), F.lit(0))
-        # What follows the last match is known only now.
-        n = F.size(acc["spans"])
-        closed = F.when(n > 0, F.concat(F.slice(acc["spans"], 1, F.greatest(n - 1, F.lit(0))), F.array(F.element_at(acc["spans"], -1).withField("after", x["head"])))).otherwise(acc["spans"])
-        span = F.struct(begin.alias("start"), stop.alias("stop"), x["value"].alias("value"), x["before"].alias("before"), F.lit("").alias("after"))
-        return F.struct(stop.alias("at"), F.when(x["value"].isNull(), closed).otherwise(F.concat(closed, F.array(span))).cast(FOUND).alias("spans"))
-
-    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
+    """Matches with their places and the text on either side: ``start, stop, value, before, after``.
+
+    Places are running sums. They are taken in blocks of ``BLOCK`` matches, and then over the blocks, as a fold that appends to an
+    array copies it each time; so a text with many matches takes hardly more than one pass.
+    """
+
+    def matches(found: Column) -> Column:
+        n = F.size(found["hits"])
+        left = F.zip_with(
+            F.slice(found["gaps"], F.lit(1), n),
+            found["hits"],
+            lambda g, h: F.struct(F.char_length(g).alias("gap"), F.char_length(h).alias("size"), h.alias("value"), F.right(g, F.lit(CONTEXT)).alias("before")),
+        )
+        return F.zip_with(left, F.slice(found["gaps"], F.lit(2), n), lambda m, g: m.withField("after", F.left(g, F.lit(CONTEXT))))
+
+    def step(acc: Column, m: Column) -> Column:
+        begin, stop = acc["at"] + m["gap"], acc["at"] + m["gap"] + m["size"]
+        span = F.struct(begin.alias("start"), stop.alias("stop"), m["value"].alias("value"), m["before"].alias("before"), m["after"].alias("after"))
+        return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(span)).cast(FOUND).alias("spans"))
+
+    def in_blocks(all_matches: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("spans"))
+        begins = F.sequence(F.lit(1), F.size(all_matches), F.lit(BLOCK))
+        blocks = F.transform(begins, lambda i: F.aggregate(F.slice(all_matches, i, F.lit(BLOCK)), none, step))
+        return F.when(F.size(all_matches) > 0, let(blocks, joined)).otherwise(F.array().cast(FOUND))
+
+    def joined(blocks: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
+        begins = F.aggregate(
+            blocks, none, lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["begins"], F.array(acc["at"])).alias("begins")), lambda acc: acc["begins"]
+        )
+
+        def moved(block: Column, at: Column) -> Column:
+            return F.transform(block["spans"], lambda s: s.withField("start", s["start"] + at).withField("stop", s["stop"] + at))
+
+        return F.flatten(F.zip_with(blocks, begins, moved)).cast(FOUND)
+
+    found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    return let(let(found, matches), in_blocks)
 
 
 def digits(value: Column) -> Column:
