@@ -364,6 +364,37 @@ def test_brown_sums_to_one(docs):
     assert sums == pytest.approx(np.ones(len(sums)))
 
 
+def test_brown_score_is_that_of_its_classes(docs, monkeypatch):
+    monkeypatch.setattr(brown, "DICTIONARY", 12)  # words beyond the dictionary too
+    model, counts = brown.fit(docs.where(~brown.held_out()))
+    lexicon, seen = model.lexicon, {bytes(r.word): r.n for r in counts.collect()}
+    place = {w: i + 1 for i, w in enumerate(lexicon.words)}
+    assert 0 < len(place) <= 12 < len(seen)
+    kind = lambda w: 0 if w == b"" else int(model.unit_class[place.get(w) or lexicon.ending(w)])
+    totals, classes = Counter(), len(model.step)
+    for w, n in seen.items():
+        totals[kind(w)] += n + 0.5
+    for c in {int(c) for c in model.unit_class[lexicon.first_ending :]}:
+        totals[c] += 0.5
+    pairs = np.zeros((classes, classes))
+    trained = [(t or "").encode().lower().split() for i, t, *_ in varied() if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    for tokens in trained:
+        found = [0, *map(kind, tokens), 0]
+        for a, b in zip(found, found[1:]):
+            pairs[a, b] += 1
+    share = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * classes)
+    wanted = Counter()
+    for i, t, *_ in varied():
+        tokens, before, score = [*(t or "").encode().lower().split(), b""], 0, 0.0
+        for w in tokens:
+            c = kind(w)
+            follow = (pairs[before, c] + classes / 2 * share[c]) / (pairs[before].sum() + classes / 2)
+            score += np.log10(follow * (seen.get(w, 0) + 0.5) / max(totals[c], 0.5))
+            before = c
+        wanted[i, round(score, 5)] += 1
+    assert Counter((r.doc_id, round(r.score, 5)) for r in brown.score(docs, model, counts).collect()) == wanted
+
+
 def test_pipeline_stages(spark, docs, none):
     for name, apply in corpus_pipeline.STAGES:
         out, empty = apply(spark, docs, ""), apply(spark, none, "")

@@ -280,3 +280,58 @@ def test_exchange_gains_and_model_sums_to_one():
     assert likelihood(own) > likelihood(start)
     none = brown.exchange(np.zeros((5, 5)), 3)
     assert none[0] == 0
+
+
+def test_units_move_where_the_likelihood_gains_most():
+    rng = np.random.default_rng(8)
+    pairs = rng.poisson(0.3, (30, 30)).astype(float)
+    np.fill_diagonal(pairs, 0)  # without pairs of a unit with itself the gains are exact
+    own = np.array([0, *rng.integers(1, 5, 29)])
+    member = np.eye(5)[own]
+    table = member.T @ pairs @ member
+    found = brown.best_classes(np.arange(30), (pairs @ member).astype(int), (pairs.T @ member).astype(int), own, table)
+
+    def after(u, c):
+        m = np.eye(5)[np.where(np.arange(30) == u, c, own)]
+        return brown.likelihood(m.T @ pairs @ m)
+
+    assert found[0] == 0
+    for u in range(1, 30):
+        tried = [after(u, c) for c in range(1, 5)]
+        # A unit's neighbours in its own old class are counted there, so a near tie may go either way.
+        assert tried[found[u] - 1] >= max(tried) - 2.0 and tried[found[u] - 1] >= after(u, own[u]) - 1e-6
+    assert (found != own).any()
+
+
+def test_sweeps_class_every_word_of_the_dictionary(spark, monkeypatch):
+    monkeypatch.setattr(brown, "SINGLE", 8)
+    monkeypatch.setattr(brown, "CLASSES", 5)
+    rng = np.random.default_rng(4)
+    kinds = [[f"{k}{i}end" for i in range(40)] for k in "abc"]  # endings tell nothing of the kind
+    texts = []
+    for _ in range(400):
+        start = rng.integers(3)
+        texts.append(" ".join(kinds[(start + j) % 3][min(39, int(rng.geometric(0.08)))] for j in range(30)))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    counts = brown.word_counts(docs)
+    lexicon = brown.Lexicon(*brown.frequent(counts, 1000))
+    seeds = lexicon.seeds()
+    assert lexicon.units == 1 + len(lexicon.words) + brown.ENDINGS and len(seeds) == lexicon.units
+    assert len(set(seeds[: lexicon.first_ending])) < lexicon.first_ending  # most words start with their ending's class
+    units = brown.unit_texts(docs, lexicon)
+    start = brown.exchange(brown.class_pairs(units, seeds, int(seeds.max()) + 1), brown.CLASSES)[seeds]
+    classes = int(start.max()) + 1
+    first = brown.class_pairs(units, start, classes)
+    own, table = brown.clustered(units, lexicon)
+    assert brown.likelihood(table) > brown.likelihood(first)
+    assert np.array_equal(table, brown.class_pairs(units, own, classes)) and own[0] == 0 and (own[1:] > 0).all()
+    index = {w: i + 1 for i, w in enumerate(lexicon.words)}
+    plain = np.zeros((classes, classes))
+    for t in texts:
+        found = [0, *(own[index[w.encode()]] for w in t.split()), 0]
+        for a, b in zip(found, found[1:]):
+            plain[a, b] += 1
+    assert np.array_equal(plain, table)
+    # The kinds follow one another in turn, so hardly any class has words of two kinds.
+    mixed = {c for c in range(1, classes) if len({w[:1] for w, i in index.items() if own[i] == c}) > 1}
+    assert sum(n for w, n in zip(lexicon.words, lexicon.counts) if own[index[w]] in mixed) < 0.1 * lexicon.counts.sum()
