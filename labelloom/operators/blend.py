@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
@@ -13,7 +14,10 @@ from labelloom.operators.ranking import average_ranks
 from labelloom.operators.scoring import clip_scores
 from labelloom.staging import stage
 
-GRID = 2048
+#: Cells of the first grid of scores, how many times finer each further grid is, and how many grids there are.
+GRID, FINER, GRIDS = 2048, 32, 3
+#: Pool rows of a label that one job measures exactly.
+MEASURED = 8
 
 
 def fractional_ranks(scores: DataFrame, id_col: str) -> DataFrame:
@@ -64,26 +68,60 @@ def search_weights(
 
     Every row meets every pool row, so nothing per row may be shuffled for all of them. A first
     pass counts positives and negatives on a grid of blended scores, combined on the map side;
-    that bounds each area from both sides. Only pool rows whose upper bound reaches the best
-    lower bound are then measured exactly, so the result is that of measuring them all.
+    that bounds each area from both sides. Pool rows whose upper bound reaches the best lower bound stay
+    open; while these are more than ``MEASURED`` and become fewer, they alone are bounded again on a finer grid. The rows
+    still open are measured exactly, ``MEASURED`` of a label at a time, so the result is that of measuring them all and a
+    job shuffles no more than that many scores per row, however alike the pool rows are.
     """
     if mode not in ("global", "per-label"):
         raise ValueError(f"Unknown mode: {mode}")
     n = len(candidates)
     goal = ["label"] if mode == "per-label" else []
-    # Both passes read the ranks, so they are written once.
+    # All passes read the ranks, so they are written once.
     wide = stage(wide_ranks(ranks, id_col, candidates, keep=["truth"]), "wide_ranks")
-    weights = [f"w{i}" for i in range(n)]
-    rows = F.array(*[F.struct("pool_id", *weights)])
-    in_one = pool.agg(F.sort_array(F.collect_list(rows[0])).alias("pool")).scalar()
+    found, grid = _open_rows(_met(wide, pool, None, goal, n), goal, GRID), GRID
+    still = found.collect()  # at most a row per pool row and label, as below
+    for _ in range(GRIDS - 1):
+        if not _crowded(still, goal):
+            break
+        grid *= FINER
+        chosen = wide.sparkSession.createDataFrame(still, found.schema)
+        before, still = len(still), _open_rows(_met(wide, pool, chosen, goal, n), goal, grid).collect()
+        if len(still) == before:
+            break
+    areas = []
+    for rows in _batches(still, goal):
+        chosen = wide.sparkSession.createDataFrame(rows, found.schema)
+        auc = roc_auc(_met(wide, pool, chosen, goal, n), ["pool_id", "label"])
+        areas.append(auc.groupBy("pool_id", *goal).agg(F.avg("roc_auc").alias("roc_auc")))
+    if len(areas) > 1:
+        areas = [stage(one, "areas") for one in areas]
+    order = Window.partitionBy(*(goal or [F.lit(0)])).orderBy(F.desc("roc_auc"), "pool_id")
+    return (
+        reduce(DataFrame.unionByName, areas).withColumn("_order", F.row_number().over(order))
+        .where(F.col("_order") == 1)
+        .drop("_order")
+        .join(pool, "pool_id")
+        .select(*goal, "pool_id", *[f"w{i}" for i in range(n)], "roc_auc")
+    )
 
-    def blend(table):
-        return table.select("label", "truth", "pool_id", _blended(n).alias("score"))
 
-    cells = (
-        blend(wide.select("*", F.inline(in_one)))
-        .groupBy("pool_id", "label", F.floor(F.col("score") * GRID).alias("cell"))
-        .agg(F.sum("truth").alias("pos"), F.sum(1 - F.col("truth")).alias("neg"))
+def _met(wide: DataFrame, pool: DataFrame, chosen: DataFrame | None, goal: list[str], n: int) -> DataFrame:
+    """``label, truth, pool_id, score`` of every row and every chosen pool row, which are all of them without a choice."""
+    entry = F.struct("pool_id", *[f"w{i}" for i in range(n)])
+    if chosen is not None and goal:
+        lists = chosen.join(pool, "pool_id").groupBy("label").agg(F.collect_list(entry).alias("pool"))
+        met = wide.join(F.broadcast(lists), "label").select("*", F.inline("pool")).drop("pool")
+    else:
+        rows = pool if chosen is None else chosen.join(pool, "pool_id")
+        met = wide.select("*", F.inline(rows.agg(F.collect_list(entry)).scalar()))
+    return met.select("label", "truth", "pool_id", _blended(n).alias("score"))
+
+
+def _open_rows(scores: DataFrame, goal: list[str], grid: int) -> DataFrame:
+    """Pool rows, per label if that is the goal, that can still have the best area as far as a grid of scores tells."""
+    cells = scores.groupBy("pool_id", "label", F.floor(F.col("score") * grid).alias("cell")).agg(
+        F.sum("truth").alias("pos"), F.sum(1 - F.col("truth")).alias("neg")
     )
     below = Window.partitionBy("pool_id", "label").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     pos, pairs = F.col("pos").cast("double"), F.sum("pos").cast("double") * F.sum("neg")
@@ -100,25 +138,29 @@ def search_weights(
     )
     best_low = F.max("low").over(Window.partitionBy(*(goal or [F.lit(0)])))
     # Bounds are means of quotients; the margin is far above their rounding error.
-    open_rows = bounds.withColumn("best", best_low).where(F.col("high") >= F.col("best") - 1e-9)
-    survivors = open_rows.select("pool_id", *goal).join(pool, "pool_id")
-    entry = F.struct("pool_id", *weights)
-    if goal:
-        lists = survivors.groupBy("label").agg(F.collect_list(entry).alias("pool"))
-        exact_rows = wide.join(F.broadcast(lists), "label").select("*", F.inline("pool")).drop("pool")
-    else:
-        exact_rows = wide.select("*", F.inline(survivors.agg(F.collect_list(entry)).scalar()))
-    auc = roc_auc(blend(exact_rows), ["pool_id", "label"]).groupBy("pool_id", *goal).agg(
-        F.avg("roc_auc").alias("roc_auc")
-    )
-    order = Window.partitionBy(*(goal or [F.lit(0)])).orderBy(F.desc("roc_auc"), "pool_id")
-    return (
-        auc.withColumn("_order", F.row_number().over(order))
-        .where(F.col("_order") == 1)
-        .drop("_order")
-        .join(pool, "pool_id")
-        .select(*goal, "pool_id", *weights, "roc_auc")
-    )
+    return bounds.withColumn("best", best_low).where(F.col("high") >= F.col("best") - 1e-9).select("pool_id", *goal)
+
+
+def _numbered(rows: Sequence, goal: list[str]) -> list[tuple[int, tuple]]:
+    """Pool rows with their place among those of the same label."""
+    places: Counter = Counter()
+    numbered = []
+    for row in sorted(rows, key=lambda r: r["pool_id"]):
+        label = row["label"] if goal else None
+        numbered.append((places[label], row))
+        places[label] += 1
+    return numbered
+
+
+def _crowded(rows: Sequence, goal: list[str]) -> bool:
+    return any(place >= MEASURED for place, _ in _numbered(rows, goal))
+
+
+def _batches(rows: Sequence, goal: list[str]) -> list[list]:
+    """The pool rows in parts of at most ``MEASURED`` of each label; one empty part if there are none."""
+    numbered = _numbered(rows, goal)
+    last = max((place for place, _ in numbered), default=0)
+    return [[row for place, row in numbered if place // MEASURED == b] for b in range(last // MEASURED + 1)]
 
 
 def blend_weights_table(found: DataFrame, candidates: Sequence[str], label_cols: Sequence[str]) -> DataFrame:

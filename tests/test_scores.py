@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -69,11 +70,18 @@ def test_pool(spark):
     assert np.allclose(np.sum(pool, axis=1), 1.0) and np.min(pool) >= 0
 
 
+def _alike():
+    """Weights so near to one another that a grid of 2,048 cells cannot tell them apart, the first of them four times."""
+    near = [[0.6 + k * 2e-3, 0.3 - k * 2e-3, 0.1] for k in range(20)]
+    return [near[7]] * 4 + near
+
+
 @pytest.mark.parametrize("mode", ["global", "per-label"])
-@pytest.mark.parametrize("draws", [0, 60])
-def test_search_equals_measuring_everything(spark, cube, mode, draws):
-    candidates = ["good", "coarse", "noise"]
-    pool = bl.weight_pool(3, draws, seed=9)
+@pytest.mark.parametrize("pool", [bl.weight_pool(3, 0), bl.weight_pool(3, 60, seed=9), _alike()], ids=["fixed", "drawn", "alike"])
+def test_search_equals_measuring_everything(spark, cube, mode, pool, monkeypatch):
+    candidates, batches = ["good", "coarse", "noise"], []
+    monkeypatch.setattr(bl, "MEASURED", 3)
+    monkeypatch.setattr(bl, "_batches", lambda rows, goal, cut=bl._batches: batches.extend(cut(rows, goal)) or batches)
     ranks = bl.fractional_ranks(_scored(spark, cube), "id")
     found = bl.search_weights(ranks, "id", candidates, bl.pool_table(spark, pool), mode).collect()
     fraction = {(r["id"], r["label"], r["candidate"]): r["fraction"] for r in ranks.collect()}
@@ -85,6 +93,9 @@ def test_search_equals_measuring_everything(spark, cube, mode, draws):
         return _auc([truth[i, label] for i in ids], blended)
 
     areas = [{label: area(w, label) for label in ("x", "y")} for w in pool]
+    for batch in batches:  # a job never measures more pool rows of a label than it may
+        assert max(Counter(r["label"] if mode == "per-label" else None for r in batch).values()) <= 3
+    assert sum(map(len, batches)) < len(pool) * (1 if mode == "global" else 2)
     if mode == "global":
         best = max(range(len(pool)), key=lambda p: (np.mean(list(areas[p].values())), -p))
         assert [(r["pool_id"]) for r in found] == [best]
@@ -113,3 +124,19 @@ def test_blend_weights_table(spark):
     assert {(r["label"], r["candidate"]): r["weight"] for r in table.collect()} == {
         key: w for key, w in zip(itertools.product("xy", "pq"), [0.4, 0.6] * 2)
     }
+
+
+def test_finer_grids_leave_only_what_ties(spark, cube):
+    candidates = ["good", "coarse", "noise"]
+    ranks = bl.fractional_ranks(_scored(spark, cube), "id")
+    wide, pool = bl.wide_ranks(ranks, "id", candidates, keep=["truth"]).cache(), bl.pool_table(spark, _alike())
+    scores = bl._met(wide, pool, None, [], 3)
+    left = [bl._open_rows(scores, [], grid).count() for grid in (64, *(bl.GRID * bl.FINER**k for k in range(bl.GRIDS)))]
+    assert left == sorted(left, reverse=True) and left[0] > left[-1]
+    assert left[0] > bl.MEASURED >= left[-1]
+
+
+def test_search_without_two_outcomes_finds_nothing(spark):
+    rows = [(i, c, "x", i / 5, 0) for i in range(5) for c in ("a", "b")]
+    ranks = bl.fractional_ranks(_scored(spark, rows), "id")
+    assert bl.search_weights(ranks, "id", ["a", "b"], bl.pool_table(spark, bl.weight_pool(2, 3))).count() == 0
