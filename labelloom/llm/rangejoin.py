@@ -28,6 +28,8 @@ SLACK = 1e-9
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows by their lengths. A power of two, which rounds nothing, first brings the largest component near one, so that no square overflows."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -114,7 +116,8 @@ def range_links(nodes: DataFrame, threshold: float, pivots: int = PIVOTS) -> Dat
                 columns = [own.column(c) for c in ("label", "dims")] + [pa.array(home, pa.int32()), pa.array(least)]
                 yield pa.RecordBatch.from_arrays(columns, ["label", "dims", "cell", "d"])
 
-    homes = nodes.mapInArrow(measure, "label int, dims int, cell int, d double")
+    label = nodes.schema["label"].dataType.simpleString()
+    homes = nodes.mapInArrow(measure, f"label {label}, dims int, cell int, d double")
     far = {r["cell"]: r["d"] for r in homes.where(F.col("dims") == dims).groupBy("cell").agg(F.max("d").alias("d")).collect()}
     reach = np.array([far.get(i, -np.inf) for i in range(len(centres))])
 
@@ -151,12 +154,12 @@ def range_links(nodes: DataFrame, threshold: float, pivots: int = PIVOTS) -> Dat
 def near_vectors(vectors: DataFrame, threshold: float) -> DataFrame:
     """Every vector with ``n_links`` and ``component_id`` (the smallest ``vec_id`` its links reach).
 
-    Vectors compare with those of equal, non-null label and equal length. Null, empty and zero vectors, and
+    Labels are of any type that can be a key. Vectors compare with those of equal, non-null label and equal length. Null, empty and zero vectors, and
     those with a null or non-finite component, link with nothing. Equal vectors are one node with a
     number of copies, so a vector that a third of the rows share is compared once. Rows with a null ``vec_id``
     count as links but lend their component no number.
     """
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("int"), "embedding")
+    rows = vectors.select(F.col("vec_id").cast("long"), "label", "embedding")
     good = usable() & F.col("label").isNotNull() & F.exists("embedding", lambda v: v != 0)
     rows = rows.withColumn("embedding", F.when(good, F.col("embedding")))
     classes = rows.where(F.col("embedding").isNotNull()).groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
