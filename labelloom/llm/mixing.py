@@ -22,8 +22,8 @@ from labelloom.staging import stage
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 BLOCK, SLOTS = 256, 1024
-#: numpy draws hypergeometric numbers from populations below this.
-LARGEST_DRAW = 10**9
+#: So many slots or fewer are drawn one by one.
+ONE_BY_ONE = 8
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -93,17 +93,40 @@ def slots_needed(target: float, size: int, block: int, key: str) -> tuple[int, i
     return low, wanted - words_before(low - 1, size, block, key)
 
 
+def good_draws(good: int, bad: int, take: int, rng: np.random.Generator) -> int:
+    """How many of ``take`` items drawn without return are good: the hypergeometric law, for numbers of any size.
+
+    Items lie in a random order, the first ``take`` are drawn. The place of the j-th good one, as a share of the order, has a beta law, and
+    the bad ones before it a binomial law. With j about the number expected, what then is left to decide is about the root of ``take``.
+    """
+    got, sign = 0, 1
+    while take > ONE_BY_ONE:
+        if 2 * take > good + bad:  # those that are not drawn are fewer
+            got, sign, take = got + sign * good, -sign, good + bad - take
+            continue
+        j = good * take // (good + bad)
+        if j == 0:  # count the bad ones
+            got, sign, good, bad = got + sign * take, -sign, bad, good
+            continue
+        before = int(rng.binomial(bad, rng.beta(j, good - j + 1)))
+        if j + before <= take:
+            got, good, bad, take = got + sign * j, good - j, bad - before, take - j - before
+        else:
+            good, bad = j - 1, before
+    for _ in range(take):
+        if rng.integers(good + bad) < good:
+            got, good = got + sign, good - 1
+        else:
+            bad -= 1
+    return got
+
+
 def split_draw(left: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
     """Multivariate hypergeometric: of ``take`` slots out of a pool, how many are each source's."""
     out, pool, rest = np.zeros(len(left), np.int64), int(left.sum()), take
     for i, n in enumerate(map(int, left)):
         if rest and n:
-            if pool < LARGEST_DRAW:
-                got = int(rng.hypergeometric(n, pool - n, rest))
-            else:  # so many that the rounded normal law cannot be told apart
-                spread = rest * (n / pool) * (1 - n / pool) * ((pool - rest) / max(1, pool - 1))
-                got = round(rng.normal(rest * n / pool, max(0.0, spread) ** 0.5))
-            out[i] = min(n, rest, max(got, rest - (pool - n)))
+            out[i] = good_draws(n, pool - n, rest, rng)
         pool, rest = pool - n, rest - int(out[i])
     return out
 

@@ -1,6 +1,7 @@
 """Driver-side and per-task parts of the operators, without Spark."""
 
 import itertools
+import math
 import random
 from collections import Counter
 
@@ -335,3 +336,31 @@ def test_sweeps_class_every_word_of_the_dictionary(spark, monkeypatch):
     # The kinds follow one another in turn, so hardly any class has words of two kinds.
     mixed = {c for c in range(1, classes) if len({w[:1] for w, i in index.items() if own[i] == c}) > 1}
     assert sum(n for w, n in zip(lexicon.words, lexicon.counts) if own[index[w]] in mixed) < 0.1 * lexicon.counts.sum()
+
+
+def test_draws_follow_the_hypergeometric_law():
+    """Means and spreads of many draws, and every outcome of a small one, at sizes below and beyond what numpy draws."""
+    rng = np.random.default_rng(5)
+    for good, bad, take in ((5, 9, 6), (40, 60, 30), (3, 5000, 4000), (7000, 2, 3500), (3 * 10**10, 5 * 10**10, 4 * 10**10)):
+        total, p = good + bad, good / (good + bad)
+        got = np.array([mixing.good_draws(good, bad, take, rng) for _ in range(4000)], float)
+        spread = (take * p * (1 - p) * (total - take) / (total - 1)) ** 0.5
+        assert abs(got.mean() - take * p) < 5 * spread / 4000**0.5 and abs(got.std() / spread - 1) < 0.06
+        assert got.min() >= max(0, take - bad) and got.max() <= min(good, take)
+    counts = np.bincount([mixing.good_draws(12, 15, 13, rng) for _ in range(20_000)], minlength=13)
+    law = np.array([math.comb(12, k) * math.comb(15, 13 - k) / math.comb(27, 13) for k in range(13)])
+    assert ((counts - 20_000 * law) ** 2 / (20_000 * law + 1e-9))[law > 1e-3].sum() < 35
+    assert [mixing.good_draws(*case, rng) for case in ((0, 20, 15), (20, 0, 15), (9, 9, 18), (9, 9, 0))] == [0, 15, 9, 0]
+
+
+def test_unit_vectors_of_extreme_size():
+    x = np.array([[3e200, 4e200], [3e-200, -4e-200], [0.0, 5.0]])
+    assert np.allclose(rangejoin.unit(x), [[0.6, 0.8], [0.6, -0.8], [0.0, 1.0]], rtol=1e-15)
+
+
+def test_labels_of_any_type_are_compared(spark):
+    rows = [(1, "a", [1e200, 1e200]), (2, "a", [1.0, 1.0]), (3, "b", [1.0, 1.0]), (4, "a", [1.0, -1.0]), (5, None, [1.0, 1.0])]
+    for kind, label in (("string", lambda x: x), ("long", lambda x: None if x is None else 2**40 + ord(x)), ("double", lambda x: None if x is None else ord(x) / 4)):
+        vectors = spark.createDataFrame([(i, label(x), v) for i, x, v in rows], f"vec_id long, label {kind}, embedding array<double>")
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rangejoin.near_vectors(vectors, 0.93).collect()}
+        assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True), 5: (0, 5, True)}
