@@ -30,14 +30,19 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-CONTEXT = 48
+#: The words next to a match mostly lie within so many code points; where they do not, the whole text up to the next match is looked at.
+NEAR = 48
 #: Matches of a text whose places are summed together.
 BLOCK = 64
 ROUNDS, SUPPORT, TRUST = 3, 4, 0.8
 #: Weight of a token of which nothing is known, and the share of trusted tokens under which a pattern tells against its others.
 UNSEEN, DOUBT = 0.1, 0.1
 
+TWO_BEFORE, TWO_WHOLE = r"(?:^\s++|(?<!\S)\S++\s++\S++\s*+|(?<!\S)\S++\s*+)$", r"\s\S++\s++\S++\s*+$"
+ONE_AFTER, ONE_WHOLE = r"^\s*+(\S++)", r"^\s*+\S++\s"
+
 SPAN = "array<struct<kind:int,start:int,stop:int>>"
+BASE = "array<struct<kind:int,start:int,stop:int,value:string,after:string>>"
 FOUND = "array<struct<start:int,stop:int,value:string,before:string,after:string>>"
 
 
@@ -46,8 +51,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def two_before(gap: Column) -> Column:
+    """The last two words of a text, or the only one, and the blanks after them."""
+    near = F.right(gap, F.lit(NEAR))
+    return F.regexp_extract(F.when(near.rlike(TWO_WHOLE), near).otherwise(gap), TWO_BEFORE, 0)
+
+
+def one_after(gap: Column) -> Column:
+    """The first word of a text."""
+    near = F.left(gap, F.lit(NEAR))
+    return F.regexp_extract(F.when(near.rlike(ONE_WHOLE), near).otherwise(gap), ONE_AFTER, 1)
+
+
 def located(text: Column, pattern: str) -> Column:
-    """Matches with their places and the text on either side: ``start, stop, value, before, after``.
+    """Matches with their places and whole words on either side: ``start, stop, value, before, after``.
+
+    ``before`` are the last two words since the previous match, ``after`` is the first one up to the next match.
 
     Places are running sums. They are taken in blocks of ``BLOCK`` matches, and then over the blocks, as a fold that appends to an
     array copies it each time; so a text with many matches takes hardly more than one pass.
@@ -58,9 +77,9 @@ def located(text: Column, pattern: str) -> Column:
         left = F.zip_with(
             F.slice(found["gaps"], F.lit(1), n),
             found["hits"],
-            lambda g, h: F.struct(F.char_length(g).alias("gap"), F.char_length(h).alias("size"), h.alias("value"), F.right(g, F.lit(CONTEXT)).alias("before")),
+            lambda g, h: F.struct(F.char_length(g).alias("gap"), F.char_length(h).alias("size"), h.alias("value"), two_before(g).alias("before")),
         )
-        return F.zip_with(left, F.slice(found["gaps"], F.lit(2), n), lambda m, g: m.withField("after", F.left(g, F.lit(CONTEXT))))
+        return F.zip_with(left, F.slice(found["gaps"], F.lit(2), n), lambda m, g: m.withField("after", one_after(g)))
 
     def step(acc: Column, m: Column) -> Column:
         begin, stop = acc["at"] + m["gap"], acc["at"] + m["gap"] + m["size"]
@@ -114,50 +133,76 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> Column:
-    """Valid matches of the fixed patterns, by kind and start."""
+def base_found(text: Column) -> Column:
+    """Valid matches of the fixed patterns, by kind and start, with their value and the word after."""
     parts = []
     for number, kind in enumerate(KINDS):
-        spans = F.transform(_valid_only(kind, text), _as_span(number))
         needed = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike("[0-9](?:[ -]?[0-9]){15}")
-        parts.append(F.when(needed, spans).otherwise(F.array().cast(SPAN)))
+        parts.append(F.when(needed, F.transform(_valid_only(kind, text), _as_base(number))).otherwise(F.array().cast(BASE)))
     return F.concat(*parts)
 
 
+def base_spans(text: Column) -> Column:
+    """Valid matches of the fixed patterns, by kind and start."""
+    return places(base_found(text))
+
+
+def places(found: Column) -> Column:
+    return F.transform(found, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
+
+
 def _valid_only(kind: str, text: Column) -> Column:
     return F.filter(located(text, PATTERNS[kind]), lambda s: valid(kind, s["value"]))
 
 
-def _as_span(number: int):
-    return lambda s: F.struct(F.lit(number).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))
+def _as_base(number: int):
+    return lambda s: F.struct(F.lit(number).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), s["after"].alias("after"))
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, base, tokens`` for every row, written once; tokens have ``kind`` (null: not a seed).
+def labelled(tokens: Column, base: Column, length: Column) -> Column:
+    """The tokens that are seeds or that no fixed match touches.
 
-    A token that a fixed match starts in is a seed of its kind, with the whole match as its value and what follows the
-    match as its context; a token that a match only reaches into is left out.
+    The text is cut into about as many ranges as the root of the number of matches, each with the matches in it, and a token is compared with
+    those of its own ranges only.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    tokens = F.when(text.rlike("[0-9@]"), located(text, TOKEN)).otherwise(F.array().cast(FOUND))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"), base_spans(text).alias("base"), tokens.alias("tokens"))
+    width = F.ceil(F.greatest(length, F.lit(1)) / F.ceil(F.sqrt(F.size(base) + 1))).cast("int")
+
+    def in_ranges(w: Column) -> Column:
+        begins = F.sequence(F.lit(0), F.greatest(length, F.lit(1)) - 1, w)
+        return F.struct(w.alias("width"), F.transform(begins, lambda at: F.filter(base, lambda s: (s["start"] < at + w) & (s["stop"] > at))).alias("matches"))
 
-    def label(t: Column) -> Column:
-        seed = F.try_element_at(F.filter("base", lambda s: (s["start"] >= t["start"]) & (s["start"] < t["stop"])), F.lit(1))
-        touched = F.exists("base", lambda s: (s["start"] < t["stop"]) & (s["stop"] > t["start"]))
-        whole = F.substring("text", seed["start"] + 1, seed["stop"] - seed["start"])
+    def label(t: Column, ranges: Column) -> Column:
+        first, last = F.floor(t["start"] / ranges["width"]).cast("int"), F.floor((t["stop"] - 1) / ranges["width"]).cast("int")
+        around = F.flatten(F.slice(ranges["matches"], first + 1, last - first + 1))
+        return let(F.filter(around, lambda s: (s["start"] < t["stop"]) & (s["stop"] > t["start"])), lambda touching: told(t, touching))
+
+    def told(t: Column, touching: Column) -> Column:
+        seed = F.array_min(F.filter(touching, lambda s: s["start"] >= t["start"]))
         return F.struct(
             t["start"].alias("start"),
             t["stop"].alias("stop"),
-            F.coalesce(whole, t["value"]).alias("value"),
+            F.coalesce(seed["value"], t["value"]).alias("value"),
             t["before"].alias("before"),
-            F.coalesce(F.substring("text", seed["stop"] + 1, F.lit(CONTEXT)), t["after"]).alias("after"),
+            F.coalesce(seed["after"], t["after"]).alias("after"),
             seed["kind"].alias("kind"),
-            touched.alias("touched"),
+            (F.size(touching) > 0).alias("touched"),
         )
 
-    told = F.filter(F.transform("tokens", label), lambda t: t["kind"].isNotNull() | ~t["touched"])
-    return stage(rows.select("doc_id", "text_hash", "base", told.alias("tokens")), "marked")
+    every = let(let(width, in_ranges), lambda ranges: F.transform(tokens, lambda t: label(t, ranges)))
+    return F.filter(every, lambda t: t["kind"].isNotNull() | ~t["touched"])
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, base, tokens`` for every row, written once; tokens have ``kind`` (null: not a seed).
+
+    A token that a fixed match starts in is a seed of its kind, with the whole match as its value and what follows the
+    match as its context; a token that a match only reaches into is left out.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    tokens = F.when(text.rlike("[0-9@]"), located(text, TOKEN)).otherwise(F.array().cast(FOUND))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.char_length(text).alias("length"), base_found(text).alias("found"), tokens.alias("tokens"))
+    told = labelled(F.col("tokens"), F.col("found"), F.col("length"))
+    return stage(rows.select("doc_id", "text_hash", places(F.col("found")).alias("base"), told.alias("tokens")), "marked")
 
 
 def occurrences(marks: DataFrame) -> DataFrame:
@@ -169,9 +214,9 @@ def occurrences(marks: DataFrame) -> DataFrame:
     lead, trail = F.regexp_extract("value", r"^[^\p{L}\p{N}+@]*", 0), F.regexp_extract("value", r"[^\p{L}\p{N}]*$", 0)
     t = t.withColumn("start", F.col("start") + F.char_length(lead)).withColumn("stop", F.col("stop") - F.char_length(trail)).where("start < stop")
     t = t.withColumn("instance", F.lower(F.regexp_replace("value", r"^[^\p{L}\p{N}+@]*|[^\p{L}\p{N}]*$", "")))
-    two, one = F.lower(F.regexp_extract("before", r"(\S+\s+\S+)\s*$", 1)), F.lower(F.regexp_extract("before", r"(\S+)\s*$", 1))
-    after = F.lower(F.regexp_extract("after", r"^\s*(\S+)", 1))
-    patterns = F.array(F.when(two != "", F.concat(two, F.lit(" _"))), F.when((one != "") & (after != ""), F.concat(one, F.lit(" _ "), after)))
+    before, after = F.filter(F.split(F.lower("before"), r"\s+"), lambda w: w != ""), F.lower("after")
+    two, one = F.array_join(before, " "), F.try_element_at(before, F.lit(-1))
+    patterns = F.array(F.when(F.size(before) == 2, F.concat(two, F.lit(" _"))), F.when(one.isNotNull() & (after != ""), F.concat(one, F.lit(" _ "), after)))
     return t.withColumn("pattern", F.explode(F.filter(patterns, lambda p: p.isNotNull()))).drop("value", "before", "after", "touched")
 
 
@@ -246,6 +291,10 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kind, s["kind"] + 1), s["start"], s["stop"])), ",")
 
 
+def _run(spans: Column, ends: Column) -> Column:
+    return F.struct(spans.alias("spans"), ends["at"].alias("at"), ends["end"].alias("end"))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; spans that overlap become one mark."""
     found = find(docs).select("doc_id", "text_hash", "spans").where(F.size("spans") > 0)
@@ -254,13 +303,35 @@ def redact(docs: DataFrame) -> DataFrame:
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     kind = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(kind, s["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(apart, out).otherwise(acc["out"]).alias("out"))
+    def step(chunk: Column, begin: Column):
+        def one(acc: Column, s: Column) -> Column:
+            out = F.concat(acc["out"], F.substring(chunk, acc["at"] - begin + 1, s["start"] - acc["at"]), F.element_at(kind, s["kind"] + 1))
+            return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], out).otherwise(acc["out"]).alias("out"))
+
+        return one
+
+    def run_out(run: Column) -> Column:
+        """The text from where the runs before ended to where this one ends, with its marks."""
+        chunk = F.substring(text, run["at"] + 1, run["end"] - run["at"])
+        none = F.struct(run["at"].alias("at"), F.lit("").alias("out"))
+        return let(chunk, lambda c: F.aggregate(run["spans"], none, step(c, run["at"]), lambda acc: acc["out"]))
+
+    def in_runs(spans: Column) -> Column:
+        """Spans in runs of the root of their number, each with the end of all before (``at``) and with it (``end``)."""
+        size = F.ceil(F.sqrt(F.size(spans))).cast("int")
+        runs = F.transform(F.sequence(F.lit(1), F.size(spans), size), lambda i: F.slice(spans, i, size))
+        ends = F.aggregate(
+            F.transform(runs, lambda r: F.array_max(F.transform(r, lambda s: s["stop"]))),
+            F.array(F.lit(0)),
+            lambda acc, top: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), top))),
+        )
+        return let(ends, lambda e: F.zip_with(runs, F.arrays_zip(F.slice(e, F.lit(1), F.size(e) - 1).alias("at"), F.slice(e, F.lit(2), F.size(e)).alias("end")), _run))
+
+    def put_together(runs: Column) -> Column:
+        rest = F.substring(text, F.element_at(runs, -1)["end"] + 1, F.char_length(text))
+        return F.concat(F.array_join(F.transform(runs, run_out), ""), rest)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(by_start, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    clean = let(let(by_start, in_runs), put_together)
     rows = packed(docs, "doc_id", "text")
     joined = rows.join(found, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_hash")), "left")
     return unpacked(joined.withColumn("text", F.when(F.col("spans").isNull(), text).otherwise(clean)), docs.columns, "doc_id", "text")
