@@ -10,7 +10,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from labelloom.operators import features as ft, metrics as mt, mlp, profile, vectors as vec
+from labelloom.operators import adapter as adapter_module, features as ft, metrics as mt, mlp, profile, vectors as vec
 from labelloom.operators.adapter import apply_adapter, fit_adapter
 from labelloom.operators.linear import LOGISTIC, SQUARED_HINGE, curvature, fit_linear, loss_and_slope, score_linear
 from labelloom.operators.mlp import fit_mlp, loss_and_gradient, score_multi
@@ -114,6 +114,28 @@ def test_svd_and_scaling(vectors):
         fit_adapter(vectors, 8, ROWS)
 
 
+@pytest.mark.parametrize("few", [24, ROWS])
+def test_directions_stay_on_the_executors(vectors, monkeypatch, few):
+    """In pieces of seven rows: the same directions, and no array on the driver grows with the features."""
+    monkeypatch.setattr(adapter_module, "PIECE", 7)
+    adapter = fit_adapter(vectors.where(f"id < {few}"), FEATURES, few, components=8, iterations=8)
+    held = [value for value in vars(adapter).values() if isinstance(value, np.ndarray)]
+    assert held and max(value.size for value in held) == 8
+    _, singular, right = np.linalg.svd(MATRIX[:few], full_matrices=False)
+    assert np.allclose(adapter.singular_values, singular[:8], rtol=1e-3)
+    reduced = MATRIX[:few] @ adapter.directions
+    dense = np.array([r["features"] for r in apply_adapter(vectors.where(f"id < {few}"), adapter, ["id"]).orderBy("id").collect()])
+    assert np.allclose(dense, (reduced - adapter.mean) / adapter.deviation, atol=1e-4)
+
+
+def test_svd_of_equal_rows(vectors):
+    """A span that is not of full rank: copies of four rows have four directions."""
+    copies = vectors.where("id BETWEEN 1 AND 4").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(15))))
+    adapter = fit_adapter(copies, FEATURES, 60, components=8, iterations=2)
+    singular = np.linalg.svd(np.repeat(MATRIX[1:5], 15, axis=0), compute_uv=False)
+    assert np.allclose(adapter.singular_values, singular[:8], rtol=1e-3, atol=1e-2)
+
+
 def test_network_gradient():
     shape = (4, 3, 2)
     flat = RNG.standard_normal(4 * 3 + 3 + 3 * 2 + 2)
