@@ -4,6 +4,7 @@ import re
 import unicodedata
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from labelloom.functions import text as tx
@@ -95,3 +96,24 @@ def test_ascii_texts_skip_python(spark):
     df = spark.createDataFrame([("Plain",), ("Ünï",)], "t string")
     assert [r[0] for r in df.select(tx.is_ascii("t")).collect()] == [True, False]
     assert df.select(F.collect_list(tx.fold_accents("t"))).first()[0] == ["plain", "uni"]
+
+
+def test_char_ngrams_of_characters_of_two_units(spark):
+    """A look-ahead would cut them in halves; texts without them are not split into characters."""
+    texts = ["a😀b𝒳cd", "ab\ncd", "é😀", "", "ab"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = [r[0] for r in rows.orderBy("id").select(tx.char_ngrams("text")).collect()]
+    assert found == [[t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)] for t in texts]
+    assert "regexp_extract_all" in rows.select(tx.char_ngrams("text"))._jdf.queryExecution().toString()
+
+
+def test_unicode_texts_are_held_a_slice_at_a_time():
+    sizes = []
+    texts = pa.array(["é"] * (2 * tx.TEXTS_AT_ONCE + 1) + [None])
+
+    def change(some):
+        sizes.append(len(some))
+        return some
+
+    assert tx._slice_by_slice(texts, change).equals(texts) and max(sizes) == tx.TEXTS_AT_ONCE and len(sizes) == 3
+    assert len(tx._slice_by_slice(texts.slice(0, 0), change)) == 0
