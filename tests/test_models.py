@@ -7,6 +7,7 @@ from dataclasses import replace
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import RDD
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -136,6 +137,42 @@ def test_svd_of_equal_rows(vectors):
     assert np.allclose(adapter.singular_values, singular[:8], rtol=1e-3, atol=1e-2)
 
 
+def test_large_sums_are_added_up_on_the_executors(spark, monkeypatch):
+    """The driver receives one sum, not one a partition."""
+    received, collect, size = [], RDD.collect, 100_000
+    monkeypatch.setattr(RDD, "collect", lambda rdd: received.append(collect(rdd)) or received[-1])
+    total = vec.sum_partials(spark.sparkContext.parallelize(range(8), 8), lambda part: np.full(size, float(sum(part))), size)
+    assert (total == 28).all()
+    assert sum(len(values) for found in received for _, values in found) == size
+
+
+def test_rows_are_encoded_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(ft, "ROWS_AT_ONCE", 2)
+    encode_rows = ft.encode_rows
+
+    def bounded(term_lists, terms, idf):
+        assert len(term_lists) <= 2
+        return encode_rows(term_lists, terms, idf)
+
+    monkeypatch.setattr(ft, "encode_rows", bounded)
+    rows = spark.createDataFrame([(i, ["a"] * i + ["b"]) for i in range(5)], "id int, terms array<string>").coalesce(1)
+    found = ft.encode(rows, ft.Encoder(pa.array(["a", "b"]), None), ["id"]).orderBy("id").collect()
+    assert [(r["id"], r["indices"]) for r in found] == [(0, [1]), *((i, [0, 1]) for i in range(1, 5))]
+
+
+def test_targets_are_encoded_once_for_all_families(spark, corpus, monkeypatch):
+    held = []
+
+    def fit(train, targets, encoder, rows, representation, family, settings, seed_offset, truth):
+        held.extend(target.storageLevel.useMemory for target in targets.values())
+        key = ex.candidate_key(representation, family)
+        return {name: spark.createDataFrame([(1, key)], "id int, candidate string") for name in targets}, {}
+
+    monkeypatch.setattr(ex, "fit_family", fit)
+    ex.fit_and_score(corpus, {"same": corpus}, SETTINGS)
+    assert held == [True] * 6
+
+
 def test_network_gradient():
     shape = (4, 3, 2)
     flat = RNG.standard_normal(4 * 3 + 3 + 3 * 2 + 2)
