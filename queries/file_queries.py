@@ -53,6 +53,8 @@ def read_csv_table_gzip(spark, sf):
 
 
 FILES = 8
+#: Bytes of text in an archive where the number of files is free.
+FILE_BYTES = 64 << 20
 FORMS = ("csv", "gzip", "zip")
 
 
@@ -71,8 +73,13 @@ def _target(form, sink, name):
     return text, [text, *([] if form == "csv" else [sink])]
 
 
-def _packed_files(spark, sf, form):
-    """The documents as FILES files of one form, by ``doc_id``, each written row batch by row batch."""
+def _bucketed(rows, bucket, n):
+    """Rows with the number of their file, every file's rows in a partition of their own; rows without a number in the first."""
+    return rows.withColumn("bucket", bucket).repartitionById(n, F.coalesce("bucket", F.lit(0)).cast("int"))
+
+
+def _packed_files(spark, sf, form, n=FILES, bucket=None):
+    """The documents as ``n`` files of one form, by ``doc_id``, each written row batch by row batch."""
     path = fresh_path(spark, form)
 
     def write(batches):
@@ -95,15 +102,19 @@ def _packed_files(spark, sf, form):
         for part in closing:
             part.close()
 
-    bucket = F.pmod(F.col("doc_id"), F.lit(FILES)).alias("bucket")
-    rows = _documents(spark, sf).select("doc_id", "text", "lang", bucket)
-    rows.repartition(FILES, "bucket").sortWithinPartitions("bucket").mapInPandas(write, "bucket long").count()
+    bucket = F.pmod(F.col("doc_id"), F.lit(n)) if bucket is None else bucket
+    rows = _bucketed(_documents(spark, sf).select("doc_id", "text", "lang"), bucket, n)
+    rows.sortWithinPartitions("bucket").mapInPandas(write, "bucket long").count()
     return path
 
 
 def read_csv_table_zip(spark, sf):
-    """The documents packed into zip archives, and the archives opened again."""
-    return _told(files.read_csv_table(spark, [_packed_files(spark, sf, "zip")], SCHEMA, "documents"))
+    """The documents packed into zip archives, as many as their size asks for, and the archives opened again."""
+    size = _documents(spark, sf).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(FILES, -(-size // FILE_BYTES))
+    # By a hash, as ids may follow any pattern.
+    bucket = F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(n)))
+    return _told(files.read_csv_table(spark, [_packed_files(spark, sf, "zip", n, bucket)], SCHEMA, "documents"))
 
 
 def sniff_files(spark, sf):
