@@ -11,7 +11,7 @@ from pyspark import RDD
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from labelloom.operators import adapter as adapter_module, features as ft, metrics as mt, mlp, profile, vectors as vec
+from labelloom.operators import adapter as adapter_module, features as ft, linear, metrics as mt, mlp, profile, vectors as vec
 from labelloom.operators.adapter import apply_adapter, fit_adapter
 from labelloom.operators.linear import LOGISTIC, SQUARED_HINGE, curvature, fit_linear, loss_and_slope, score_linear
 from labelloom.operators.mlp import fit_mlp, loss_and_gradient, score_multi
@@ -72,6 +72,45 @@ def test_linear_scores(vectors):
     assert min(r["roc_auc"] for r in mt.roc_auc(scored).collect()) > 0.9
 
 
+def test_the_sample_of_a_fit_stays_off_the_driver(vectors, monkeypatch):
+    """What a fit collects is a few weights per label, never rows."""
+    taken = []
+    collect = RDD.collect
+
+    def watched(rdd):
+        got = collect(rdd)
+        taken.append(sum(np.size(array) for item in got if isinstance(item, tuple) for array in item))
+        return got
+
+    monkeypatch.setattr(RDD, "collect", watched)
+    fit_linear(vectors, LABELS, FEATURES, LOGISTIC, dict.fromkeys(LABELS, 1.0))
+    assert max(taken) <= 5 * len(LABELS) * (FEATURES + 3) < np.count_nonzero(MATRIX)
+
+
+def test_recent_moves_lie_in_a_file():
+    moves = linear.Moves(3, 2)
+    for k in range(4):
+        moves.add(np.full(3, float(k)), np.arange(3.0) + k)
+    assert [(move[0], change[2]) for move, change in moves.pairs()] == [(2.0, 4.0), (3.0, 5.0)]
+    assert [move[0] for move, _ in moves.pairs(latest_first=True)] == [3.0, 2.0]
+    moves.clear()
+    moves.add(np.full(3, 9.0), np.zeros(3))
+    assert [move[0] for move, _ in moves.pairs()] == [9.0]
+
+
+def test_long_rows_come_in_small_blocks(vectors, monkeypatch):
+    """Blocks are bounded by their entries; rows without any and the fit stay as they are."""
+    whole = fit_linear(vectors, LABELS, FEATURES, SQUARED_HINGE, dict.fromkeys(LABELS, 1.0), tolerance=1e-8)
+    monkeypatch.setattr(vec, "BLOCK_ENTRIES", 20)
+    with vec.row_blocks(vectors, LABELS, ROWS) as blocks:
+        sizes = blocks.map(lambda block: (len(block[0]), len(block[1]))).collect()
+    assert sum(rows for rows, _ in sizes) == ROWS and sum(n for _, n in sizes) == np.count_nonzero(MATRIX)
+    assert all(n <= 20 or rows == 1 for rows, n in sizes)
+    cut = fit_linear(vectors, LABELS, FEATURES, SQUARED_HINGE, dict.fromkeys(LABELS, 1.0), tolerance=1e-8)
+    assert np.allclose(whole.weights, cut.weights, atol=1e-6)
+    assert vec.run_sums(np.arange(4.0), np.array([0, 3, 0, 1, 0])).tolist() == [0, 3, 0, 3, 0]
+
+
 def test_one_outcome_is_refused(vectors):
     with pytest.raises(ValueError, match="one outcome"):
         fit_linear(vectors.withColumn("x", F.lit(0)), LABELS, FEATURES, LOGISTIC, dict.fromkeys(LABELS, 1.0))
