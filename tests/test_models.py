@@ -87,6 +87,40 @@ def test_the_sample_of_a_fit_stays_off_the_driver(vectors, monkeypatch):
     assert max(taken) <= 5 * len(LABELS) * (FEATURES + 3) < np.count_nonzero(MATRIX)
 
 
+def test_a_sample_of_few_rows_does_not_make_many_passes(spark, monkeypatch):
+    """Frequent and rare features, of which a sample shows some too strongly and others not at all."""
+    rows, features, entries = 4000, 3000, 40
+    rng = np.random.default_rng(5)
+    chance = np.arange(1, features + 1) ** -0.8
+    index = np.stack([np.sort(rng.choice(features, entries, False, chance / chance.sum())) for _ in range(rows)])
+    matrix = np.zeros((rows, features + 1))
+    np.put_along_axis(matrix, index, entries**-0.5, axis=1)
+    matrix[:, features] = 1.0
+    outcome = matrix[:, :features] @ rng.standard_normal(features) + 0.5 * rng.standard_normal(rows) > 0.8
+    value = [float(entries**-0.5)] * entries
+    table = spark.createDataFrame(
+        [(i, int(outcome[i]), index[i].tolist(), value) for i in range(rows)], "id int, x int, indices array<int>, values array<double>"
+    ).repartition(4).persist()
+    monkeypatch.setattr(linear, "SAMPLE_ROWS", 1200)
+    sign, cost = 2.0 * outcome - 1, 2.0
+    for loss, most in ((SQUARED_HINGE, 45), (LOGISTIC, 25)):
+        model = fit_linear(table, ["x"], features, loss, {"x": cost})
+        assert model.passes <= most
+
+        def gradient(w):
+            return cost * matrix.T @ loss_and_slope(loss, matrix @ w, sign)[1] + w
+
+        assert np.linalg.norm(gradient(model.weights[:, 0])) <= 1.001e-4 * np.linalg.norm(gradient(np.zeros(features + 1)))
+    table.unpersist()
+
+
+@pytest.mark.parametrize("trial", [(0.4, 3.0), (0.4, -0.5)])
+def test_the_next_length_lies_inside_the_interval(trial):
+    """At the zero of the line through two slopes, or half way while the value rises and the slope does not."""
+    assert linear._next_length((0.0, -1.0), trial) == pytest.approx(0.1 if trial[1] > 0 else 0.2)
+    assert linear._next_length((0.2, -1.0), (0.4, 1e6)) == pytest.approx(0.21)
+
+
 def test_recent_moves_lie_in_a_file():
     moves = linear.Moves(3, 2)
     for k in range(4):
