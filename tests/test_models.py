@@ -6,6 +6,7 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark import RDD
 from pyspark.ml.linalg import Vectors
@@ -16,7 +17,7 @@ from labelloom.operators.adapter import apply_adapter, fit_adapter
 from labelloom.operators.linear import LOGISTIC, SQUARED_HINGE, curvature, fit_linear, loss_and_slope, score_linear
 from labelloom.operators.mlp import fit_mlp, loss_and_gradient, score_multi
 from labelloom.plans import experiment as ex
-from labelloom.staging import shared_folder
+from labelloom.staging import shared_folder, stage
 
 RNG = np.random.default_rng(3)
 ROWS, FEATURES, LABELS = 240, 30, ["x", "y"]
@@ -202,6 +203,51 @@ def test_directions_stay_on_the_executors(vectors, monkeypatch, few):
     assert np.allclose(dense, (reduced - adapter.mean) / adapter.deviation, atol=1e-4)
 
 
+@pytest.mark.parametrize("few", [24, ROWS])
+def test_a_task_holds_some_columns_of_a_basis(vectors, monkeypatch, few):
+    """Four slices of a basis in pieces of seven rows give the same directions; no task makes an array of all columns."""
+    monkeypatch.setattr(adapter_module, "PIECE", 7)
+    monkeypatch.setattr(adapter_module, "SLICE", min(few, FEATURES) * 18 // 4 + 1)
+    products, widths = adapter_module._beside, []
+    monkeypatch.setattr(adapter_module, "_beside", lambda pieces, data: widths.append(pieces.first()[1].shape[1]) or products(pieces, data))
+    adapter = fit_adapter(vectors.where(f"id < {few}"), FEATURES, few, components=8, iterations=8)
+    _, singular, right = np.linalg.svd(MATRIX[:few], full_matrices=False)
+    assert np.allclose(adapter.singular_values, singular[:8], rtol=1e-3)
+    assert np.allclose(np.abs((adapter.directions * right[:8].T).sum(axis=0)), 1, atol=1e-2)
+    assert max(widths) <= 8 and sum(widths) >= 10 * 18
+
+
+def test_turned_rows_are_multiplied_dense_or_one_by_one(monkeypatch):
+    monkeypatch.setattr(vec, "BLOCK_ENTRIES", 20)
+    monkeypatch.setattr(vec, "DENSE", 3 * ROWS)
+    monkeypatch.setattr(adapter_module, "DENSE_SHARE", 0.3)
+    feature, row = np.nonzero(MATRIX.T)
+    lengths = np.bincount(feature, minlength=FEATURES)
+    block = lengths, row.astype(np.int32), MATRIX.T[feature, row].astype(np.float32), np.arange(FEATURES)
+    parts = list(adapter_module._turned_parts(block, ROWS))
+    assert {len(part) for part in parts} == {2, 4} and sorted(np.concatenate([p[0] for p in parts])) == list(range(FEATURES))
+    columns, total = RNG.standard_normal((ROWS, 4)).astype(np.float32), np.zeros((ROWS, 4))
+    adapter_module._add_turned(block, columns, total)
+    assert np.allclose(total, MATRIX @ (MATRIX.T @ columns), atol=1e-3)
+
+
+def test_fits_at_a_time_share_the_cores(vectors, monkeypatch):
+    """Partitions answer with sums of full size, so three fits at a time must not have three times as many."""
+    made = []
+    blocks = linear.row_blocks
+    monkeypatch.setattr(linear, "row_blocks", lambda *a, **b: made.append(b["most"]) or blocks(*a, **b))
+    for at_once in (1, 3):
+        fit_linear(vectors, LABELS, FEATURES, LOGISTIC, dict.fromkeys(LABELS, 1.0), at_once=at_once)
+    assert made[1] == max(1, made[0] // 3)
+
+
+def test_large_records_are_not_held_by_the_hundred(spark):
+    """Parquet looked at the size of a row group after a hundred records."""
+    rows = spark.range(12, numPartitions=1).select(F.expr("cast(repeat(string(id), 4000000) AS binary) AS piece"))
+    groups = [pq.ParquetFile(path).metadata.num_row_groups for path in stage(rows, "pieces", large=True).inputFiles() for path in [path.removeprefix("file://")]]
+    assert groups and min(groups) > 1
+
+
 def test_svd_of_equal_rows(vectors):
     """A span that is not of full rank: copies of four rows have four directions."""
     copies = vectors.where("id BETWEEN 1 AND 4").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(15))))
