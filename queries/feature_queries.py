@@ -35,7 +35,8 @@ def _count(rows):
 
 
 def _vocabulary(rows, representation):
-    counts = ft.term_counts(_terms(rows, representation), representation.binary)
+    folded = rows.select("doc_id", ft.folded_text("text", representation).alias("text"))
+    counts = ft.text_term_counts(folded, "text", representation)
     return ft.vocabulary(
         counts, _count(rows), representation.min_df, representation.max_df, representation.max_features
     )

@@ -83,3 +83,22 @@ def test_sample_inverse_is_exact():
     curved, wanted = np.where(chance.random(12) < 0.5, 0.0, 3.0), chance.random(31)
     found = linear.SampledCost(sample, 0, linear.SQUARED_HINGE, (1.0, 1.0)).inverse(curved)(wanted)
     assert np.allclose(found, np.linalg.solve(np.eye(31) + whole.T @ (curved[:, None] * whole), wanted))
+
+
+def test_character_ngrams_are_looked_up_as_numbers(spark):
+    """Also in the long form, and of unseen rows: no text becomes an array of strings."""
+    texts = [text + " Ä  b" for text in TEXTS[:5] + TEXTS[7:]] + [None, " \t"]
+    rows = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "id long, text string").repartition(3)
+    chars = replace(ft.CHAR_NGRAMS, max_features=200, min_df=1)
+    vocab = ft.vocabulary(ft.term_counts(ft.with_terms(rows, "text", chars), True), len(texts), 1, 1.0, 200)
+    index = {r["term"]: r["term_idx"] for r in vocab.collect()}
+    for make, bare in ((ft.transform_with, [(None, None, None)]), (ft.binary_ngrams, [])):
+        long = make(rows, vocab, "id", "text", chars)
+        found = {}
+        for r in long.collect():
+            found.setdefault(r["id"], []).append((r["term_idx"], r["term"], r["value"] and round(r["value"], 9)))
+        for r in ft.with_terms(rows, "text", chars).collect():
+            known = sorted(t for t in r["terms"] or [] if t in index)
+            want = [(index[t], t, round(len(known) ** -0.5, 9)) for t in known] or bare
+            assert sorted(found.get(r["id"], [])) == sorted(want)
+        assert "regexp_extract_all" not in long._jdf.queryExecution().toString()
