@@ -102,3 +102,19 @@ def test_character_ngrams_are_looked_up_as_numbers(spark):
             want = [(index[t], t, round(len(known) ** -0.5, 9)) for t in known] or bare
             assert sorted(found.get(r["id"], [])) == sorted(want)
         assert "regexp_extract_all" not in long._jdf.queryExecution().toString()
+
+
+def test_packed_rows_are_the_encoded_rows(spark):
+    texts = [text + " Ä  b" for text in TEXTS[:5] + TEXTS[7:]] + [None, ""]
+    rows = spark.createDataFrame([(i, i % 3, text) for i, text in enumerate(texts)], "id long, fold int, text string").repartition(3)
+    for representation in (replace(ft.CHAR_NGRAMS, max_features=200, min_df=1), replace(ft.WORD_TFIDF, min_df=1, max_df=1.0)):
+        folded = rows.withColumn("text", ft.folded_text("text", representation))
+        vocab = ft.vocabulary(ft.text_term_counts(folded, "text", representation), len(texts), 1, 1.0, 200)
+        encoder = ft.fit_encoder(vocab, representation, len(texts))
+        unmade = ft.encode_text(folded, "text", representation, encoder, ["id", "fold"], unmade=True)
+        want = sorted(map(tuple, unmade.rows().collect()))
+        assert sorted(map(tuple, unmade.packed().rows().collect())) == want
+        apart = unmade.packed(apart="fold")
+        assert apart.count() == len(texts)
+        some = apart.where("apart <> 1").select("indices", "values", "id")
+        assert sorted(map(tuple, some.rows().collect())) == sorted((r[2], r[3], r[0]) for r in want if r[1] != 1)
